@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 QUERIES = {
+    "op1_simhash_pigeonring": simhash.query,
     "op5_quality_rules": quality.query,
     "op10_mix_sources": mixing.query,
 }
