@@ -35,10 +35,10 @@ def pair_blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("__block", (low * F.col("__parts") + high).cast("int")).drop("__other")
 
 
-def stream_blocks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def stream_blocks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, within: Sequence[str] = ()) -> DataFrame:
     """Call fn(table, starts) on tables that hold whole blocks; starts are the blocks' first rows.
 
-    Rows are dealt and sorted by keys, so a task holds one batch and the block
+    Rows are dealt by keys and sorted by keys, then by within, so a task holds one batch and the block
     that it ends with, and no group is materialised by Spark itself.
     """
     n = partitions(df.sparkSession)
@@ -73,4 +73,4 @@ def stream_blocks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np
             table = pa.Table.from_batches(kept).combine_chunks()
             yield from fn(table, starts_of(table))
 
-    return df.repartition(n, *names).sortWithinPartitions(*names).mapInArrow(run, schema)
+    return df.repartition(n, *names).sortWithinPartitions(*names, *within).mapInArrow(run, schema)

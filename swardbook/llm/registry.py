@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import lengths, mixing, packing, quality, reshard, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_simhash_pigeonring": simhash.query,
+    "op2_token_files": tokenfiles.query,
+    "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
+    "op7_token_lengths": lengths.query,
+    "op8_warc_index": warc.query,
+    "op9_reshard_flow": reshard.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLES = {
+    "op2_token_files": tokenfiles.query,
     "op5_quality_rules": quality.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
