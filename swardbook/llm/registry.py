@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lengths, mixing, packing, quality, reshard, simhash, tokenfiles, warc
+from . import lengths, mixing, neighbours, packing, quality, reshard, simhash, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_simhash_pigeonring": simhash.query,
     "op2_token_files": tokenfiles.query,
+    "op3_nn_descent": neighbours.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
+    "op6_fixed_block_anchors": substrings.query,
     "op7_token_lengths": lengths.query,
     "op8_warc_index": warc.query,
     "op9_reshard_flow": reshard.query,

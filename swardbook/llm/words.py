@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 JVM_SPACES = "[ \\x09-\\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_FOLD = str.maketrans({" ": " ", **{c: " " for c in SPACES}})
-
-
 def word_array(text: Column) -> Column:
     """array<string> of the words of a text; empty for a null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), JVM_SPACES), "")
@@ -27,4 +24,7 @@ def py_words(text: str | None) -> list[str]:
     """The same words in Python. str.split() would also cut at Unicode spaces."""
     if not text:
         return []
-    return [w for w in text.translate(_FOLD).split(" ") if w]
+    for c in SPACES[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
