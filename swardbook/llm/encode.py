@@ -3,27 +3,27 @@
 A text is cut before every space that precedes a non-space. Byte-level BPE with
 the usual split pattern never merges across such a cut, so the ids of a text are
 the ids of its pieces in a row. A worker remembers the ids of the pieces it has
-met in a bounded memo and hands only new pieces to the tokenizers library, many
-in one string.
+met in a bounded memo; new pieces go to the tokenizers library, word by word to
+its BPE model where that gives what the whole tokenizer gives.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker remembers; the memo starts anew beyond them.
-MEMO = 700_000
+#: Pieces that a worker remembers for good, and of later ones, which make room for each other.
+MEMO, YOUNG = 600_000, 100_000
 #: A cut is no cut if white space follows the space.
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= [^\s])")
-#: Pieces that are safe to encode side by side in one string, a line each.
-_PLAIN = re.compile(r" ?[^\s<>|]{1,200}")
+_PROBE = "Probe it's 12 naïve, (words)\n\n  and…  spaces\t é 　x "
 
 
 def default_vocabulary() -> str:
@@ -32,93 +32,81 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Encodes batches of texts to (flat ids, lengths)."""
+    """Encodes texts to ids; a memo entry is the little-endian bytes of a piece's ids.
+
+    The memo's keys are pieces without their leading space; a text's first
+    piece, which may have none, gets one instead.
+    """
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._reset()
-
-    def _reset(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.int32)
-        self.starts = np.zeros(1 << 18, dtype=np.int64)
-        self.sizes = np.zeros(1 << 18, dtype=np.int64)
-        self.used = 0
-
-    def _learn(self, fresh: list[str]) -> None:
-        plain = [p for p in fresh if _PLAIN.fullmatch(p)] if len(self.line) == 1 else []
-        got: list[np.ndarray] = []
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype=np.int32)
-            parts = np.split(ids, np.flatnonzero(ids == self.line[0]))
-            if len(parts) != len(some):
-                raise ValueError("a piece was not encoded on its own")
-            got += [parts[0], *(p[1:] for p in parts[1:])]
-        known = set(plain)
-        rest = [p for p in fresh if p not in known]
-        for e in self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else ():
-            got.append(np.array(e.ids, dtype=np.int32))
-        n, new = len(self.memo), plain + rest
-        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total = int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(new) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.used : self.used + total] = np.concatenate(got)
-        self.sizes[n : n + len(new)] = lengths
-        self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
-        self.memo.update(zip(new, range(n, n + len(new))))
-
-    def _rows(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Memo rows of all pieces, and the number of pieces of each text."""
-        pieces: list[str] = []
-        counts = []
-        for text in texts:
-            before = len(pieces)
-            if text:
-                if _ODD.search(text):
-                    pieces += [p for p in _CUT.split(text) if p]
-                else:
-                    head, *tail = text.split(" ")
-                    if head:
-                        pieces.append(head)
-                    pieces += [" " + p for p in tail]
-            counts.append(len(pieces) - before)
-        if len(self.memo) > MEMO:
-            self._reset()
-        memo = self.memo
+        self.letters = _byte_letters()
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo: dict[str, bytes] = {}
+        self.young: list[str] = []
+        self.direct = True
         try:
-            rows = np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in memo])
-            rows = np.fromiter(map(self.memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        return rows, np.array(counts, dtype=np.int64)
+            self.direct = self._ids(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        except Exception:  # a vocabulary of another kind
+            self.direct = False
+
+    def _ids(self, piece: str) -> list[int]:
+        if not self.direct or any(s in piece for s in self.special):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [t.id for word in self.words(piece) for t in tokenize(word.encode("utf-8").decode("latin-1").translate(letters))]
+
+    def _learn(self, key: str) -> bytes:
+        if len(self.memo) >= MEMO:
+            if len(self.young) >= YOUNG:
+                for old in self.young:
+                    del self.memo[old]
+                self.young.clear()
+            self.young.append(key)
+        found = array("i", self._ids(key[1:] if key[0] == " " else " " + key)).tobytes() if key != " " else b""
+        self.memo[key] = found
+        return found
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        if _ODD.search(text):
+            keys = _CUT.split(text)
+            keys = [keys[0], *(k[1:] for k in keys[1:])]
+        else:
+            keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        return keys
+
+    def _parts(self, text: str) -> list[bytes]:
+        keys = self._keys(text)
+        parts = list(map(self.memo.get, keys))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self.memo[keys[i]] if keys[i] in self.memo else self._learn(keys[i])
+        return parts
 
     def lengths(self, texts: Iterable[str | None]) -> np.ndarray:
-        rows, counts = self._rows(texts)
-        sums = np.concatenate(([0], np.cumsum(self.sizes[rows])))
-        ends = np.cumsum(counts)
-        return sums[ends] - sums[ends - counts]
+        return np.array([sum(map(len, self._parts(t))) // 4 if t else 0 for t in texts], dtype=np.int64)
 
     def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, lengths), each text with the end id."""
-        rows, counts = self._rows(texts)
-        sizes = self.sizes[rows]
-        ends = np.cumsum(counts)
-        sums = np.concatenate(([0], np.cumsum(sizes)))
-        lengths = sums[ends] - sums[ends - counts]
-        total = int(sums[-1])
-        source = np.repeat(self.starts[rows] - sums[:-1], sizes) + np.arange(total)
-        out = np.full(total + len(counts), end, dtype=np.int32)
-        out[np.arange(total) + np.repeat(np.arange(len(counts)), lengths)] = self.ids[source]
-        return out, lengths + 1
+        last = array("i", [end]).tobytes()
+        rows = [b"".join(self._parts(t)) + last if t else last for t in texts]
+        return np.frombuffer(b"".join(rows), dtype=np.int32), np.array(list(map(len, rows)), dtype=np.int64) // 4
 
 
 _encoders: dict[str, Encoder] = {}

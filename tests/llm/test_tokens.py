@@ -19,8 +19,11 @@ def plain(texts):
 def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     enc = encode.Encoder(encode.default_vocabulary())
     want = plain(TEXTS)
-    for memo in (encode.MEMO, 3):
+    assert enc.direct
+    for memo, young in ((encode.MEMO, encode.YOUNG), (3, 2), (0, 1)):
         monkeypatch.setattr(encode, "MEMO", memo)
+        monkeypatch.setattr(encode, "YOUNG", young)
+        enc = encode.Encoder(encode.default_vocabulary())
         for _ in range(2):
             flat, n = enc.encode(TEXTS, 0)
             cuts = np.split(flat, np.cumsum(n)[:-1])
