@@ -1,172 +1,146 @@
 """WARC archives with an index that is made first and read by byte ranges.
 
-Records are written by Spark's text writer: a record is its header and block,
-and the line separator is the CR LF CR LF that ends a WARC record, so every file
-is a plain WARC file written through Spark's own commit protocol to any store.
-Payloads that occur more than once are a response once, at the largest page_id,
-and revisits elsewhere.
+A record is a gzip member of its own, as usual for .warc.gz, so that any record
+can be read alone. Each task writes one file and returns a row of file, offset,
+length, type, URL and digest for each of its records; these rows are the index.
+A file counts only through the rows of the attempt that wrote it, so a task that
+is lost and run again leaves at most a file that no index names. Payloads that
+occur more than once are a response once, at the largest page_id, and revisits
+elsewhere.
 
-The index pass walks each file's headers, skips the blocks, and keeps a row of
-file, offset, length, type, URL and digest for each record. A read selects index
-rows, sorts them by file and offset, merges ranges that are close, and opens
-each file once for a few long reads.
+A read selects index rows, sorts them by file and offset, merges ranges that are
+close, and opens each file once for a few long reads.
 
 Defined cases: null html is the empty payload; a null url is written as
 about:blank and any white space or control character in a URL is
 percent-encoded; null page_ids are written without a number, are never the
-response of others and count as larger than none; rows with one page_id and
-payload give one response and revisits to the same page_id; an empty table gives
-no rows; other columns are not read.
+response of others and count as larger than none; all rows with a payload's
+largest page_id are responses; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, list_files, partitions, stash
+from .scratch import fresh_path, partitions, stash
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are all responses.
 LEAST = 0
 #: Ranges no further apart than this are read in one go, up to READ bytes.
 GAP, READ = 64 << 10, 8 << 20
-INDEX = "file string, offset long, length long, type string, page_id long, refers_to long, url string, digest string, payload_at int"
+INDEX = "file string, offset long, length long, type string, page_id long, refers_to long, url string, digest string"
+#: Index rows returned at a time.
+ROWS = 2000
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, sizes = [], []
-        for x in batch.column(2):
-            data = (x.as_py() or "").encode("utf-8")
-            out.append(base64.b32encode(hashlib.sha1(data).digest()).decode())
-            sizes.append(len(data))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array(sizes, type=pa.int64())], names=["page_id", "url", "html", "digest", "size"])
-
-
-def _record() -> Column:
-    """One record as a string, without its end."""
-    line = lambda *parts: F.concat(*parts, F.lit("\r\n"))
-    page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    payload = F.when(F.col("type") == "response", F.coalesce("html", F.lit(""))).otherwise("")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
-    url = F.coalesce(F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20"), F.lit("about:blank"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line(F.lit("WARC-Type: "), F.col("type")),
-        line(F.lit("WARC-Record-ID: "), page("page_id")),
-        F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
-        line(F.lit("WARC-Target-URI: "), url),
-        line(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(F.col("type") == "revisit", F.concat(line(F.lit(f"WARC-Profile: {PROFILE}")), line(F.lit("WARC-Refers-To: "), page("refers_to")))).otherwise(""),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        F.lit("Content-Length: "),
-        (F.octet_length(http) + F.octet_length(payload)).cast("string"),
-        F.lit(END),
-    )
-    return F.concat(head, http, payload)
-
-
-def write(pages: DataFrame, path: str) -> None:
-    """Write one record for each page."""
-    n = partitions(pages.sparkSession)
-    rows = stash(pages.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, digest string, size long"), "pages")
-    heads = rows.groupBy("digest").agg(F.max("page_id").alias("head"))
-    heads = stash(heads.select(F.col("digest").alias("__digest"), "head"), "heads")
-    rows = rows.join(heads, F.col("digest") == F.col("__digest"))
-    first = (F.col("page_id") == F.col("head")) | F.col("head").isNull() | (F.col("size") < LEAST)
-    rows = rows.withColumn("type", F.when(F.coalesce(first, F.lit(False)), "response").otherwise("revisit"))
-    # Of rows with one page_id and payload, the first is the response. Only responses meet here: few for each payload.
-    rows = rows.withColumn("refers_to", F.when(F.col("type") == "revisit", F.col("head")))
-    again = rows.filter("type = 'response' AND head IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("page_id").alias("__again"))
-    twice = rows.filter("type = 'response'").join(again, F.col("page_id") == F.col("__again"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    twice = twice.withColumn("type", F.when(rank == 1, "response").otherwise("revisit")).withColumn("refers_to", F.when(rank > 1, F.col("head")))
-    once = rows.join(again, (F.col("page_id") == F.col("__again")) & (F.col("type") == "response"), "left_anti")
-    record = once.unionByName(twice).select("page_id", _record().alias("value"))
-    dealt = record.repartitionByRange(n, "page_id").sortWithinPartitions("page_id").select("value")
-    dealt.write.option("lineSep", END).text(path)
+def digest(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def open_input(path: str):
-    """A seekable file of any store that pyarrow or the local system can open."""
+def _store(path: str):
+    """(file system, inner path) of a folder that is not local."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path)
+
+
+def _local(path: str) -> str | None:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
-    if path.startswith("/"):
-        return open(path, "rb")
-    store, inner = fs.FileSystem.from_uri(path)
+    return path if path.startswith("/") else None
+
+
+def open_input(path: str):
+    """A seekable file of any store that pyarrow or the local system can open."""
+    if local := _local(path):
+        return open(local, "rb")
+    store, inner = _store(path)
     return store.open_input_file(inner)
 
 
-def _number(value: str) -> int | None:
-    tail = value.removeprefix("<urn:page:").removesuffix(">")
-    return int(tail) if tail else None
-
-
-def walk(file) -> Iterator[tuple[int, int, dict[str, str], int]]:
-    """(offset, length, headers, payload's place) of every record; blocks are skipped but for the HTTP header."""
-    at, buffer, base = 0, b"", 0
-
-    def need(start: int, mark: bytes) -> int:
-        nonlocal buffer, base
-        if start > base + len(buffer):
-            file.seek(start)
-            base, buffer = start, b""
-        else:
-            buffer, base = buffer[start - base :], start
-        while (found := buffer.find(mark)) < 0:
-            more = file.read(64 << 10)
-            if not more:
-                return -1
-            buffer += more
-        return found
-
-    while (end := need(at, END.encode())) >= 0:
-        lines = buffer[:end].decode("utf-8").split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        block = at + end + 4
-        size = int(headers["Content-Length"])
-        http = need(block, END.encode())
-        yield at, block + size - at, headers, block + http + 4 - at
-        at = block + size + 4
-        if at < base or at > base + len(buffer):
-            file.seek(at)
-            base, buffer = at, b""
-
-
-def index(spark, path: str) -> DataFrame:
-    """One row for each record of the files in a folder."""
-    files = list_files(spark, path)
+def open_output(path: str):
+    if local := _local(path):
+        return open(local, "wb")
+    store, inner = _store(path)
+    return store.open_output_stream(inner)
+
+
+def record(kind: str, page_id: int | None, refers_to: int | None, url: str | None, payload: bytes, sha: str) -> bytes:
+    """One WARC record with its end."""
+    page = lambda i: f"<urn:page:{'' if i is None else i}>"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if kind == "response":
+        block += payload
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {safe_url(url)}", f"WARC-Payload-Digest: sha1:{sha}"]
+    if kind == "revisit":
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page(refers_to)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + block + END
+
+
+def safe_url(url: str | None) -> str:
+    return "about:blank" if url is None else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
 
+
+def payload_of(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of one record."""
+    head, _, rest = data.partition(END)
+    headers = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
+    return headers, rest[: int(headers["Content-Length"])].partition(END)[2]
+
+
+def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [digest((x.as_py() or "").encode("utf-8")) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, type=pa.string())], names=["page_id", "digest"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [digest((x.as_py() or "").encode("utf-8")) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, type=pa.string())], names=["page_id", "url", "html", "digest"])
+
+
+def _writer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, rows = f"{path}/part-{uuid.uuid4().hex}.warc.gz", 0, []
+        out = None
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows: list[tuple] = []
-                with open_input(name) as f:
-                    for at, length, h, payload in walk(f):
-                        refers = h.get("WARC-Refers-To")
-                        rows.append((name, at, length, h["WARC-Type"], _number(h["WARC-Record-ID"]), _number(refers) if refers else None, h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), payload))
-                        if len(rows) == 5000:
-                            yield _rows(rows)
-                            rows = []
-                if rows:
+            for page_id, url, html, sha, head in zip(*(batch.column(i) for i in range(5))):
+                page_id, url, sha, head = page_id.as_py(), url.as_py(), sha.as_py(), head.as_py()
+                data = (html.as_py() or "").encode("utf-8")
+                kind = "revisit" if head is not None and page_id != head and len(data) >= LEAST else "response"
+                squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = squeeze.compress(record(kind, page_id, head, url, data, sha)) + squeeze.flush()
+                out = out or open_output(name)
+                out.write(member)
+                rows.append((name, at, len(member), kind, page_id, head if kind == "revisit" else None, safe_url(url), sha))
+                at += len(member)
+                if len(rows) == ROWS:
                     yield _rows(rows)
+                    rows = []
+        if out:
+            out.close()
+        if rows:
+            yield _rows(rows)
 
-    if not files:
-        return spark.createDataFrame([], INDEX)
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), partitions(spark)))
-    return listed.mapInArrow(run, INDEX)
+    return run
 
 
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
@@ -174,6 +148,23 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
+def write(pages: DataFrame, path: str) -> DataFrame:
+    """Write one record for each page into a folder; returns the index, itself a table in the shared folder.
+
+    Only digests are grouped. Pages move once, to meet the heads of their
+    payload, and not at all while these are few enough for Spark to broadcast.
+    """
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    light = pages.select("page_id", "html").mapInArrow(_light, "page_id long, digest string")
+    heads = light.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    heads = stash(heads.select(F.col("digest").alias("__digest"), "head"), "heads")
+    rows = pages.select("page_id", "url", "html").mapInArrow(_digested, "page_id long, url string, html string, digest string")
+    rows = rows.join(heads, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "html", "digest", "head")
+    return stash(rows.mapInArrow(_writer(path), INDEX), "index")
+
+
 def ranges(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
     """Merge sorted (offset, length) spans into reads (start, end, numbers of the spans inside)."""
     start = end = 0
@@ -191,28 +182,34 @@ def ranges(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]
 
 
 def read(chosen: DataFrame) -> DataFrame:
-    """The payloads of chosen index rows: (page_id, type, refers_to, noted, payload); noted is the header's digest."""
+    """The records of chosen index rows: (page_id, type, refers_to, noted, payload); noted is the header's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
+            files, offsets, lengths, pages, refers = (c.to_pylist() for c in batch.columns)
             at = 0
             while at < batch.num_rows:
                 stop = at
-                while stop < batch.num_rows and cols[0][stop] == cols[0][at]:
+                while stop < batch.num_rows and files[stop] == files[at]:
                     stop += 1
-                if cols[0][at] != name:
+                if files[at] != name:
                     if file:
                         file.close()
-                    name, file = cols[0][at], open_input(cols[0][at])
-                for start, end, inside in ranges(list(zip(cols[1][at:stop], cols[2][at:stop]))):
+                    name, file = files[at], open_input(files[at])
+                for start, end, inside in ranges(list(zip(offsets[at:stop], lengths[at:stop]))):
                     file.seek(start)
                     data = file.read(end - start)
                     got = [at + k for k in inside]
-                    payload = [data[cols[1][k] - start + cols[6][k] : cols[1][k] - start + cols[2][k]] for k in got]
+                    found = [payload_of(zlib.decompress(data[offsets[k] - start : offsets[k] - start + lengths[k]], 31)) for k in got]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([cols[4][k] for k in got], type=pa.int64()), pa.array([cols[3][k] for k in got]), pa.array([cols[5][k] for k in got], type=pa.int64()), pa.array([cols[7][k] for k in got]), pa.array(payload, type=pa.binary())],
+                        [
+                            pa.array([pages[k] for k in got], type=pa.int64()),
+                            pa.array([h["WARC-Type"] for h, _ in found]),
+                            pa.array([refers[k] for k in got], type=pa.int64()),
+                            pa.array([h["WARC-Payload-Digest"].removeprefix("sha1:") for h, _ in found]),
+                            pa.array([p for _, p in found], type=pa.binary()),
+                        ],
                         names=["page_id", "type", "refers_to", "noted", "payload"],
                     )
                 at = stop
@@ -220,15 +217,14 @@ def read(chosen: DataFrame) -> DataFrame:
             file.close()
 
     n = partitions(chosen.sparkSession)
-    dealt = chosen.select("file", "offset", "length", "type", "page_id", "refers_to", "payload_at", "digest").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    dealt = chosen.select("file", "offset", "length", "page_id", "refers_to").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "page_id long, type string, refers_to long, noted string, payload binary")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = [x.as_py() for x in batch.column(4)]
-        sums = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in data]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(map(len, data)), type=pa.int64()), pa.array(sums)], names=["page_id", "type", "refers_to", "noted", "bytes", "digest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(map(len, data)), type=pa.int64()), pa.array(list(map(digest, data)), type=pa.string())], names=["page_id", "type", "refers_to", "noted", "bytes", "digest"])
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -239,7 +235,7 @@ def resolve(records: DataFrame) -> DataFrame:
     got = stash(records.mapInArrow(_measure, "page_id long, type string, refers_to long, noted string, bytes long, digest string"), "records")
     asked = got.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("__r"), F.col("noted").alias("__n")).distinct()
     heads = got.filter("type = 'response' AND page_id IS NOT NULL").join(asked, (F.col("page_id") == F.col("__r")) & (F.col("digest") == F.col("__n")), "left_semi")
-    heads = stash(heads.select(F.col("page_id").alias("__head"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")), "heads")
+    heads = stash(heads.select(F.col("page_id").alias("__head"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")).distinct(), "heads")
     own = got.filter("type = 'response'").select("page_id", "bytes", "digest", "type", "refers_to")
     seen = got.filter("type = 'revisit'").join(heads, (F.col("refers_to") == F.col("__head")) & (F.col("noted") == F.col("__digest")))
     seen = seen.select("page_id", F.col("__bytes").alias("bytes"), F.col("__digest").alias("digest"), "type", "refers_to")
@@ -248,5 +244,4 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return resolve(read(stash(index(spark, path), "index")))
+    return resolve(read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)))
