@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 CLIENT = (
     "id long, name string, email string, phone string, address string, billing_address string, billing_notes string, "
@@ -26,7 +27,7 @@ EXTRACT = (
     "struct<title:string,tables:array<struct<caption:string,columns:array<string>,rows:array<array<string>>>>,"
     "notes:array<string>,complete:boolean>"
 )
-MARK = "struct<kind:string,day:int,name:string,amount:double>"
+MARK_TYPE = StructType([StructField("kind", StringType()), StructField("day", IntegerType()), StructField("name", StringType()), StructField("amount", DoubleType())])
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
