@@ -120,14 +120,14 @@ def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
         return names.mapInPandas(run, _BEST)
     blocks = -(-roster.count() // ROSTER_LIMIT)
     dealt = roster.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(i), n or "", int(r)) for i, n, r in zip(right["id"], right["name"], right["rank"])]
         return frame(list(_top(left["sheet_name"].tolist(), rows, skip_same, set(right["id"][~right["priced"].astype(bool)]))))
 
     part = asked.withColumn("slot", F.pmod(F.xxhash64("sheet_name"), F.lit(64)))
-    dealt = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+    dealt = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     found = part.groupBy("block", "slot").cogroup(dealt.groupBy("block", "slot")).applyInPandas(meet, _BEST)
     rank = F.row_number().over(Window.partitionBy("sheet_name").orderBy(F.desc("score"), "rank"))
     return found.withColumn("__r", rank).filter("__r <= 2").drop("__r")

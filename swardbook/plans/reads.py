@@ -80,7 +80,7 @@ QUERIES = {
     "contact_email": lambda s, d: Ledger(s, d).clients.select("id", T.contact_email(F.col("email"), F.col("billing_notes")).alias("contact")),
     "face_bill": lambda s, d: V.faced(_bills(Ledger(s, d))).select("id", "client_name", "email", "delivery"),
     "download_modes": lambda s, d: V.download(V.faced(_bills(Ledger(s, d))), "with_email").select("id", "channel"),
-    "email_worklist": lambda s, d: V.email_worklist(V.faced(_bills(Ledger(s, d)))).select("id", F.array_join("to", ",").alias("to"), "action"),
+    "email_worklist": lambda s, d: V.email_worklist(V.faced(_bills(Ledger(s, d)))).select("id", F.array_join("to", ",").alias("recipients"), "action"),
     "recipient_addresses": lambda s, d: Ledger(s, d).table("documents").select("doc_id", F.array_join(T.addresses(F.col("text")), ",").alias("addresses")),
     "name_forms": lambda s, d: Ledger(s, d).clients.select("id", T.first_name(F.col("name")).alias("first"), T.person_name(F.col("name")).alias("person"), T.name_key(F.col("name")).alias("key"), T.norm_name(F.col("name")).alias("norm"), T.entity_kind(F.col("name")).alias("kind")),
     "money_labels": lambda s, d: Ledger(s, d).table("part").select("p_partkey", T.money_label(T.money(F.col("p_retailprice"))).alias("label"), T.money_label(T.money(F.floor("p_retailprice"))).alias("whole")),
@@ -139,7 +139,7 @@ ORACLES = {
     "face_bill": with_tables("SELECT id, client_name, email, delivery FROM faced", _FACED),
     "download_modes": with_tables(f"SELECT * FROM (SELECT id, {sql_channel()} AS channel FROM faced) x WHERE channel = 'email'", _FACED),
     "email_worklist": with_tables(
-        f"""SELECT id, array_to_string(addr, ',') AS to, CASE WHEN channel = 'email' AND emailed_at IS NULL AND len(addr) > 0 THEN 'send' ELSE 'skip' END AS action FROM (
+        f"""SELECT id, array_to_string(addr, ',') AS recipients, CASE WHEN channel = 'email' AND emailed_at IS NULL AND len(addr) > 0 THEN 'send' ELSE 'skip' END AS action FROM (
   SELECT id, emailed_at, {sql_channel()} AS channel, regexp_extract_all({sql_contact()}, '{_EMAIL_SQL}') AS addr FROM faced) x""",
         _FACED,
     ),
