@@ -36,7 +36,7 @@ METRICS = {
     "word_len": ("floor(word_chars * 100 / n_words)", 250, True),
     "symbols": ("floor(n_symbols * 10000 / word_chars)", 1000, False),
     "dup_lines": ("floor(n_dup_lines * 10000 / n_words)", 500, False),
-    "repeats": ("floor(n_repeat_words * 10000 / n_words)", 2000, False),
+    "repeats": ("floor(n_repeat_words * 10000 / n_words)", 3500, False),
 }
 _POSITION_BITS = 24
 
