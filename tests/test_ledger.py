@@ -120,3 +120,21 @@ def test_sheet_helpers(spark):
 def test_delivery(spark, delivery, mail, email, notes, phone, want):
     df = spark.createDataFrame([(delivery, mail, email, notes, phone)], "delivery string, prefer_mail boolean, email string, billing_notes string, phone string")
     assert views.with_channel(df).first().channel == want
+
+
+def test_snapshot_fits_and_keeps_its_floors(spark):
+    import json
+
+    from swardbook.operators import bills
+
+    people = spark.range(200).selectExpr("id", "concat('CLIENT, Number ', id) AS name", "'a@b.co' AS email", "NULL AS phone", "false AS prefer_mail", "repeat('x', 60) AS billing_notes", "CAST(40 AS DECIMAL(12,2)) AS mow_price", "CAST(NULL AS DECIMAL(12,2)) AS hedge_price", "true AS on_roster", "CAST(id AS INT) AS sort_order")
+    work = spark.range(500).selectExpr("id", "id % 200 AS client_id", "'2026-09' AS month", "'Mowing 5' AS description", "CAST(40 AS DECIMAL(12,2)) AS amount")
+    sent = spark.range(90).selectExpr("id", "id AS client_id", "'2026-09' AS month", "CAST(NULL AS TIMESTAMP_NTZ) AS emailed_at")
+    text = bills.snapshot(people, work, sent)
+    found = json.loads(text)
+    assert len(text) <= 10_000 and found["client_count"] == 200 and found["work_counts_by_month"] == {"2026-09": 500}
+    assert len(found["work_items"]) == 10 and len(found["clients"]) >= 15 and found["clients_truncated"]
+
+
+def test_name_scores():
+    assert sheets.name_score("SMITH, Mary", "Smith Rd") == 9 and sheets.name_score("SMITHSON", "SMITHERS") == 3 and sheets.name_score("THE MR", "THE MR") == 0
