@@ -103,7 +103,8 @@ def resample(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, columns unchanged."""
     taken = stash(mix(docs), "taken").filter("size > 0 AND taken > 0")
     times = taken.select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    # The ids grow with the corpus, so small corpora join as large ones do.
+    joined = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["__id"]))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -76,12 +76,13 @@ def _repeat_words(words: Column, stage: str, df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered).drop(stage)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) after the columns to carry."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", "lang", "source", text.alias("text"))
+    df = docs.select(*carry, "doc_id", "lang", "source", text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
     df = df.select(
+        *carry,
         "doc_id",
         "lang",
         "source",
@@ -90,6 +91,7 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     )
     df = df.select(
+        *carry,
         "doc_id",
         "lang",
         "source",
@@ -140,9 +142,12 @@ def fences(sketch: DataFrame) -> DataFrame:
     return quart.groupBy("scope", "lang", "source").agg(F.max("docs").alias("docs"), *out)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """measure() plus kept: the base rules hold and every metric lies within its group's fences."""
-    base = stash(measure(docs), "quality")
+def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """measure() plus kept: the base rules hold and every metric lies within its group's fences.
+
+    Fences have one row for each (lang, source); documents stay where they are.
+    """
+    base = stash(measure(docs, carry), "quality")
     good = base.filter(~F.col("base_failed")).select("lang", "source", *(F.expr(e).cast("long").alias(m) for m, (e, _, _) in METRICS.items()))
     limits = stash(fences(sketches(good)), "fences")
     names = [f"{m}_{end}" for m in METRICS for end in ("hi", "lo")]
@@ -172,8 +177,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    kept = stash(judge(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    names = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
+    carried = docs.select("doc_id", "lang", "source", "text", *(F.col(c).alias(n) for c, n in names.items()))
+    kept = judge(carried, tuple(names.values())).filter("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def _oracle() -> str:

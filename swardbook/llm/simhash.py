@@ -203,4 +203,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component, that with the least doc_id; those without an id stay."""
     found = stash(classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "first")
-    return docs.join(found, docs["doc_id"] == found["__id"], "left_semi").union(docs.filter("doc_id IS NULL"))
+    # Ids kept grow with the corpus, so small corpora join as large ones do.
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["__id"], "left_semi").union(docs.filter("doc_id IS NULL"))
