@@ -102,26 +102,15 @@ def payload_of(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])].partition(END)[2]
 
 
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [digest((x.as_py() or "").encode("utf-8")) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, type=pa.string())], names=["page_id", "digest"])
-
-
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [digest((x.as_py() or "").encode("utf-8")) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, type=pa.string())], names=["page_id", "url", "html", "digest"])
-
-
 def _writer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, at, rows = f"{path}/part-{uuid.uuid4().hex}.warc.gz", 0, []
         out = None
         for batch in batches:
-            for page_id, url, html, sha, head in zip(*(batch.column(i) for i in range(5))):
-                page_id, url, sha, head = page_id.as_py(), url.as_py(), sha.as_py(), head.as_py()
+            for page_id, url, html, head in zip(*(batch.column(i) for i in range(4))):
+                page_id, url, head = page_id.as_py(), url.as_py(), head.as_py()
                 data = (html.as_py() or "").encode("utf-8")
+                sha = digest(data)
                 kind = "revisit" if head is not None and page_id != head and len(data) >= LEAST else "response"
                 squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = squeeze.compress(record(kind, page_id, head, url, data, sha)) + squeeze.flush()
@@ -157,11 +146,11 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     spark = pages.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    light = pages.select("page_id", "html").mapInArrow(_light, "page_id long, digest string")
-    heads = light.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    heads = stash(heads.select(F.col("digest").alias("__digest"), "head"), "heads")
-    rows = pages.select("page_id", "url", "html").mapInArrow(_digested, "page_id long, url string, html string, digest string")
-    rows = rows.join(heads, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "html", "digest", "head")
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    heads = pages.select("page_id", sha.alias("__sha")).groupBy("__sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    heads = stash(heads.select("__sha", "head"), "heads")
+    rows = pages.select("page_id", "url", "html", sha.alias("sha"))
+    rows = rows.join(heads, F.col("sha") == F.col("__sha"), "left").select("page_id", "url", "html", "head")
     return stash(rows.mapInArrow(_writer(path), INDEX), "index")
 
 
@@ -181,8 +170,11 @@ def ranges(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]
         yield start, end, inside
 
 
-def read(chosen: DataFrame) -> DataFrame:
-    """The records of chosen index rows: (page_id, type, refers_to, noted, payload); noted is the header's digest."""
+def read(chosen: DataFrame, measure: bool = False) -> DataFrame:
+    """The records of chosen index rows: (page_id, type, refers_to, noted, payload); noted is the header's digest.
+
+    With measure, the payload's bytes and digest take its place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -202,15 +194,16 @@ def read(chosen: DataFrame) -> DataFrame:
                     data = file.read(end - start)
                     got = [at + k for k in inside]
                     found = [payload_of(zlib.decompress(data[offsets[k] - start : offsets[k] - start + lengths[k]], 31)) for k in got]
+                    last = [pa.array([len(p) for _, p in found], type=pa.int64()), pa.array([digest(p) for _, p in found])] if measure else [pa.array([p for _, p in found], type=pa.binary())]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([pages[k] for k in got], type=pa.int64()),
                             pa.array([h["WARC-Type"] for h, _ in found]),
                             pa.array([refers[k] for k in got], type=pa.int64()),
                             pa.array([h["WARC-Payload-Digest"].removeprefix("sha1:") for h, _ in found]),
-                            pa.array([p for _, p in found], type=pa.binary()),
+                            *last,
                         ],
-                        names=["page_id", "type", "refers_to", "noted", "payload"],
+                        names=["page_id", "type", "refers_to", "noted", *(["bytes", "digest"] if measure else ["payload"])],
                     )
                 at = stop
         if file:
@@ -218,21 +211,15 @@ def read(chosen: DataFrame) -> DataFrame:
 
     n = partitions(chosen.sparkSession)
     dealt = chosen.select("file", "offset", "length", "page_id", "refers_to").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, "page_id long, type string, refers_to long, noted string, payload binary")
-
-
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [x.as_py() for x in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(map(len, data)), type=pa.int64()), pa.array(list(map(digest, data)), type=pa.string())], names=["page_id", "type", "refers_to", "noted", "bytes", "digest"])
+    return dealt.mapInArrow(run, "page_id long, type string, refers_to long, noted string, " + ("bytes long, digest string" if measure else "payload binary"))
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """Payload sizes and digests of all records; a revisit has those of the response it refers to.
+def resolve(chosen: DataFrame) -> DataFrame:
+    """Read chosen index rows. Payload sizes and digests of all records; a revisit has those of the response it refers to.
 
     A response is found by its page_id and payload digest, as one page_id may have several.
     """
-    got = stash(records.mapInArrow(_measure, "page_id long, type string, refers_to long, noted string, bytes long, digest string"), "records")
+    got = stash(read(chosen, measure=True), "records")
     asked = got.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("__r"), F.col("noted").alias("__n")).distinct()
     heads = got.filter("type = 'response' AND page_id IS NOT NULL").join(asked, (F.col("page_id") == F.col("__r")) & (F.col("digest") == F.col("__n")), "left_semi")
     heads = stash(heads.select(F.col("page_id").alias("__head"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")).distinct(), "heads")
@@ -244,4 +231,4 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    return resolve(read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)))
+    return resolve(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path))

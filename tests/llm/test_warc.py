@@ -20,7 +20,7 @@ def made(spark, path, pages=PAGES):
 
 
 def test_round_trip(spark, tmp_path):
-    got = [tuple(r) for r in warc.resolve(warc.read(made(spark, tmp_path / "w"))).collect()]
+    got = [tuple(r) for r in warc.resolve(made(spark, tmp_path / "w")).collect()]
     want = [
         (1, sha(PAGES[0][2]), "revisit", 2), (2, sha(PAGES[0][2]), "response", None), (3, sha(""), "revisit", 4), (4, sha(""), "response", None),
         (5, sha(PAGES[4][2]), "response", None), (6, sha("last"), "response", None), (6, sha("last"), "response", None), (6, sha("other"), "response", None),
@@ -61,4 +61,4 @@ def test_ranges_merge():
 
 
 def test_no_pages(spark, tmp_path):
-    assert warc.resolve(warc.read(made(spark, tmp_path / "w", []))).collect() == []
+    assert warc.resolve(made(spark, tmp_path / "w", [])).collect() == []
