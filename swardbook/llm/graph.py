@@ -14,23 +14,28 @@ from .scratch import stash, unstash
 _SCHEMA = "u long, v long"
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least): every node of the edges (u, v) beside the least node it is joined to, but for the least."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = np.arange(len(nodes))
+    a, b = ends[: len(u)], ends[len(u) :]
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of a task by stars to each local component's smallest node."""
     for batch in batches:
-        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-        label = np.arange(len(nodes))
-        a, b = ends[: len(u)], ends[len(u) :]
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            label = label[label]
-            if np.array_equal(before, label):
-                break
-        far = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["u", "v"])
+        node, least = stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["u", "v"])
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:

@@ -7,8 +7,11 @@
 3. Rounds: at every node its neighbours, in both directions, meet and are
    compared with each other (neighbours of neighbours); each keeps its best. A
    list that is full of links doubles, until it is not full or is LISTS[-1]
-   long. Rounds end when few lists change.
-4. Edges at the threshold or above are kept. Their components hold all links.
+   long; one full of links also keeps its best neighbours that are none, since
+   those lead out of a tight group. Rounds end when few lists change.
+4. Every pair at the threshold or above that any block compares is in a tie,
+   whatever the lists drop: blocks give a spanning forest of their links. Ties
+   and kept links make the components.
 5. Links are counted exactly: inside each component all members are compared in
    blocks, so a cluster of any size gets whole counts without a list of pairs.
 6. Recall is audited: a bounded sample of nodes is compared with every vector.
@@ -34,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pair_blocks, split_keys, stream_blocks
-from .graph import components
+from .graph import components, stars
 from .scratch import stash, unstash
 
 THRESHOLD = 0.9
 #: Similarity from which a neighbour is worth following.
 FLOOR = 0.7
-#: Lengths of a neighbour list; one full of links moves to the next. Lists only have to tie clusters together: links are counted apart.
+#: Lengths of a neighbour list; one full of links moves to the next. Lists only lead the search: ties make components, links are counted apart.
 LISTS = (8, 16)
 #: Hyperplane tables of the first search, and of each further one after a failed audit.
 TABLES = 8
@@ -96,32 +99,46 @@ def _signer(dim: int, tables: int, bits: int, first: int):
     return run
 
 
-def _best(node: np.ndarray, x: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's best neighbours of FLOOR or more among the rows, as (u, v, sim)."""
-    us, vs, sims = [], [], []
+def _best(node: np.ndarray, x: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each row's best neighbours of FLOOR or more among the rows, as (u, v, sim), and ends (a, b) that join all linked rows."""
+    us, vs, sims, lows, highs = [], [], [], [], []
     wide = int(most.max())
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
-        s[np.arange(len(s)), a + np.arange(len(s))] = -2
-        k = min(wide, len(x) - 1)
-        if k < 1:
-            continue
+
+    def take(s: np.ndarray, rows: np.ndarray, k: int, most: np.ndarray) -> None:
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         sim = np.take_along_axis(s, top, axis=1)
         order = np.argsort(-sim, axis=1, kind="stable")
         top, sim = np.take_along_axis(top, order, axis=1), np.take_along_axis(sim, order, axis=1)
-        keep = (sim >= FLOOR) & (np.arange(k)[None, :] < most[a : a + 1024, None])
-        i, j = np.nonzero(keep)
-        us.append(node[a + i])
+        i, j = np.nonzero((sim >= FLOOR) & (np.arange(k)[None, :] < most[:, None]))
+        us.append(node[rows[i]])
         vs.append(node[top[i, j]])
         sims.append(sim[i, j])
+
+    for a in range(0, len(x), 1024):
+        s = x[a : a + 1024] @ x.T
+        rows = a + np.arange(len(s))
+        s[np.arange(len(s)), rows] = -2
+        k = min(wide, len(x) - 1)
+        if k < 1:
+            continue
+        take(s, rows, k, most[rows])
+        near = s >= THRESHOLD
+        i, j = np.nonzero(near & (np.arange(len(x))[None, :] > rows[:, None]))
+        if len(i) > len(s):
+            i, j = stars(a + i, j)
+            i = i - a
+        lows.append(node[a + i])
+        highs.append(node[j])
+        full = np.flatnonzero(near.sum(axis=1) >= most[rows])
+        if len(full):  # lists with links alone: what is no link leads on
+            take(np.where(near[full], -2, s[full]), rows[full], min(LISTS[0], k), np.full(len(full), LISTS[0]))
     empty = np.zeros(0)
     cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else empty.astype(kind)
-    return cat(us, np.int64), cat(vs, np.int64), cat(sims, np.float64)
+    return cat(us, np.int64), cat(vs, np.int64), cat(sims, np.float64), cat(lows, np.int64), cat(highs, np.int64)
 
 
 def _meet(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Compare the nodes of every block with each other."""
+    """Compare the nodes of every block with each other. Rows without sim are ties: a forest over all links of the blocks."""
     ends = np.append(starts[1:], table.num_rows)
     node, most = table.column("node").to_numpy(), table.column("most").to_numpy()
     out = []
@@ -129,26 +146,33 @@ def _meet(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if b - a > 1:
             out.append(_best(node[a:b], _unit(table.column("v").slice(int(a), int(b - a))), most[a:b]))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["u", "v", "sim"])
+        u, v, sim, low, high = (np.concatenate(o) for o in zip(*out))
+        low, high = stars(low, high)
+        sim = pa.array(np.concatenate([sim, np.full(len(low), np.nan)]), from_pandas=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, low])), pa.array(np.concatenate([v, high])), sim], names=["u", "v", "sim"])
 
 
 def _shortlist(edges: DataFrame) -> DataFrame:
-    """Every node's best distinct neighbours: as many as its list is long, where full lists of links double.
+    """All ties, and every node's best distinct neighbours: as many as its list is long, where full lists of links double.
 
-    Offers for a node are bounded by what its blocks emit, LISTS[-1] each, and
-    the first of its neighbours by (similarity, id) stay.
+    Offers for a node are bounded by what its blocks emit, and the first of its
+    neighbours by (similarity, id) stay; beside links alone, LISTS[0] of the rest.
     """
-    each = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    links = F.sum((F.col("sim") >= THRESHOLD).cast("long")).over(Window.partitionBy("u"))
+    tie = F.col("sim").isNull()
+    each = edges.groupBy("u", "v", tie.alias("tie")).agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("u", "tie").orderBy(F.desc("sim"), "v"))
+    links = F.sum((F.col("sim") >= THRESHOLD).cast("long")).over(Window.partitionBy("u", "tie"))
     length = F.lit(LISTS[-1])
     for n in reversed(LISTS[:-1]):
-        length = F.when(links < n, n).otherwise(length)
-    return each.withColumn("most", length).withColumn("__rank", rank).filter("__rank <= most").select("u", "v", "sim", "most")
+        length = F.when(F.col("__links") < n, n).otherwise(length)
+    ranked = each.withColumns({"__rank": rank, "__links": links}).withColumn("most", length)
+    beside = (F.col("__links") >= F.col("most")) & F.col("__rank").between(F.col("__links") + 1, F.col("__links") + LISTS[0])
+    return ranked.filter(F.col("tie") | (F.col("__rank") <= F.col("most")) | beside).select("u", "v", "sim", "most")
 
 
 def _round(graph: DataFrame, found: DataFrame) -> DataFrame:
     """Neighbours of neighbours: the nodes next to a node meet there."""
+    graph = graph.filter("sim IS NOT NULL")
     sides = graph.select(F.col("v").alias("at"), F.col("u").alias("node")).union(graph.select(F.col("u").alias("at"), F.col("v").alias("node")))
     sides = sides.union(graph.select(F.col("u").alias("at"), F.col("u").alias("node"))).distinct()
     most = graph.groupBy("u").agg(F.max("most").alias("most"))
@@ -173,7 +197,7 @@ def _refine(edges: DataFrame, found: DataFrame) -> DataFrame:
     graph = stash(_shortlist(edges), "graph")
     before = None
     for _ in range(ROUNDS):
-        state = graph.agg(F.count("*"), F.sum("sim")).first()
+        state = graph.agg(F.count("sim"), F.sum("sim")).first()
         if not state[0] or before and state[0] - before[0] <= 0.01 * before[0] and state[1] - before[1] <= 0.01 * before[1]:
             break
         before = state
@@ -252,7 +276,7 @@ def classes(vectors: DataFrame) -> DataFrame:
         for search in range(SEARCHES):
             seeds = _seeds(found, dim, count, search * TABLES)
             edges = stash(_refine(seeds if edges is None else edges.union(seeds), found), "edges")
-            links = edges.filter(F.col("sim") >= THRESHOLD)
+            links = edges.filter((F.col("sim") >= THRESHOLD) | F.col("sim").isNull())
             placed = stash(components(links, "u", "v").select(F.col("node").alias("__node"), F.col("component").alias("__component")), "placed")
             recall = _audit(found, placed, dim)
             if recall >= RECALL:

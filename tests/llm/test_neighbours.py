@@ -61,3 +61,25 @@ def test_full_lists_grow(spark):
     got = neighbours._shortlist(spark.createDataFrame(edges, "u long, v long, sim double")).collect()
     assert sum(x.u == 0 for x in got) == 16 and {x.most for x in got if x.u == 0} == {16}
     assert sum(x.u == 30 for x in got) == 8
+
+
+def group(r, centre, n, tight=0.01):
+    return [(centre + tight * r.standard_normal(8)).tolist() for _ in range(n)]
+
+
+def test_tight_groups_with_linked_members(spark, monkeypatch):
+    """Every list fills with closer members of the own group, and all of one group links with all of the other."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "BUCKET", 32)
+    r = np.random.default_rng(5)
+    a = np.eye(8)[0]
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * np.eye(8)[1]
+    data = [(k, v) for k, v in enumerate(group(r, a, 30) + group(r, b, 30) + r.standard_normal((200, 8)).tolist())]
+    assert run(spark, data) == slow(data)
+
+
+def test_ties_outlive_lists(spark):
+    edges = [(0, k, 0.95) for k in range(1, 21)] + [(40, 0, None), (0, 50, 0.8)]
+    got = neighbours._shortlist(spark.createDataFrame(edges, "u long, v long, sim double")).collect()
+    assert [(x.u, x.v) for x in got if x.sim is None] == [(40, 0)]
+    assert sorted(x.v for x in got if x.u == 0) == [*range(1, 17), 50]
