@@ -6,25 +6,26 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import partitions, stash
 
 
-def split_keys(df: DataFrame, keys: Sequence[str], by: str, most: int) -> DataFrame:
+def split_keys(df: DataFrame, keys: Sequence[str], by: str, most: int, *salt: Column) -> DataFrame:
     """Drop rows whose key nothing else has, and add __parts: in how many blocks a key's rows go.
 
     Keys are counted with map-side partial sums and the counts are joined back,
     so a key that holds a third of the rows is never gathered anywhere. The
     counts are written first: both sides of the join are then plain exchanges,
-    of which Spark can split a skewed one.
+    of which Spark can split a skewed one. Rows of equal salt are cut alike: where
+    parts do not meet through pair_blocks, salts of several cuts have to differ.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
     counts = stash(counts.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.ceil(F.col("__n") / most).cast("int").alias("__parts")), "counts")
     on = [F.col(k) == F.col(f"__k_{k}") for k in keys]
     joined = df.join(counts, on).drop(*(f"__k_{k}" for k in keys))
-    return joined.withColumn("__part", F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"))
+    return joined.withColumn("__part", F.pmod(F.xxhash64(by, *salt), F.col("__parts")).cast("int"))
 
 
 def pair_blocks(df: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 1. Equal vectors become one node with a count.
 2. Seeds: random hyperplanes deal the nodes into buckets, several times over; in
    each bucket every node keeps its best neighbours. Buckets beyond a block's
-   size are split into blocks.
+   size are split into blocks, in every table and round another way, so that
+   what a cut keeps apart in one meets in others.
 3. Rounds: at every node its neighbours, in both directions, meet and are
    compared with each other (neighbours of neighbours); each keeps its best. A
    list that is full of links doubles, until it is not full or is LISTS[-1]
@@ -15,7 +16,8 @@
 5. Links are counted exactly: inside each component all members are compared in
    blocks, so a cluster of any size gets whole counts without a list of pairs.
 6. Recall is audited: a bounded sample of nodes is compared with every vector.
-   If under RECALL, the search goes on with more hyperplanes.
+   If under RECALL, the search goes on with more hyperplanes until it is not;
+   if after SEARCHES one more finds nothing new, an error says so.
 
 Only promising neighbours (FLOOR or more) enter a list: isolated vectors have
 empty lists, cost nothing in the rounds, and cannot hide a link.
@@ -29,6 +31,7 @@ count each other; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +55,7 @@ BUCKET, BLOCK = 128, 512
 ROUNDS = 4
 RECALL = 0.97
 AUDIT = 400
+#: Searches after which one that does not raise the recall is an error.
 SEARCHES = 3
 _EDGE = "u long, v long, sim double"
 
@@ -170,13 +174,13 @@ def _shortlist(edges: DataFrame) -> DataFrame:
     return ranked.filter(F.col("tie") | (F.col("__rank") <= F.col("most")) | beside).select("u", "v", "sim", "most")
 
 
-def _round(graph: DataFrame, found: DataFrame) -> DataFrame:
+def _round(graph: DataFrame, found: DataFrame, salt: int) -> DataFrame:
     """Neighbours of neighbours: the nodes next to a node meet there."""
     graph = graph.filter("sim IS NOT NULL")
     sides = graph.select(F.col("v").alias("at"), F.col("u").alias("node")).union(graph.select(F.col("u").alias("at"), F.col("v").alias("node")))
     sides = sides.union(graph.select(F.col("u").alias("at"), F.col("u").alias("node"))).distinct()
     most = graph.groupBy("u").agg(F.max("most").alias("most"))
-    dealt = split_keys(sides, ["at"], "node", BLOCK).select("at", "__part", F.col("node"))
+    dealt = split_keys(sides, ["at"], "node", BLOCK, F.col("at"), F.lit(salt)).select("at", "__part", F.col("node"))
     members = stash(found.join(most, found["node"] == most["u"], "left").select(F.col("node").alias("__id"), "v", F.coalesce("most", F.lit(LISTS[0])).alias("most")), "members")
     rows = dealt.join(members, dealt["node"] == members["__id"]).select("at", "__part", "node", "most", "v")
     return stream_blocks(rows, ["at", "__part"], _meet, _EDGE)
@@ -186,22 +190,22 @@ def _seeds(found: DataFrame, dim: int, count: int, first: int) -> DataFrame:
     bits = max(1, min(40, int(np.ceil(np.log2(max(2, count / BUCKET))))))
     signed = found.select("node", "v").mapInArrow(_signer(dim, TABLES, bits, first), "table long, code long, node long, v array<double>")
     signed = stash(signed, "signed")
-    dealt = split_keys(signed.select("table", "code", "node"), ["table", "code"], "node", BLOCK).select("table", "code", "__part", "node")
+    dealt = split_keys(signed.select("table", "code", "node"), ["table", "code"], "node", BLOCK, F.col("table")).select("table", "code", "__part", "node")
     members = signed.select(F.col("table").alias("__t"), F.col("node").alias("__id"), "v")
     rows = dealt.join(members, (F.col("table") == F.col("__t")) & (F.col("node") == F.col("__id")))
     rows = rows.select("table", "code", "__part", "node", F.lit(LISTS[0]).alias("most"), "v")
     return stream_blocks(rows, ["table", "code", "__part"], _meet, _EDGE)
 
 
-def _refine(edges: DataFrame, found: DataFrame) -> DataFrame:
+def _refine(edges: DataFrame, found: DataFrame, search: int) -> DataFrame:
     graph = stash(_shortlist(edges), "graph")
     before = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         state = graph.agg(F.count("sim"), F.sum("sim")).first()
         if not state[0] or before and state[0] - before[0] <= 0.01 * before[0] and state[1] - before[1] <= 0.01 * before[1]:
             break
         before = state
-        more = stash(_shortlist(graph.select("u", "v", "sim").union(_round(graph, found))), "graph")
+        more = stash(_shortlist(graph.select("u", "v", "sim").union(_round(graph, found, search * ROUNDS + turn))), "graph")
         unstash(graph)
         graph = more
     return graph.select("u", "v", "sim")
@@ -273,14 +277,16 @@ def classes(vectors: DataFrame) -> DataFrame:
         dim, count = sizes[0]
         found = found.filter(F.size("v") == dim)
         edges = None
-        for search in range(SEARCHES):
+        for search in itertools.count():
             seeds = _seeds(found, dim, count, search * TABLES)
-            edges = stash(_refine(seeds if edges is None else edges.union(seeds), found), "edges")
+            edges = stash(_refine(seeds if edges is None else edges.union(seeds), found, search), "edges")
             links = edges.filter((F.col("sim") >= THRESHOLD) | F.col("sim").isNull())
             placed = stash(components(links, "u", "v").select(F.col("node").alias("__node"), F.col("component").alias("__component")), "placed")
-            recall = _audit(found, placed, dim)
+            before, recall = recall, _audit(found, placed, dim)
             if recall >= RECALL:
                 break
+            if search + 1 >= SEARCHES and recall <= before:
+                raise RuntimeError(f"near-dedup found {recall:.4f} of the audited links after {search + 1} searches, and {RECALL} are wanted")
         member = found.join(placed, F.col("node") == F.col("__node")).select(F.col("__component").alias("component"), "node", "v", "copies")
         counts = stash(_exact_counts(member), "counts")
     named = found.select("node", "v", "copies")

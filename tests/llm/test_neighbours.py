@@ -83,3 +83,21 @@ def test_ties_outlive_lists(spark):
     got = neighbours._shortlist(spark.createDataFrame(edges, "u long, v long, sim double")).collect()
     assert [(x.u, x.v) for x in got if x.sim is None] == [(40, 0)]
     assert sorted(x.v for x in got if x.u == 0) == [*range(1, 17), 50]
+
+
+def test_cluster_beyond_a_block(spark, monkeypatch):
+    """Parts of one bucket meet in other tables, as each cuts it another way."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    data = list(enumerate(group(np.random.default_rng(7), np.eye(8)[0], 150, 1e-4) + np.eye(8)[1:].tolist() + (-np.eye(8)).tolist()))
+    assert run(spark, data) == slow(data)
+
+
+def test_failed_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_audit", lambda *_: 0.5)
+    try:
+        run(spark, [(k, v) for k, v in enumerate(np.eye(8).tolist())])
+    except RuntimeError as e:
+        assert "0.5" in str(e)
+    else:
+        raise AssertionError("no error")
