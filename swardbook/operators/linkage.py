@@ -5,6 +5,8 @@ name once. Scoring compares every open name with every roster row, by the
 nature of the rule; a roster of up to ROSTER_LIMIT rows travels to the tasks as
 a broadcast of checked size, a larger one is dealt in blocks that meet the names
 block by block. Either way a name keeps its best two scores, no pair is stored.
+Letters in common bound a score from above; pairs that cannot reach SCORE by them
+skip the full rule.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,13 +90,76 @@ def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 _BEST = "sheet_name string, id long, score double, rank long"
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each of the 36 letters and digits is in each text."""
+    out = np.zeros((len(texts), 36), dtype=np.int16)
+    for k, text in enumerate(texts):
+        for c in text:
+            out[k, int(c, 36)] += 1
+    return out
+
+
+def _shared(own: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What _ratio is at most: letters in common, in any order, over lengths."""
+    return 2 * np.minimum(own, others).sum(axis=1) / np.maximum(own.sum() + sizes, 1)
+
+
+class _Bounds:
+    """Which roster rows can reach SCORE, by upper bounds on every term of similarity; no row that does is left out."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.keys = [_letters([_key(n) for n in names]), _letters([_collapsed(_key(n)) for n in names])]
+        self.sizes = [k.sum(axis=1) for k in self.keys]
+        tokens = [_tokens(n) for n in names]
+        self.words = sorted({t for q in tokens for t in q})
+        at = {t: k for k, t in enumerate(self.words)}
+        self.n = np.array([len(q) for q in tokens], dtype=np.int64)
+        # past a row's tokens, the place after the last word
+        self.at = np.full((len(names), max(1, max(self.n, default=0))), len(self.words))
+        for k, q in enumerate(tokens):
+            self.at[k, : len(q)] = [at[t] for t in q]
+        self.letters = _letters(self.words)
+        self.lengths = self.letters.sum(axis=1)
+        self.saints = np.array([w.startswith("saint") for w in self.words], dtype=bool)
+        self.short = np.array([w in ("st", "ste") for w in self.words], dtype=bool)
+        self.known: dict[str, np.ndarray] = {}
+
+    def _token(self, t: str) -> np.ndarray:
+        """Bound of each word's likeness to t; -1 behind the last word."""
+        if t not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            u = _shared(_letters([t])[0], self.letters, self.lengths)
+            u[self.saints & (t in ("st", "ste")) | self.short & t.startswith("saint")] = 1
+            self.known[t] = np.append(u, -1.0)
+        return self.known[t]
+
+    def rows(self, name: str) -> np.ndarray:
+        own, eps = _key(name), 1e-9
+        likely = np.zeros(len(self.n), dtype=bool)
+        for text, letters, sizes in zip((own, _collapsed(own)), self.keys, self.sizes):
+            likely |= _shared(_letters([text])[0], letters, sizes) >= SCORE - eps
+        p = _tokens(name)
+        if p:
+            each = np.stack([self._token(t)[self.at] for t in p])
+            mine, theirs = each.max(axis=2), each.max(axis=0)
+            real = theirs >= 0
+            mean = (mine.mean(axis=0) + np.where(real, theirs, 0).sum(axis=1) / np.maximum(self.n, 1)) / 2
+            inside = (len(p) <= self.n) & (mine.min(axis=0) >= TOKEN - eps) | (self.n <= len(p)) & (np.where(real, theirs, 1).min(axis=1) >= TOKEN - eps)
+            likely |= (self.n > 0) & (inside | (mean >= SCORE - eps))
+        if not own:
+            likely |= self.sizes[0] == 0
+        return np.flatnonzero(likely)
+
+
 def _top(names: list[str], roster: list[tuple[int, str, int]], skip_same: bool, unpriced: set[int]) -> Iterator[tuple]:
     """The two best roster rows of every name, the earlier of equals first."""
     keys = [(i, n, r, _key(n)) for i, n, r in roster if n.strip()]
+    bounds = _Bounds([n for _, n, _, _ in keys])
     for name in names:
         own = _key(name)
         found = []
-        for i, other, rank, key in keys:
+        for i, other, rank, key in (keys[k] for k in bounds.rows(name)):
             if key == own and (skip_same or i in unpriced):
                 continue
             score = 1.0 if key == own else similarity(name, other)
@@ -117,7 +183,7 @@ def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
             for batch in batches:
                 yield frame(list(_top(batch["sheet_name"].tolist(), shared.value[0], skip_same, shared.value[1])))
 
-        return names.mapInPandas(run, _BEST)
+        return names.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, _BEST)  # few bytes, much work: not one task
     blocks = -(-roster.count() // ROSTER_LIMIT)
     dealt = roster.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

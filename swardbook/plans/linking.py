@@ -41,11 +41,13 @@ def sheet_names(led: Ledger):
     """Names as a sheet might spell them: roster names with a doubled letter, a dropped one, other order."""
     n, i = F.col("name"), F.col("id")
     spelled = F.when(i % 4 == 0, F.lower(n)).when(i % 4 == 1, F.regexp_replace(n, "^(.)(.)", "$1$2$2")).when(i % 4 == 2, F.regexp_replace(n, "^(...).", "$1")).otherwise(F.concat_ws(" ", T.after_comma(n), F.split_part(n, F.lit(","), F.lit(1))))
-    return led.clients.filter("id <= 142").select(spelled.alias("sheet_name"))
+    return led.clients.select(spelled.alias("sheet_name"))
 
 
-def few_clients(led: Ledger):
-    return led.clients.filter("id <= 142")
+def noted_names(led: Ledger):
+    """Sheet rows for the conflicts: every spelled name, and names of no client."""
+    n = sheet_names(led).union(led.table("supplier").select(F.col("s_name")))
+    return n.select(F.col("sheet_name").alias("seq"), F.col("sheet_name").alias("name"), F.lit("15h").alias("work"))
 
 
 def questions(led: Ledger):
@@ -100,9 +102,9 @@ QUERIES = {
     "confirm_lines": lambda s, d: confirmed(Ledger(s, d))["work"].select("client_id", "month", "day_or_note", "description", "amount", "source_job_id"),
     "name_similarity": lambda s, d: (x := Ledger(s, d)).table("part").select("p_name").distinct().crossJoin(F.broadcast(x.table("region").select("r_name"))).select("p_name", "r_name", L.name_similarity(F.col("p_name"), F.col("r_name")).alias("score")),
     "filing_exact": lambda s, d: L.file_clients((x := Ledger(s, d)).clients.filter("mow_price IS NOT NULL").select(F.upper("name").alias("sheet_name")), x.clients.filter("mow_price IS NOT NULL")),
-    "filing_clients": lambda s, d: L.file_clients(sheet_names(x := Ledger(s, d)), few_clients(x)),
-    "suggest_clients": lambda s, d: L.suggest_clients(sheet_names(x := Ledger(s, d)), few_clients(x)),
-    "open_conflicts": lambda s, d: L.open_conflicts(sheet_names(x := Ledger(s, d)).select(F.col("sheet_name").alias("seq"), F.col("sheet_name").alias("name"), F.lit("15h").alias("work")), few_clients(x).filter("id % 2 = 0")),
+    "filing_clients": lambda s, d: L.file_clients(sheet_names(x := Ledger(s, d)), x.clients),
+    "suggest_clients": lambda s, d: L.suggest_clients(sheet_names(x := Ledger(s, d)), x.clients),
+    "open_conflicts": lambda s, d: L.open_conflicts(noted_names(x := Ledger(s, d)), x.clients),
     "merge_office_lists": lambda s, d: M.merge_sources(records(Ledger(s, d))),
     "match_office_roster": lambda s, d: M.match_roster(records(x := Ledger(s, d)).filter("source = 0").select(F.when(F.col("seq") % 2 == 0, T.name_key(F.col("name"))).otherwise(F.concat(T.name_key(F.col("name")), F.lit("etal"))).alias("key"), "seq").filter("seq > 142"), x.clients.filter("id > 142")),
     "hedge_list": lambda s, d: O.hedge_records(office_lines(Ledger(s, d))).select("doc", "record", "name", "address", "hedge_price", "billing_notes"),

@@ -103,3 +103,18 @@ def test_richest_and_longest_rows(spark):
     df = spark.createDataFrame([(0, ["A", "", "x"]), (1, ["a!", "1", "y"]), (2, ["", "q"]), (3, ["A", "2", "zzz"])], "row_no int, cells array<string>").selectExpr("*", "1 AS g")
     got = sorted((r.seen, r.cells) for r in sheets.richest_rows(df, ["g"]).collect())
     assert got == [(0, ["A", "2", "zzz"]), (2, ["", "q"])]
+
+
+def test_bounds_leave_out_no_score():
+    import random
+
+    r = random.Random(3)
+    parts = ["SMITH", "Smyth", "Mary", "Marie", "ST", "Saint", "SAINTS", "Ste", "Sophia", "O'Neil", "Jo", "K", "12", "1234", "4321", "Ana & Joe", "VAN DYKE", "ä", "-", "HOLT", "HOLLT", "Jim", ","]
+    names = [" ".join(r.sample(parts, r.randint(1, 4))) for _ in range(250)] + ["", "ß", "?"]
+    roster = [(k, n, k) for k, n in enumerate(names)]
+    want = []
+    for name in names:
+        own = linkage._key(name)
+        scores = [(1.0 if linkage._key(n) == own else linkage.similarity(name, n), k) for k, n in enumerate(names) if n.strip()]
+        want += [(name, k, s, k) for s, k in sorted((-s, k) for s, k in scores if s >= linkage.SCORE)[:2] for s in [-s]]
+    assert list(linkage._top(names, roster, False, set())) == want
