@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_token_files": tokenfiles.query,
     "op5_quality_rules": quality.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }

@@ -24,3 +24,9 @@ def test_linkage_meets_the_whole_roster(spark, monkeypatch):
         monkeypatch.setattr(linkage, operator, spy(query))
         linking.QUERIES[query](spark, DATA)
     assert seen == {"filing_clients": (n, n), "suggest_clients": (n, n), "open_conflicts": (n + m, n)}
+
+
+def test_oracles_are_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
