@@ -2,9 +2,10 @@
 
 A text is cut before every space that precedes a non-space. Byte-level BPE with
 the usual split pattern never merges across such a cut, so the ids of a text are
-the ids of its pieces in a row. A worker remembers the ids of the pieces it has
-met in a bounded memo; new pieces go to the tokenizers library, word by word to
-its BPE model where that gives what the whole tokenizer gives.
+the ids of its pieces in a row. A batch of texts becomes a dictionary of
+distinct pieces and their codes; only the dictionary is looked up in the
+worker's bounded memo, and pieces that are new go to the tokenizers library many
+at a time, as one text whose ids are cut at the ids that begin with a space.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers for good, and of later ones, which make room for each other.
-MEMO, YOUNG = 600_000, 100_000
-#: A cut is no cut if white space follows the space.
-_ODD = re.compile(r" (?=\s|\Z)")
+MEMO, YOUNG = 700_000, 200_000
+#: New pieces in one text for the library, and bytes of text in one batch of ids.
+TOGETHER, BYTES = 10_000, 16 << 20
+#: Spaces that are no cut: those before white space and at the end.
+_ODD = r" (?:\z|[\x09-\x0d\x1c-\x20\x{85}]|\pZ)"
 _CUT = re.compile(r"(?= [^\s])")
 _PROBE = "Probe it's 12 naïve, (words)\n\n  and…  spaces\t é 　x "
 
@@ -32,11 +37,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+def small_parts(texts: pa.Array, rows: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of at most rows texts and BYTES bytes; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and (i - first == rows or held + size > BYTES):
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 class Encoder:
@@ -47,66 +58,106 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(chr(256 + 32))]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-        self.young: list[str] = []
-        self.direct = True
+        self.young: dict[str, bytes] = {}
+        self.cuts = True
         try:
-            self.direct = self._ids(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+            self.cuts = self.encode(pa.array([_PROBE]), 0)[0].tolist()[:-1] == self._ids(_PROBE)
         except Exception:  # a vocabulary of another kind
-            self.direct = False
+            self.cuts = False
+        self.memo.clear()
+        self.young.clear()
 
     def _ids(self, piece: str) -> list[int]:
-        if not self.direct or any(s in piece for s in self.special):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        return [t.id for word in self.words(piece) for t in tokenize(word.encode("utf-8").decode("latin-1").translate(letters))]
-
-    def _learn(self, key: str) -> bytes:
-        if len(self.memo) >= MEMO:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        plain = [k for k in keys if k and " " not in k and not any(s in k for s in self.special)]
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(some) and at[0] == 0:
+                found.update(zip(some, (ids[a:b].tobytes() for a, b in zip(at, [*at[1:], len(ids)]))))
+        for k in keys:
+            if k not in found:
+                found[k] = array("i", self._ids(k[1:] if k[:1] == " " else " " + k)).tobytes() if k != " " else b""
+        for k, ids in found.items():
+            if len(self.memo) < MEMO:
+                self.memo[k] = ids
+                continue
             if len(self.young) >= YOUNG:
-                for old in self.young:
-                    del self.memo[old]
                 self.young.clear()
-            self.young.append(key)
-        found = array("i", self._ids(key[1:] if key[0] == " " else " " + key)).tobytes() if key != " " else b""
-        self.memo[key] = found
+            self.young[k] = ids
         return found
 
-    @staticmethod
-    def _keys(text: str) -> list[str]:
-        if _ODD.search(text):
-            keys = _CUT.split(text)
-            keys = [keys[0], *(k[1:] for k in keys[1:])]
-        else:
-            keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        return keys
-
-    def _parts(self, text: str) -> list[bytes]:
-        keys = self._keys(text)
+    def _look_up(self, keys: list[str]) -> list[bytes]:
         parts = list(map(self.memo.get, keys))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    parts[i] = self.memo[keys[i]] if keys[i] in self.memo else self._learn(keys[i])
+        new = [i for i, p in enumerate(parts) if p is None]
+        for i in new:
+            parts[i] = self.young.get(keys[i])
+        new = [i for i in new if parts[i] is None]
+        if new:
+            found = self._learn(list(dict.fromkeys(keys[i] for i in new)))
+            for i in new:
+                parts[i] = found[keys[i]]
         return parts
 
-    def lengths(self, texts: Iterable[str | None]) -> np.ndarray:
-        return np.array([sum(map(len, self._parts(t))) // 4 if t else 0 for t in texts], dtype=np.int64)
-
-    def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """Each text's pieces without the space before them."""
+        lists = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) | (not self.cuts)
+        if not odd.any():
+            return lists
+        slow = []
+        for t in texts.filter(pa.array(odd)).to_pylist():
+            keys = _CUT.split(t) if self.cuts else [t]
+            slow.append([keys[0], *(k[1:] for k in keys[1:])])
+        place = np.where(odd, len(odd) + np.cumsum(odd) - 1, np.arange(len(odd)))
+        return pa.concat_arrays([lists, pa.array(slow, type=lists.type)]).take(pa.array(place))
+
+    def _codes(self, texts: pa.Array, *more: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of each distinct piece and then more, number of every piece's ids among them, where each text's pieces start)."""
+        lists = self._pieces(pc.fill_null(texts, ""))
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = lists.flatten()
+        coded = values.dictionary_encode()
+        first = values.take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = self._look_up(known) + self._look_up([" " + k for k in first]) + list(more)
+        codes[starts[:-1]] = len(known) + np.arange(len(first))
+        return parts, codes, starts
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        if not len(texts):
+            return np.zeros(0, dtype=np.int64)
+        parts, codes, starts = self._codes(texts)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        return np.add.reduceat(sizes[codes], starts[:-1])
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, lengths), each text with the end id."""
-        last = array("i", [end]).tobytes()
-        rows = [b"".join(self._parts(t)) + last if t else last for t in texts]
-        return np.frombuffer(b"".join(rows), dtype=np.int32), np.array(list(map(len, rows)), dtype=np.int64) // 4
+        if not len(texts):
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        parts, codes, starts = self._codes(texts, array("i", [end]).tobytes())
+        codes = np.insert(codes, starts[1:], len(parts) - 1)
+        starts = starts + np.arange(len(starts))
+        known = np.frombuffer(b"".join(parts), dtype=np.int32)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        froms = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        at = np.repeat(froms[codes] - (np.cumsum(each) - each), each)
+        at += np.arange(len(at))
+        return known[at], np.add.reduceat(each, starts[:-1])
 
 
 _encoders: dict[str, Encoder] = {}

@@ -10,9 +10,10 @@ some doc_ids skips pages and row groups by their indexes.
 The first id of a document is stored relative to its file's range; the ranges'
 totals, one number each, give the global start.
 
-Defined cases: a null text is the empty text, so only the end id; a null doc_id
-sorts first; rows with one doc_id are ordered by text, equal rows are
-interchangeable; an empty table gives no rows; other columns are not read.
+Defined cases: a null text is the empty text, so only the end id; a very long
+text is a batch of its own; a null doc_id sorts first; rows with one doc_id are
+ordered by text, equal rows are interchangeable; an empty table gives no rows;
+other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encode import default_vocabulary, encoder
+from .encode import default_vocabulary, encoder, small_parts
 from .scratch import fresh_path, partitions
 
 END = 0
-#: Rows of one Arrow batch on the way out, so that a batch of ids stays small.
-BATCH = 512
+#: Rows of one Arrow batch of ids at most; long texts make it shorter.
+BATCH = 2048
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
@@ -54,9 +55,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(vocabulary), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                some = batch.slice(i, BATCH)
-                flat, lengths = enc.encode(some.column(2).to_pylist(), END)
+            for i, j in small_parts(batch.column(2), BATCH):
+                some = batch.slice(i, j - i)
+                flat, lengths = enc.encode(some.column(2), END)
                 ends = np.cumsum(lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), type=pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from swardbook.llm import encode, lengths, tokenfiles
@@ -18,17 +19,36 @@ def plain(texts):
 
 def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     enc = encode.Encoder(encode.default_vocabulary())
-    want = plain(TEXTS)
-    assert enc.direct
+    want, texts = plain(TEXTS), pa.array(TEXTS, pa.string())
+    assert enc.cuts
     for memo, young in ((encode.MEMO, encode.YOUNG), (3, 2), (0, 1)):
         monkeypatch.setattr(encode, "MEMO", memo)
         monkeypatch.setattr(encode, "YOUNG", young)
         enc = encode.Encoder(encode.default_vocabulary())
         for _ in range(2):
-            flat, n = enc.encode(TEXTS, 0)
+            flat, n = enc.encode(texts, 0)
             cuts = np.split(flat, np.cumsum(n)[:-1])
             assert [c.tolist() for c in cuts] == [[*w, 0] for w in want]
-            assert enc.lengths(TEXTS).tolist() == [len(w) for w in want]
+            assert enc.lengths(texts).tolist() == [len(w) for w in want]
+            some = texts.slice(3, 9)
+            assert enc.lengths(some).tolist() == [len(w) for w in want[3:12]]
+    assert len(enc.encode(texts.slice(0, 0), 0)[0]) == 0
+
+
+def test_long_texts_are_runs_of_their_own(monkeypatch):
+    monkeypatch.setattr(encode, "BYTES", 10)
+    texts = pa.array(["aaaa", None, "b" * 50, "cc", "dd", "ee"], pa.string())
+    assert list(encode.small_parts(texts, 2)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    assert list(encode.small_parts(texts.slice(0, 0), 2)) == []
+
+
+def test_cuts_in_odd_white_space():
+    """Random texts of every kind of white space, against whole-text encoding."""
+    r = np.random.default_rng(3)
+    alphabet = list("ab. 1'\n\t\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\u2028 é世")
+    texts = ["".join(r.choice(alphabet, r.integers(0, 40))) for _ in range(600)] + ["  ", " ", "\x00 \x00"]
+    flat, n = encode.Encoder(encode.default_vocabulary()).encode(pa.array(texts), 0)
+    assert [c.tolist() for c in np.split(flat, np.cumsum(n)[:-1])] == [[*w, 0] for w in plain(texts)]
 
 
 def rows():
@@ -78,3 +98,24 @@ def test_histogram_answers_every_limit(spark, monkeypatch):
         assert r.total == sum(sizes) and r.truncated_total == sum(min(s, limit) for s in sizes)
         assert abs(r.share_within - (1 - len(over) / len(sizes))) < 1e-12
     assert lengths.answers(lengths.histogram(lengths.encoded_lengths(docs.limit(0)))).collect() == []
+
+
+def test_any_limit_and_share(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    sizes = sorted(len(x) for x in plain([t for _, t in rows()]))
+    found = lengths.answers(lengths.histogram(lengths.encoded_lengths(docs)))
+    limits = [-1, 0, 1, 7, 100, 10**9]
+    for r in lengths.at_limits(found, limits).collect():
+        over = [s for s in sizes if s > r.context_limit]
+        assert (r.docs_over, r.tokens_over, r.total, r.truncated_total) == (len(over), sum(over), sum(sizes), sum(min(s, r.context_limit) for s in sizes))
+    got = {r.share: r.n_tokens for r in lengths.quantiles(found, [0.1, 0.5, 1.0]).collect()}
+    assert got == {q: next(s for s in sizes if sum(x <= s for x in sizes) >= q * len(sizes)) for q in (0.1, 0.5, 1.0)}
+    none = lengths.answers(lengths.histogram(lengths.encoded_lengths(docs.limit(0))))
+    assert lengths.at_limits(none, limits).collect() == [] and lengths.quantiles(none, [0.5]).collect() == []
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows()], "doc_id long, text string, n_tokens long, at long, part string")
+    tokenfiles.write(docs, str(tmp_path / "t"))
+    assert tokenfiles.digests(tokenfiles.read(spark, str(tmp_path / "t"))).count() == len(rows())
+    assert lengths.encoded_lengths(docs).count() == len(rows())
