@@ -8,7 +8,9 @@ epochs. DataFrame expressions only.
 Defined cases: a null text has size 0 and is never taken by the fractional
 part; a null source is a source of its own, last in order; equal keys are
 ordered by doc_id, then size (equal rows are interchangeable); an empty table
-gives no rows. The input's other columns are not read, so their names cannot
+gives no rows; a very long text is a document of its size. Repeated rows of one
+doc_id and text are taken alike by the pipeline stage, which goes by these two;
+so are null ids. The input's other columns are not read, so their names cannot
 clash with the ones used here.
 """
 
@@ -29,8 +31,8 @@ PASSES = 3
 
 
 def quality(text: Column) -> Column:
-    """Share of letters among a text's characters, from 1 to 100 in whole per cent."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z\\u00C0-\\u024F]+", ""))
+    """Share of letters of any script among a text's characters, from 1 to 100 in whole per cent."""
+    letters = F.length(F.regexp_replace(text, "[^\\p{L}]+", ""))
     share = F.floor(letters * 100 / F.greatest(F.length(text), F.lit(1)))
     return F.greatest(F.coalesce(share, F.lit(1)), F.lit(1)).cast("long")
 
@@ -64,26 +66,26 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for documents with doc_id, source and text."""
+    """(doc_id, source, size, source_size, target, taken, mark) for documents with doc_id, source and text; mark is a hash of the text."""
     light = stash(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality")).withColumn("key", draw(F.col("doc_id"), F.col("quality"))),
+        docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality")).withColumn("key", draw(F.col("doc_id"), F.col("quality"))),
         "mix",
     )
     aims = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")))
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     aims = stash(aims.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")), "aims")
 
-    rows = light.select("doc_id", "source", "size", "key").withColumn("picked", F.lit(0).cast("long"))
+    rows = light.select("doc_id", "source", "size", "key", "mark").withColumn("picked", F.lit(0).cast("long"))
     gaps = aims.select(F.col("source").alias("__source"), F.col("left").alias("__gap"))
     last: DataFrame | None = None
     for turn in range(PASSES):
         offered = rows.join(gaps, rows["source"].eqNullSafe(gaps["__source"])).drop("__source")
         fits = (F.col("picked") == 0) & (F.col("size") > 0) & ((F.col("size") <= F.col("__gap")) if turn else F.lit(True))
         offered = offered.withColumn("__offer", F.when(fits, F.col("size")).otherwise(0))
-        summed = running_totals(offered, ["source"], ["key", "doc_id", "size"], {"__before": "__offer"})
+        summed = running_totals(offered, ["source"], ["key", "doc_id", "size", "mark"], {"__before": "__offer"})
         end = F.col("__before") + (F.col("size") if turn < PASSES - 1 else F.col("size") / 2)
         take = (F.col("__offer") > 0) & (end <= F.col("__gap"))
-        rows = stash(summed.select("doc_id", "source", "size", "key", F.when(take, 1).otherwise(F.col("picked")).cast("long").alias("picked")), "picked")
+        rows = stash(summed.select("doc_id", "source", "size", "key", "mark", F.when(take, 1).otherwise(F.col("picked")).cast("long").alias("picked")), "picked")
         if last is not None:
             unstash(last)
         last = rows
@@ -92,19 +94,20 @@ def mix(docs: DataFrame) -> DataFrame:
             gaps = aims.join(spent, aims["source"].eqNullSafe(spent["source"])).select(aims["source"].alias("__source"), (F.col("left") - F.col("__spent")).alias("__gap"))
     aims = aims.withColumnRenamed("source", "__source")
     out = rows.join(aims, rows["source"].eqNullSafe(aims["__source"]))
-    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"), "mark")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
 
 
 def resample(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, columns unchanged."""
     taken = stash(mix(docs), "taken").filter("size > 0 AND taken > 0")
-    times = taken.select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
+    times = taken.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.groupBy("__id", "__mark").agg(F.max("__times").alias("__times"))
     # The ids grow with the corpus, so small corpora join as large ones do.
-    joined = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["__id"]))
+    joined = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["__id"]) & (F.xxhash64(docs["text"]) == times["__mark"]))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
@@ -113,7 +116,7 @@ def _oracle() -> str:
         """light AS (SELECT doc_id, source, n AS size, -ln((bits + 0.5) / 4503599627370496.0) / q AS key FROM (
   SELECT doc_id, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n,
-    greatest(1, coalesce(floor(length(regexp_replace(text, '[^A-Za-z\\x{00C0}-\\x{024F}]+', '', 'g')) * 100 / greatest(length(text), 1)), 1)) AS q,
+    greatest(1, coalesce(floor(length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) * 100 / greatest(length(text), 1)), 1)) AS q,
     ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE AS bits
   FROM documents) t)""",
         "sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM light GROUP BY source)",

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into context windows.
 
 A document's length is its number of byte-level tokens: the bytes of its UTF-8
-text and an end mark. Whole windows of a longer document fill bins of their own;
+text and an end mark. Clusters are the near-duplicate classes of SimHash. Whole windows of a longer document fill bins of their own;
 what remains, and every shorter document, is packed. Two pieces conflict if they
 are of one duplicate cluster, or if their source already fills its share of the
 bin. Every bin carries two bitmaps, of the clusters it holds and of the sources
@@ -16,8 +16,9 @@ document and documents of one source spread over all lots.
 Defined cases: a null or empty text is a piece of length 1 (its end mark); a
 null doc_id packs like any other value; null sources share one source; equal
 lengths are packed in the order of doc_id, then text hash; repeated rows are one
-cluster and never share a bin; an empty table gives no rows; the input's other
-columns are not read.
+cluster and never share a bin; a very long text is whole windows and a rest; an
+empty table gives no rows; the input's other columns are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .blocks import stream_blocks
 from .scratch import stash
 
@@ -42,10 +44,17 @@ LOT = 4096
 SCHEMA = "lot long, bin long, slot int, at long, doc_id long, piece int, length long, source string, cluster long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, source, cluster, piece, length): full windows of a text, and what remains of it."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, cluster, piece, length): full windows of a text, and what remains of it.
+
+    clusters: doc_id and component_id of near-duplicates; without it, or for a
+    document that it leaves out, equal texts are a cluster.
+    """
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), length.alias("__all"))
+    if clusters is not None:
+        known = clusters.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component"))
+        rows = rows.join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "source", F.coalesce("__component", "cluster").alias("cluster"), "__all")
     count = F.ceil(F.col("__all") / capacity).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
     return rows.select("doc_id", "source", "cluster", "piece", F.least(F.col("__all") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("long").alias("length"))
@@ -118,9 +127,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, share: float = SOURCE_SHARE
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(pieces(docs, clusters=simhash.classes(docs).select("doc_id", "component_id")))
 
 
 def to_windows(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: where every piece of every document goes."""
+    """Pipeline stage: where every piece of every document goes. Near-duplicates are gone by then, so a cluster is the copies that mixing made."""
     return pack(pieces(docs))

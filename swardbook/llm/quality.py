@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches (native).
 
 Every metric of a document becomes an integer; a log-linear sketch counts the
-documents of a (language, source) by the metric's bucket: exact below 64, then
+documents of a (language, source) by the metric's bucket: exact below 128, then
 64 buckets for each power of two, so a bucket is within 1/64 of its values.
 Such sketches merge by adding counts. A (language, source) with too few
 documents merges into its language's sketch, and a language with too few into
@@ -9,9 +9,11 @@ the sketch of all documents. Each sketch's quartiles give far-out fences, which
 replace fixed cutoffs; documents are joined to their fences and filtered.
 DataFrame expressions only.
 
-Defined cases: a null text has no words and fails the base rules; null lang or
-source form groups of their own; equal rows get equal verdicts; an empty table
-gives no rows; an empty language or corpus sketch cannot arise, as it holds the
+Defined cases: a null text has no words and fails the base rules; a very long
+text is counted whole, whatever its length; null lang or source form groups of
+their own; equal rows get equal verdicts, and rows of one doc_id are judged each
+for itself; an empty table gives no rows; other columns are not read (the
+pipeline stage carries them under names of its own), so their names cannot clash; an empty language or corpus sketch cannot arise, as it holds the
 document that asks for it. Documents that fail the base rules are not sketched,
 so that junk cannot widen the fences.
 """
@@ -38,42 +40,47 @@ METRICS = {
     "dup_lines": ("floor(n_dup_lines * 10000 / n_words)", 500, False),
     "repeats": ("floor(n_repeat_words * 10000 / n_words)", 3500, False),
 }
-_POSITION_BITS = 24
 
 
 def _repeat_words(words: Column, stage: str, df: DataFrame) -> DataFrame:
     """Add n_repeat_words: words in 3-word windows that occur at least twice in the text.
 
-    Each window is one long: 40 bits of its hash over its 24-bit position, so a
-    primitive sort brings equal windows together. Neighbours with equal hash
-    bits count as equal only if their words are equal.
+    Each window is one long: as many bits of its hash as its position leaves, over
+    the position, so a primitive sort brings equal windows together. Windows with
+    equal hash bits are compared by their words; where two of a text differ in
+    these alone, the text's windows are sorted once more as strings.
     """
-    low = (1 << _POSITION_BITS) - 1
+    low, hashed, order, exact = (f"{stage}_{x}" for x in ("low", "hashed", "order", "exact"))
+    one = F.lit(1).cast("long")
+    df = df.withColumn(low, F.call_function("shiftleft", one, F.length(F.bin(F.size(words)))) - one)
     starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    packed = F.transform(
-        starts,
-        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")),
-    )
-    df = df.withColumn(stage, F.sort_array(F.transform(packed, lambda x: F.coalesce(x, F.lit(0)))))
-    s = F.col(stage)
-
-    def equal(x: Column, y: Column) -> Column:
-        a, b = x.bitwiseAND(F.lit(low)).cast("int"), y.bitwiseAND(F.lit(low)).cast("int")
+    mask = F.col(low)
+    packed = F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(-1 - mask).bitwiseOR(i.cast("long")))
+    df = df.withColumn(hashed, F.sort_array(packed))
+    s = F.col(hashed)
+
+    def like(x: Column, y: Column) -> Column:
+        """1: equal windows; 2: other windows with these hash bits; 0: other hash bits, or no window."""
+        a, b = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
         full = (F.get(words, a) == F.get(words, b)) & (F.get(words, a + 1) == F.get(words, b + 1)) & (F.get(words, a + 2) == F.get(words, b + 2))
-        return F.when(F.shiftright(x, _POSITION_BITS) == F.shiftright(y, _POSITION_BITS), full).otherwise(False)
-
-    hits = F.filter(
-        s,
-        lambda x, j: F.coalesce(equal(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(equal(x, F.get(s, j + 1)), F.lit(False)),
-    )
-    df = df.withColumn(stage, F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(F.lit(low)))))
+        return F.when(F.coalesce(x.bitwiseXOR(y).bitwiseAND(-1 - mask), F.lit(1)) != 0, 0).when(full, 1).otherwise(2)
+
+    df = df.withColumn(order, F.transform(s, lambda x, j: like(x, F.get(s, j - 1))))
+    code = F.col(order)
+    strings = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("p"))))
+    df = df.withColumn(exact, F.when(F.array_contains(code, 2), strings))
+    t = F.col(exact)
+    same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+    sure = F.transform(F.filter(t, lambda x, j: same(x, F.get(t, j - 1)) | same(x, F.get(t, j + 1))), lambda x: x["p"].cast("long"))
+    quick = F.transform(F.filter(s, lambda x, j: (F.get(code, j) == 1) | (F.coalesce(F.get(code, j + 1), F.lit(0)) == 1)), lambda x: x.bitwiseAND(mask))
+    df = df.withColumn(stage, F.sort_array(F.when(t.isNotNull(), sure).otherwise(quick)))
     covered = F.aggregate(
-        s,
+        F.col(stage),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("at")),
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["at"])).alias("n"), p.alias("at")),
         lambda acc: acc["n"],
     )
-    return df.withColumn("n_repeat_words", covered).drop(stage)
+    return df.withColumn("n_repeat_words", covered).drop(stage, low, hashed, order, exact)
 
 
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -155,6 +162,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     own, lang, every = pick(0), pick(1), pick(2)
     df = base.join(own, base["lang"].eqNullSafe(own["__lang_0"]) & base["source"].eqNullSafe(own["__source_0"]), "left")
     df = df.join(lang, base["lang"].eqNullSafe(lang["__lang_1"]), "left")
+    # A join with one row, which Spark may run as a nested loop.
     df = df.withColumn("__all", F.lit(2)).join(every.withColumn("__scope", F.lit(2)), F.col("__all") == F.col("__scope"), "left")
 
     def limit(name: str) -> Column:

@@ -3,42 +3,44 @@
 Old shards are sources of their bytes, new shards are sinks of their capacity;
 a byte that stays in its shard costs nothing and a byte that moves costs one.
 The flow is solved on the driver over shard totals, a table of one row a shard.
-Each old shard then becomes a run of consecutive blocks, one for each transfer
-out of it, the block that stays first. Rows larger than a small share of a
-capacity (at most NEW_SHARDS / LARGE of them exist) are placed one by one before
-the flow, in their own shard where they fit, so that block borders fall among
-small rows and new shards come out near equal.
 
-Rows are dealt by range over (old shard, order), so a shard of any size spreads
-over tasks. Running sums inside a range ride along with the rows; the ranges'
-totals, one row each, give their starts. Block borders and row numbers follow
-from arithmetic, without another shuffle of the texts.
+All of it is planned before a text moves, on three numbers a row: old shard,
+size, and a key hashed from the row's file and place in it. In the order of that
+key each old shard becomes a run of consecutive blocks, one for each transfer out
+of it, the block that stays first; a block's border is a key, so (old shard, key)
+tells any row its new shard without a join that grows. Rows larger than a small
+share of a capacity (at most NEW_SHARDS / LARGE of them exist) are placed one by
+one before the flow, in their own shard where they fit, so that borders fall
+among small rows and new shards come out near equal.
+
+Then affected shards are rewritten: rows that move are shuffled, rows that stay
+are written by the task that reads them, and shards that nothing leaves or
+enters are left alone. A row's slot is its place in its shard's files.
 
 Defined cases: a null text has 0 bytes, so size 8; a null doc_id hashes as a
-value of its own; repeated rows are separate rows with their own slots; fewer
-rows than shards leave shards empty; an empty table gives no rows; other columns
-are carried into the files under their own names, except that the working
-columns start with two underscores.
+value of its own; a text larger than a capacity is one row and makes its shard
+as large as itself; repeated rows are separate rows with their own keys and
+slots; fewer rows than shards leave shards empty; an empty table gives no rows;
+other columns are carried into the files whatever their names, except that the
+working columns start with two underscores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from heapq import heappop, heappush
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from .scratch import fresh_path, partitions, stash
+from .scratch import fresh_path, partitions, running_totals
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
 #: Rows over this share of a capacity are placed one by one.
-LARGE = 1 / 512
+LARGE = 1 / 64
 
 
 def min_cost_flow(supply: list[int], demand: list[int]) -> dict[tuple[int, int], int]:
@@ -102,103 +104,65 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def _running(at: int, size_at: int):
-    """Add to sorted rows the bytes and rows before them in their (range, old shard)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, done, rows = None, 0, 0
-        for batch in batches:
-            old, size = batch.column(at).to_numpy(), batch.column(size_at).to_numpy()
-            before, nth = np.zeros(len(old), dtype=np.int64), np.zeros(len(old), dtype=np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1]))) if len(old) else []
-            for a, b in zip(cuts, [*cuts[1:], len(old)]):
-                if old[a] != shard:
-                    shard, done, rows = old[a], 0, 0
-                sums = np.cumsum(size[a:b])
-                before[a:b] = done + sums - size[a:b]
-                nth[a:b] = rows + np.arange(b - a)
-                done, rows = done + int(sums[-1]), rows + b - a
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(nth)], names=[*batch.schema.names, "__bytes", "__rows"])
-
-    return run
-
+def lay_out(docs: DataFrame, path: str, shards: int | Column = OLD_SHARDS) -> StructType:
+    """Write docs as the old shards, by a column or dealt by the hash of doc_id: what a resharding starts from. Returns the files' schema."""
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(shards)) if isinstance(shards, int) else shards
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
+    rows = docs.select("*", size.alias("__size"), home.cast("int").alias("__shard"))
+    rows.write.options(compression="zstd").partitionBy("__shard").parquet(path)
+    return rows.schema
 
-def plan(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """docs with shard, slot and old_shard; working columns are dropped.
 
-    The old layout is the hash of doc_id over ``old_shards``, unless docs have a
-    column __old_shard already.
-    """
-    spark = docs.sparkSession
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    old = F.col("__old_shard") if "__old_shard" in docs.columns else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards))
-    rows = docs.withColumns({"__old_shard": old.cast("int"), "__size": size})
-    total = int(rows.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0])
-    large = F.when(F.col("__size") > int(total / new_shards * LARGE), 0).otherwise(1).cast("int")
-    rows = rows.withColumns({"__large": large, "__hash": F.xxhash64("doc_id", "text")})
-    order = ["__old_shard", "__large", "__hash"]
-    dealt = rows.repartitionByRange(partitions(spark), *order).withColumn("__range", F.spark_partition_id()).sortWithinPartitions(*order)
-    names = dealt.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    dealt = stash(dealt.mapInArrow(_running(names.index("__old_shard"), names.index("__size")), f"{fields}, __bytes long, __rows long"), "dealt")
-
-    ranges = dealt.groupBy("__old_shard", "__range").agg(F.sum("__size").alias("b"), F.count("*").alias("n"))
-    before = Window.partitionBy("__old_shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = stash(ranges.select("__old_shard", "__range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in "bn"), F.col("b").alias("__own")), "ranges")
-
-    count = max(old_shards, new_shards)
-    small = [0] * count
-    for r in dealt.filter("__large = 1").groupBy("__old_shard").agg(F.sum("__size").alias("b")).collect():  # one row a shard
-        small[r[0]] = r["b"]
-    big = dealt.filter("__large = 0").select("__size", "__old_shard", "__range", "__rows").collect()  # at most new_shards / LARGE rows
-    singles, free, taken = place_large([tuple(r) for r in big], capacities(total, new_shards))
+def _keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of a layout with a key that depends on their file and place in it."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("__key"))
+
+
+def plan(spark: SparkSession, path: str, schema: StructType, new_shards: int = NEW_SHARDS) -> tuple[list[tuple], list[tuple]]:
+    """(blocks, singles) of the layout at path: (old shard, first key, end key, new shard), and (old shard, key, new shard) of large rows."""
+    rows = _keyed(spark, path, schema).select("__shard", "__size", "__key")
+    bytes_of = {r[0]: r[1] for r in rows.groupBy("__shard").agg(F.sum("__size")).collect()}  # one row a shard
+    total, count = sum(bytes_of.values()), max([new_shards, *(k + 1 for k in bytes_of)])
+    large = int(total / new_shards * LARGE)
+    big = [tuple(r) for r in rows.filter(F.col("__size") > large).select("__size", "__shard", "__key").collect()]  # at most new_shards / LARGE rows
+    small = [bytes_of.get(k, 0) for k in range(count)]
+    for size, shard, _ in big:
+        small[shard] -= size
+    singles, free = place_large(big, capacities(total, new_shards))
     flow = min_cost_flow(small, fit(free, sum(small)))
-    lead = [0] * count
-    for size_of, shard, _, _ in big:
-        lead[shard] += size_of
-    blocks = []
+    cuts = []
     for i in range(count):
-        at = lead[i]
-        goes = sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j))
+        at, goes = 0, sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j))
         for j in goes:
-            blocks.append((i, j, at, 1 << 62 if j == goes[-1] else at + flow[i, j]))
+            cuts.append((i, j, at, 1 << 62 if j == goes[-1] else at + flow[i, j]))
             at += flow[i, j]
-    cuts = spark.createDataFrame(blocks, "__o int, shard int, __lo long, __hi long")
-    own = ["__old_shard", "__range"]
-
-    placed = dealt.filter("__large = 1").join(ranges, own)
-    middle = F.col("__bytes") + F.col("__b") + F.floor(F.col("__size") / 2)
-    placed = placed.join(F.broadcast(cuts), (F.col("__old_shard") == F.col("__o")) & (middle >= F.col("__lo")) & (middle < F.col("__hi")))
-    placed = placed.withColumn("__nth", F.col("__rows") + F.col("__n"))
-    # Small rows of a block are consecutive in their old shard, so its first row and count number them.
-    runs = placed.groupBy("__old_shard", "shard").agg(F.min("__nth").alias("__first"), F.count("*").alias("__count"))
-    ahead = Window.partitionBy("shard").orderBy("__old_shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("__old_shard").alias("__ro"), F.col("shard").alias("__rs"), "__first", F.coalesce(F.sum("__count").over(ahead), F.lit(0)).alias("__ahead"))
-    heads = spark.createDataFrame(list(enumerate(taken)), "__h int, __large_rows long")
-    runs = stash(runs.join(heads, F.col("__rs") == F.col("__h")), "runs")
-    placed = placed.join(runs, (F.col("__old_shard") == F.col("__ro")) & (F.col("shard") == F.col("__rs")))
-    slot = (F.col("__nth") - F.col("__first") + F.col("__ahead") + F.col("__large_rows")).cast("long")
-    names = [c for c in docs.columns if c != "__old_shard"]
-    out = placed.select(*names, "shard", slot.alias("slot"), F.col("__old_shard").alias("old_shard"))
-    if not singles:
-        return out
-    single = F.broadcast(spark.createDataFrame(singles, "__so int, __sr int, __sn long, shard int, slot long"))
-    large_rows = dealt.filter("__large = 0").join(single, (F.col("__old_shard") == F.col("__so")) & (F.col("__range") == F.col("__sr")) & (F.col("__rows") == F.col("__sn")))
-    return out.union(large_rows.select(*names, "shard", "slot", F.col("__old_shard").alias("old_shard")))
-
-
-def place_large(rows: list[tuple[int, int, int, int]], caps: list[int]) -> tuple[list[tuple], list[int], list[int]]:
-    """Place (size, old shard, range, row) largest first: at home if it fits, else where most is free.
-
-    Returns (old shard, range, row, shard, slot) for each, what is left of the capacities, and rows placed in each shard.
+    if not cuts:
+        return [], singles
+    borders = F.broadcast(spark.createDataFrame(cuts, "__o int, __to int, __lo long, __hi long"))  # at most one row for each old and new shard
+    summed = running_totals(rows.filter(F.col("__size") <= large), ["__shard"], ["__key"], {"__before": "__size"})
+    middle = F.col("__before") + F.floor(F.col("__size") / 2)
+    inside = summed.join(borders, (F.col("__shard") == F.col("__o")) & (middle >= F.col("__lo")) & (middle < F.col("__hi")))
+    firsts = sorted(tuple(r) for r in inside.groupBy("__shard", "__to").agg(F.min("__key").alias("k")).select("__shard", "k", "__to").collect())
+    blocks = []
+    for k, (i, first, j) in enumerate(firsts):
+        alone = k == 0 or firsts[k - 1][0] != i
+        after = firsts[k + 1][1] if k + 1 < len(firsts) and firsts[k + 1][0] == i else None
+        blocks.append((i, None if alone else first, after, j))
+    return blocks, singles
+
+
+def place_large(rows: list[tuple[int, int, int]], caps: list[int]) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Place (size, old shard, key) largest first: at home if it fits, else where most is free.
+
+    Returns (old shard, key, shard) for each, and what is left of the capacities.
     """
-    free, taken, out = list(caps), [0] * len(caps), []
+    free, out = list(caps), []
 
-    def put(row: tuple[int, int, int, int], shard: int) -> None:
+    def put(row: tuple[int, int, int], shard: int) -> None:
         size, *where = row
-        out.append((*where, shard, taken[shard]))
+        out.append((*where, shard))
         free[shard] -= size
-        taken[shard] += 1
 
     away = []
     for row in sorted(rows, key=lambda r: (-r[0], r[1:])):
@@ -206,7 +170,7 @@ def place_large(rows: list[tuple[int, int, int, int]], caps: list[int]) -> tuple
         put(row, row[1]) if home else away.append(row)
     for row in away:
         put(row, max(range(len(free)), key=lambda k: (free[k], -k)))
-    return out, free, taken
+    return out, free
 
 
 def fit(free: list[int], total: int) -> list[int]:
@@ -220,31 +184,48 @@ def fit(free: list[int], total: int) -> list[int]:
     return demand
 
 
-def rewrite(planned: DataFrame, path: str) -> list[int]:
-    """Write the shards whose rows change, a folder each; returns their numbers.
+def rewrite(spark: SparkSession, old_path: str, schema: StructType, planned: tuple[list[tuple], list[tuple]], path: str) -> set[int]:
+    """Write the shards whose rows change to path, a folder each; returns their numbers."""
+    blocks, singles = planned
+    moves = {(i, j) for i, _, _, j in blocks} | {(i, j) for i, _, j in singles}
+    affected = {k for pair in moves if pair[0] != pair[1] for k in pair}
+    rows = _keyed(spark, old_path, schema).filter(F.col("__shard").isin(sorted(affected)))
+    cuts = F.broadcast(spark.createDataFrame(blocks, "__o int, __lo long, __hi long, __block int"))  # a row for each old and new shard
+    lone = F.broadcast(spark.createDataFrame(singles, "__so int, __sk long, __single int"))  # new_shards / LARGE rows
+    key = F.col("__key")
+    in_block = (F.col("__shard") == F.col("__o")) & (F.col("__lo").isNull() | (key >= F.col("__lo"))) & (F.col("__hi").isNull() | (key < F.col("__hi")))
+    placed = rows.join(cuts, in_block, "left").join(lone, (F.col("__shard") == F.col("__so")) & (key == F.col("__sk")), "left")
+    placed = placed.withColumn("__to", F.coalesce("__single", "__block"))
+    names = [c for c in schema.names if c != "__shard"]
+    n = partitions(spark)
+    spread = F.pmod(key, F.lit(max(1, -(-2 * n // max(1, len(affected))))))
+    moved = placed.filter("__to <> __shard").repartition(n, "__to", spread)
+    for some in (placed.filter("__to = __shard"), moved):
+        out = some.select(*names, F.col("__shard").alias("__old_shard"), F.col("__to").alias("__shard"))
+        out.write.mode("append").options(compression="zstd").partitionBy("__shard").parquet(path)
+    return affected
+
+
+def layout(spark: SparkSession, old_path: str, schema: StructType, path: str, affected: set[int], columns: list[Column | str]) -> DataFrame:
+    """columns, __shard, __old_shard and __slot of the new layout: the shards at path, and those left alone where they are.
 
-    A shard is left as it is only if nothing leaves or enters it.
+    Slots follow the order of a shard's files; one row for each file is all that this adds.
     """
-    both = planned.groupBy("old_shard", "shard").agg(F.count("*").alias("n")).filter("old_shard <> shard").collect()  # old x new rows at most
-    affected = sorted({s for r in both for s in (r["old_shard"], r["shard"])})
-    planned.filter(F.col("shard").isin(affected)).write.options(compression="zstd").partitionBy("shard").parquet(path)
-    return affected
+    new = spark.read.schema(StructType([*schema.fields]).add("__old_shard", IntegerType())).parquet(path)
+    old = spark.read.schema(schema).parquet(old_path).filter(~F.col("__shard").isin(sorted(affected)))
+    file, row = F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    rows = new.select(*columns, "__shard", "__old_shard", file, row).union(old.select(*columns, "__shard", F.col("__shard").alias("__old_shard"), file, row))
+    files = rows.groupBy(F.col("__shard").alias("__s"), F.col("__file").alias("__f")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__s").orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__s", "__f", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__from"))
+    found = rows.join(files, (F.col("__shard") == F.col("__s")) & (F.col("__file") == F.col("__f")))
+    return found.withColumn("__slot", (F.col("__from") + F.col("__row")).cast("long")).drop("__s", "__f", "__from", "__file", "__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "shards")
-    planned = plan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    affected = rewrite(planned, path)
-    schema = "doc_id long, text string, slot long, old_shard int, shard int"
-    rows = spark.read.schema(schema).parquet(path)
-    if still := sorted(set(range(max(OLD_SHARDS, NEW_SHARDS))) - set(affected)):  # files left alone are read where they are
-        rows = rows.unionByName(planned.filter(F.col("shard").isin(still)))
-    return rows.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    old, new = fresh_path(spark, "old-shards"), fresh_path(spark, "new-shards")
+    schema = lay_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), old)
+    affected = rewrite(spark, old, schema, plan(spark, old, schema), new)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32")
+    rows = layout(spark, old, schema, new, affected, ["doc_id", F.col("__size").alias("size"), crc])
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,7 +1,9 @@
 """Tables written on the way, and running totals over sorted rows.
 
 Intermediate tables go to the folder in spark.checkpoint.dir, which driver and
-executors share, so a lost executor costs a re-read and nothing else.
+executors share, so a lost executor costs a re-read and nothing else. Results
+are lazy and read them, so they stay until whoever holds the result is done:
+``with scope(spark): ...`` deletes all that was written inside it.
 """
 
 from __future__ import annotations
@@ -10,17 +12,42 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What open scopes will delete: (kind, name) of folders and tables.
+_scopes: list[list[tuple[str, str]]] = []
+
+
+def remember(spark: SparkSession, kind: str, name: str) -> str:
+    """Note a folder or table for the innermost scope, if there is one."""
+    if _scopes:
+        _scopes[-1].append((kind, name))
+    return name
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders and tables that operators write inside, at the end. Write the result before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for kind, name in _scopes.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {name}") if kind == "table" else delete_path(spark, name)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local tests) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -28,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return remember(spark, "folder", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -15,8 +15,12 @@ compared in separate tasks. A large block gives a spanning forest of its links
 (at most one edge for each fingerprint), a small one its links, each from the
 first key that shows it; no task emits all pairs of a group.
 
+A key that n fingerprints share costs n * n / 2 comparisons, dealt in blocks: the
+32 bits of a key are shared by near copies and by chance, not by a share of the
+corpus, as equal fingerprints are one row.
+
 Defined cases: a null or blank text has fingerprint zero and links like any
-other; a null doc_id is carried with a null component and links nothing; rows
+other; a very long text is hashed whole, a part at a time; a null doc_id is carried with a null component and links nothing; rows
 with one doc_id are one node if their fingerprints link, and otherwise each
 keeps its own component; an empty table gives no rows; other columns are not
 read, so their names cannot clash.

@@ -15,8 +15,9 @@ Defined cases: null html is the empty payload; a null url is written as
 about:blank and any white space or control character in a URL is
 percent-encoded; null page_ids are written without a number, are never the
 response of others and count as larger than none; all rows with a payload's
-largest page_id are responses; an empty table gives no rows; other columns are
-not read.
+largest page_id are responses, so repeated rows are; a very long page is one
+record and one read; an empty table gives no rows; other columns are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -214,14 +215,21 @@ def read(chosen: DataFrame, measure: bool = False) -> DataFrame:
     return dealt.mapInArrow(run, "page_id long, type string, refers_to long, noted string, " + ("bytes long, digest string" if measure else "payload binary"))
 
 
-def resolve(chosen: DataFrame) -> DataFrame:
-    """Read chosen index rows. Payload sizes and digests of all records; a revisit has those of the response it refers to.
+def resolve(index: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Read all records of an index, or chosen rows of it: their payload sizes and digests; a revisit has those of the response it refers to.
 
+    Responses that chosen revisits refer to are read as well, wherever they are.
     A response is found by its page_id and payload digest, as one page_id may have several.
     """
-    got = stash(read(chosen, measure=True), "records")
-    asked = got.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("__r"), F.col("noted").alias("__n")).distinct()
-    heads = got.filter("type = 'response' AND page_id IS NOT NULL").join(asked, (F.col("page_id") == F.col("__r")) & (F.col("digest") == F.col("__n")), "left_semi")
+    mine = index if chosen is None else chosen
+    got = stash(read(mine, measure=True), "records")
+    asked = mine.filter("type = 'revisit'").select(F.col("refers_to").alias("__r"), F.col("digest").alias("__n")).distinct()
+    wanted = lambda df: df.filter("type = 'response' AND page_id IS NOT NULL").join(asked, (F.col("page_id") == F.col("__r")) & (F.col("digest") == F.col("__n")), "left_semi")
+    heads = wanted(got)
+    if chosen is not None:
+        here = chosen.select(F.col("file").alias("__file"), F.col("offset").alias("__offset"))
+        away = wanted(index).join(here, (F.col("file") == F.col("__file")) & (F.col("offset") == F.col("__offset")), "left_anti")
+        heads = heads.union(read(away, measure=True))
     heads = stash(heads.select(F.col("page_id").alias("__head"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")).distinct(), "heads")
     own = got.filter("type = 'response'").select("page_id", "bytes", "digest", "type", "refers_to")
     seen = got.filter("type = 'revisit'").join(heads, (F.col("refers_to") == F.col("__head")) & (F.col("noted") == F.col("__digest")))

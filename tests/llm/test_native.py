@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from swardbook.llm import mixing, quality
 from swardbook.llm.words import WORD
@@ -30,6 +31,30 @@ def test_base_columns_match_brute_force(spark):
     assert got == {i: slow_base(t) for i, t in enumerate(texts)}
 
 
+def test_windows_with_equal_hash_bits(spark, monkeypatch):
+    """A hash of few values puts other windows between equal ones; the words decide."""
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.length(c[0]).cast("long") * (1 << 40))
+    r = random.Random(4)
+    texts = TEXTS + [" ".join(r.choices(["a", "b", "cc", "dd"], k=r.randrange(60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.n_repeat_words for x in quality.measure(df).collect()}
+    assert got == {i: slow_base(t)[4] for i, t in enumerate(texts)}
+
+
+def test_columns_with_clashing_names(spark):
+    r = random.Random(2)
+    rows = [(i, clean(r), "en", "a", 1, i, "h", 2.5) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS + ", n_words long, kept string, size double")
+    assert sorted(map(tuple, quality.keep_good(spark, df, "").collect())) == sorted(rows)
+    assert sorted({tuple(x) for x in mixing.resample(spark, df, "").collect()}) == sorted(rows)
+    assert {x.size for x in mixing.mix(df).collect()} == {120}
+
+
+def test_letters_of_any_script_count(spark):
+    df = spark.createDataFrame([("слово 1",), ("词语",), ("ab#$",), (None,), ("12",)], "t string")
+    assert [x.q for x in df.select(mixing.quality(F.col("t")).alias("q")).collect()] == [71, 100, 50, 1, 1]
+
+
 def clean(r, n=120):
     return " ".join("".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(n))
 

@@ -1,15 +1,15 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from swardbook.llm import neighbours
 
 
 def slow(rows):
-    good = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([v / np.sqrt((v * v).sum()) for _, v in good])
-    near = x @ x.T >= 0.9
+    good = [(k, i, np.array(v, dtype=np.float64)) for k, (i, v) in enumerate(rows) if i is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)]
+    x = [v / np.sqrt((v * v).sum()) for _, _, v in good]
+    near = np.array([[len(a) == len(b) and a @ b >= 0.9 for b in x] for a in x]).reshape(len(x), len(x))
     np.fill_diagonal(near, False)
-    ids = [i for i, _ in good]
-    root = {i: i for i in ids}
+    root = list(range(len(good)))
 
     def find(i):
         while root[i] != i:
@@ -17,10 +17,12 @@ def slow(rows):
         return i
 
     for a, b in zip(*np.nonzero(near)):
-        p, q = sorted((find(ids[a]), find(ids[b])))
-        root[q] = p
-    want = {i: (int(near[k].sum()), find(i)) for k, i in enumerate(ids)}
-    return sorted([(i, *want.get(i, (0, i))) for i, _ in rows], key=str)
+        root[find(a)] = find(b)
+    least = {}
+    for k, (_, i, _) in enumerate(good):
+        least[find(k)] = min(i, least.get(find(k), i))
+    want = {at: (int(near[k].sum()), least[find(k)]) for k, (at, _, _) in enumerate(good)}
+    return sorted([(i, *want.get(k, (0, i))) for k, (i, _) in enumerate(rows)], key=str)
 
 
 def rows(seed=0):
@@ -32,6 +34,8 @@ def rows(seed=0):
     out += [out[0]] * 20 + [out[160] * 2] * 3
     out = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(out)]
     n = len(out)
+    out += [(n + 10 + k, r.standard_normal(3).tolist()) for k in range(4)] + [(n + 20 + k, [1.0, 2.0, 3.0 + 0.01 * k]) for k in range(5)]
+    out += [(3, (-np.array(out[3][1])).tolist()), (3, out[170][1])]  # one id, other vectors
     out += [(n, None), (n + 1, []), (n + 2, [0.0] * 8), (n + 3, [float("nan")] * 8), (n + 4, [1.0] * 7 + [None]), (n + 5, [float("inf")] + [1.0] * 7), (n + 6, [1.0, 2.0]), (None, out[0][1])]
     return out
 
@@ -40,7 +44,7 @@ def run(spark, data):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     got = neighbours.classes(df).collect()
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
-    assert all(r.audited_recall >= 0.9 for r in got)
+    assert all(r.audited_recall is None or r.audited_recall >= 0.9 for r in got)
     return sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str)
 
 
@@ -57,10 +61,11 @@ def test_no_vectors(spark):
 
 
 def test_full_lists_grow(spark):
-    edges = [(0, k, 0.95) for k in range(1, 21)] + [(30, k, 0.8) for k in range(1, 21)]
-    got = neighbours._shortlist(spark.createDataFrame(edges, "u long, v long, sim double")).collect()
-    assert sum(x.u == 0 for x in got) == 16 and {x.most for x in got if x.u == 0} == {16}
+    edges = [(0, k, 0.95) for k in range(1, 21)] + [(30, k, 0.8) for k in range(1, 21)] + [(60, k, 0.95) for k in range(100, 200)]
+    got = neighbours._shortlist(spark.createDataFrame([(*e, True) for e in edges], neighbours._EDGE)).collect()
+    assert sum(x.u == 0 for x in got) == 20 and {x.most for x in got if x.u == 0} == {32}
     assert sum(x.u == 30 for x in got) == 8
+    assert sum(x.u == 60 for x in got) == 64 and {x.most for x in got if x.u == 60} == {64}
 
 
 def group(r, centre, n, tight=0.01):
@@ -79,10 +84,16 @@ def test_tight_groups_with_linked_members(spark, monkeypatch):
 
 
 def test_ties_outlive_lists(spark):
-    edges = [(0, k, 0.95) for k in range(1, 21)] + [(40, 0, None), (0, 50, 0.8)]
-    got = neighbours._shortlist(spark.createDataFrame(edges, "u long, v long, sim double")).collect()
-    assert [(x.u, x.v) for x in got if x.sim is None] == [(40, 0)]
-    assert sorted(x.v for x in got if x.u == 0) == [*range(1, 17), 50]
+    edges = [(0, k, 0.95) for k in range(1, 81)] + [(140, 0, None), (0, 150, 0.8)]
+    got = neighbours._shortlist(spark.createDataFrame([(*e, True) for e in edges], neighbours._EDGE)).collect()
+    assert [(x.u, x.v) for x in got if x.sim is None] == [(140, 0)]
+    assert sorted(x.v for x in got if x.u == 0) == [*range(1, 65), 150]
+
+
+def test_known_neighbours_are_not_fresh(spark):
+    edges = [(0, 1, 0.95, False), (0, 1, 0.95, True), (0, 2, 0.95, True)]
+    got = neighbours._shortlist(spark.createDataFrame(edges, neighbours._EDGE)).collect()
+    assert {x.v: x.fresh for x in got} == {1: False, 2: True}
 
 
 def test_cluster_beyond_a_block(spark, monkeypatch):
@@ -101,3 +112,22 @@ def test_failed_audit_is_an_error(spark, monkeypatch):
         assert "0.5" in str(e)
     else:
         raise AssertionError("no error")
+
+
+def test_recall_is_not_measured_without_links(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(np.eye(8).tolist())], "vec_id long, embedding array<float>")
+    assert {r.audited_recall for r in neighbours.classes(df).collect()} == {None}
+
+
+def test_audit_takes_every_fiftieth(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AUDIT", (0, 1000))
+    data = [(k, 0, [1.0, 0.001 * k], 1, 2) for k in range(200)]
+    found = spark.createDataFrame(data, "least long, x long, v array<double>, copies long, dim int").withColumn("node", F.col("least"))
+    half = spark.createDataFrame([(k, k // 100) for k in range(200)], "__node long, __component long")
+    assert neighbours._audit(found, half) == (4 * 100 - 4) / (4 * 200 - 4)
+
+
+def test_columns_with_clashing_names(spark):
+    data = [(k, v, 1, 2, 3.0, "c") for k, v in enumerate(np.eye(4).tolist() + np.eye(4).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, node long, n_links long, v double, component string")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.classes(df).collect()) == [(k, 1, k % 4) for k in range(8)]

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from swardbook.llm import packing
+from swardbook.llm import packing, simhash
 
 
 def slow(lengths, sources, clusters, capacity, share):
@@ -69,3 +69,13 @@ def test_every_byte_is_packed_once(spark, monkeypatch):
 
 def test_no_documents(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string, source string"))).collect() == []
+
+
+def test_near_duplicates_are_clusters(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = [(k, " ".join([*words[:-1], f"end{k % 2}"]), "s", 5) for k in range(6)] + [(9, "another text", "t", 6), (None, "no id", "t", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster long")
+    got = packing.pieces(df, clusters=simhash.classes(df).select("doc_id", "component_id")).collect()
+    assert {x.cluster for x in got if x.doc_id is not None and x.doc_id < 6} == {0} and {x.cluster for x in got if x.doc_id == 9} == {9}
+    check(packing.pack(packing.pieces(df, clusters=simhash.classes(df))).collect(), packing.CAPACITY)

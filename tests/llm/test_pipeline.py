@@ -63,3 +63,8 @@ def test_stages(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((x.doc_id, x.piece, x.length) for x in whole) == Counter((x.doc_id, x.piece, x.length) for x in packed)
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -104,3 +104,9 @@ def test_edges(spark):
     twice = [(1, "same text here now"), (1, "same text here now"), (None, "same text here now")]
     fp = f"{simhash.fingerprint('same text here now'):016x}"
     assert sorted(run(spark, twice), key=str) == sorted([(1, fp, 1), (1, fp, 1), (None, fp, None)], key=str)
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(k, "one text of some words", 1, 2, 3, "x") for k in range(3)], "doc_id long, text string, fp long, rep long, component_id long, slot string")
+    assert [(r.doc_id, r.component_id) for r in simhash.classes(df).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 0)]
+    assert [tuple(r) for r in simhash.keep_first(spark, df, "").collect()] == [(0, "one text of some words", 1, 2, 3, "x")]

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from swardbook.llm import warc
 from swardbook.llm.scratch import list_files
 
@@ -62,3 +64,11 @@ def test_ranges_merge():
 
 def test_no_pages(spark, tmp_path):
     assert warc.resolve(made(spark, tmp_path / "w", [])).collect() == []
+
+
+def test_chosen_revisits_fetch_what_they_refer_to(spark, tmp_path):
+    rows = made(spark, tmp_path / "w", [(k, f"http://x/{k}", "same page" if k < 4 else f"page {k}") for k in range(8)])
+    whole = {tuple(r) for r in warc.resolve(rows).collect()}
+    for chosen in ([1], [1, 3], [0, 5], [3], []):
+        got = {tuple(r) for r in warc.resolve(rows, rows.filter(F.col("page_id").isin(chosen))).collect()}
+        assert got == {r for r in whole if r[0] in chosen} and len(got) == len(chosen)
