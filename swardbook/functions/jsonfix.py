@@ -10,44 +10,82 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: How far back a cut-off text is searched for a place where it can be closed.
-REACH, LEAST = 800, 20
+#: Cut-off texts of no more characters than this are not repaired.
+LEAST = 20
+_FENCE = re.compile(r"\A```(?:json)?\s*|\s*```\Z")
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+"?|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_OPEN = re.compile(r'"(?:[^"\\]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*')
+_CLOSER = {"{": "}", "[": "]"}
 
 
 def loads(text: str | None) -> Any | None:
     """The parsed value, or None if nothing in the text can be read."""
-    raw = (text or "").strip()
-    if raw.startswith("```"):
-        raw = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", raw))
-    inside = raw[raw.find("{") : raw.rfind("}") + 1] if "{" in raw else ""
-    for candidate in (raw, inside):
+    raw = _FENCE.sub("", (text or "").strip()) if (text or "").lstrip().startswith("```") else (text or "").strip()
+    for candidate in (lambda: raw, lambda: raw[raw.index("{") : raw.rindex("}") + 1], lambda: closed(raw)):
         try:
-            return json.loads(candidate)
-        except ValueError:
+            return json.loads(candidate())
+        except ValueError:  # no JSON, or no bracket
             continue
-    return _closed(raw)
-
-
-def _closed(raw: str) -> dict | None:
-    """The longest beginning that becomes an object when its quotes and brackets are closed."""
-    if not raw.startswith("{"):
-        return None
-    for end in range(len(raw), max(len(raw) - REACH, LEAST), -1):
-        part = re.sub(r",\s*$", "", raw[:end].rstrip())
-        if part.count('"') % 2:
-            part += '"'
-        curly, square = part.count("{") - part.count("}"), part.count("[") - part.count("]")
-        if min(curly, square) < 0:
-            continue
-        try:
-            found = json.loads(part + "]" * square + "}" * curly)
-        except ValueError:
-            continue
-        if isinstance(found, dict):
-            return found
     return None
 
 
+def closed(raw: str) -> str:
+    """The longest beginning of an object that can be completed, with what it leaves open closed in the order of nesting.
+
+    One pass with a stack of open brackets; each complete value, and each open
+    string that stands for one, moves the place where the text may end. Unlike
+    counting brackets this keeps the rows of a table that was cut inside one.
+    """
+    if not raw.startswith("{") or len(raw) <= LEAST:
+        raise ValueError("no cut-off object")
+    stack: list[str] = []  # open brackets
+    wants = "value"  # value, key, colon or more: what may come next
+    end, tail = 0, ""
+
+    def may_end(at: int, quote: str = "") -> None:
+        nonlocal end, tail
+        end, tail = at, quote + "".join(_CLOSER[b] for b in reversed(stack))
+
+    for m in _TOKEN.finditer(raw):
+        token = m[0]
+        if token in _CLOSER and wants == "value":
+            stack.append(token)
+            wants = "key" if token == "{" else "value"
+            may_end(m.end())
+        elif token in "}]" and stack and _CLOSER[stack[-1]] == token and wants != "colon" and not (token == "}" and wants == "value"):
+            stack.pop()
+            wants = "more"
+            may_end(m.end())
+            if not stack:
+                break
+        elif token == "," and wants == "more":
+            wants = "key" if stack[-1] == "{" else "value"
+        elif token == ":" and wants == "colon":
+            wants = "value"
+        elif token[0] == '"' and wants in ("key", "value"):
+            whole = _STRING.fullmatch(token) is not None
+            if wants == "key":
+                if not whole:
+                    break
+                wants = "colon"
+            elif whole:
+                wants = "more"
+                may_end(m.end())
+            else:
+                may_end(_OPEN.match(raw, m.start()).end(), '"')
+                break
+        elif wants == "value" and (scalar := _SCALAR.match(token)):
+            wants = "more"
+            may_end(m.start() + scalar.end())
+            if scalar.end() < len(token):
+                break
+        else:
+            break
+    return raw[:end] + tail
+
+
 def sheet(value: Any) -> dict:
     """A sheet with every part present and lists where lists belong."""
     value = dict(value) if isinstance(value, dict) else {}
@@ -62,5 +100,10 @@ def sheet(value: Any) -> dict:
 @F.pandas_udf(StringType())
 def repaired(texts: pd.Series) -> pd.Series:
     """Valid JSON of each text, null if it cannot be read. For rows that from_json rejects."""
-    found = texts.map(loads)
-    return found.map(lambda v: None if v is None else json.dumps(v, ensure_ascii=False))
+
+    def one(text: str | None) -> str | None:
+        value = loads(text) if text else None
+        return None if value is None else json.dumps(value, ensure_ascii=False)
+
+    return texts.map(one)
+
