@@ -1,85 +1,31 @@
 """Record linkage: sheet names to roster clients.
 
 Exact keys are an equi-join. Only names without one are scored, each distinct
-name once. Scoring compares every open name with every roster row, by the
-nature of the rule; a roster of up to ROSTER_LIMIT rows travels to the tasks as
-a broadcast of checked size, a larger one is dealt in blocks that meet the names
-block by block. Either way a name keeps its best two scores, no pair is stored.
-Letters in common bound a score from above; pairs that cannot reach SCORE by them
-skip the full rule.
+name once. The rule has any name meet any roster row, so names and roster are
+dealt to the cells of a square grid: every name meets every row in one cell, a
+cell holds a share of each side, and no side is broadcast or collected. A cell
+scores only rows that letter counts let reach the least score, and gives a
+name's best two; the two best of all cells stay. It is one lazy plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import lru_cache
+from math import ceil, sqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions.names import Table, similarity, spelling
+from .numbering import numbered, prefix
 from .views import has_prices, is_set_up
 
-#: Fixed values of the rule: least score, least lead over the second, equal tokens, sure spelling.
-SCORE, MARGIN, TOKEN, SURE = 0.82, 0.04, 0.80, 0.95
-ROSTER_LIMIT = 20_000
-
-
-def _ratio(a: str, b: str) -> float:
-    """Matching blocks over lengths; the order of arguments matters."""
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def _key(name: str) -> str:
-    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
-
-
-def _collapsed(key: str) -> str:
-    return "".join(c for i, c in enumerate(key) if i == 0 or c != key[i - 1])
-
-
-def _tokens(name: str) -> list[str]:
-    spaced = "".join(c if c.isascii() and c.isalnum() else " " for c in name.lower())
-    return [t for t in spaced.split() if len(t) > 1]
-
-
-def _same_token(a: str, b: str) -> bool:
-    saint = lambda x, y: x in ("st", "ste") and y.startswith("saint")
-    return _ratio(a, b) >= TOKEN or saint(a, b) or saint(b, a)
-
-
-def _contained(a: list[str], b: list[str]) -> float:
-    """Score of the shorter name's tokens all being in the longer one."""
-    few, many = sorted((a, b), key=len)
-    if not few or not all(any(_same_token(t, o) for o in many) for t in few):
-        return 0.0
-    return min(1.0, 0.86 + 0.07 * len(few))
-
-
-@lru_cache(200_000)
-def similarity(left: str, right: str) -> float:
-    """How close two names are, 0 to 1; 1 for equal letters and digits."""
-    a, b = _key(left), _key(right)
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    loose = _ratio(_collapsed(a), _collapsed(b))
-    if loose >= SURE:
-        return loose
-    p, q = _tokens(left), _tokens(right)
-    inside = _contained(p, q)
-    if not p or not q:
-        return max(_ratio(a, b), inside)
-    longest = _ratio(max(p, key=len), max(q, key=len))
-    if longest < TOKEN:
-        return max(longest / 2, inside)
-    mean = lambda x, y: sum(max(_ratio(t, o) for o in y) for t in x) / len(x)
-    return max(_ratio(a, b), (mean(p, q) + mean(q, p)) / 2, loose, inside)
+#: Fixed values of the rule: least score, least lead over the second.
+SCORE, MARGIN = 0.82, 0.04
+#: Cells of the grid for each shuffle partition.
+CELLS = 4
 
 
 @F.pandas_udf(DoubleType())
@@ -90,119 +36,46 @@ def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 _BEST = "sheet_name string, id long, score double, rank long"
 
 
-def _letters(texts: list[str]) -> np.ndarray:
-    """How often each of the 36 letters and digits is in each text."""
-    out = np.zeros((len(texts), 36), dtype=np.int16)
-    for k, text in enumerate(texts):
-        for c in text:
-            out[k, int(c, 36)] += 1
-    return out
-
-
-def _shared(own: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What _ratio is at most: letters in common, in any order, over lengths."""
-    return 2 * np.minimum(own, others).sum(axis=1) / np.maximum(own.sum() + sizes, 1)
-
-
-class _Bounds:
-    """Which roster rows can reach SCORE, by upper bounds on every term of similarity; no row that does is left out."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.keys = [_letters([_key(n) for n in names]), _letters([_collapsed(_key(n)) for n in names])]
-        self.sizes = [k.sum(axis=1) for k in self.keys]
-        tokens = [_tokens(n) for n in names]
-        self.words = sorted({t for q in tokens for t in q})
-        at = {t: k for k, t in enumerate(self.words)}
-        self.n = np.array([len(q) for q in tokens], dtype=np.int64)
-        # past a row's tokens, the place after the last word
-        self.at = np.full((len(names), max(1, max(self.n, default=0))), len(self.words))
-        for k, q in enumerate(tokens):
-            self.at[k, : len(q)] = [at[t] for t in q]
-        self.letters = _letters(self.words)
-        self.lengths = self.letters.sum(axis=1)
-        self.saints = np.array([w.startswith("saint") for w in self.words], dtype=bool)
-        self.short = np.array([w in ("st", "ste") for w in self.words], dtype=bool)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _token(self, t: str) -> np.ndarray:
-        """Bound of each word's likeness to t; -1 behind the last word."""
-        if t not in self.known:
-            if len(self.known) >= 256:
-                self.known.clear()
-            u = _shared(_letters([t])[0], self.letters, self.lengths)
-            u[self.saints & (t in ("st", "ste")) | self.short & t.startswith("saint")] = 1
-            self.known[t] = np.append(u, -1.0)
-        return self.known[t]
-
-    def rows(self, name: str) -> np.ndarray:
-        own, eps = _key(name), 1e-9
-        likely = np.zeros(len(self.n), dtype=bool)
-        for text, letters, sizes in zip((own, _collapsed(own)), self.keys, self.sizes):
-            likely |= _shared(_letters([text])[0], letters, sizes) >= SCORE - eps
-        p = _tokens(name)
-        if p:
-            each = np.stack([self._token(t)[self.at] for t in p])
-            mine, theirs = each.max(axis=2), each.max(axis=0)
-            real = theirs >= 0
-            mean = (mine.mean(axis=0) + np.where(real, theirs, 0).sum(axis=1) / np.maximum(self.n, 1)) / 2
-            inside = (len(p) <= self.n) & (mine.min(axis=0) >= TOKEN - eps) | (self.n <= len(p)) & (np.where(real, theirs, 1).min(axis=1) >= TOKEN - eps)
-            likely |= (self.n > 0) & (inside | (mean >= SCORE - eps))
-        if not own:
-            likely |= self.sizes[0] == 0
-        return np.flatnonzero(likely)
-
-
-def _top(names: list[str], roster: list[tuple[int, str, int]], skip_same: bool, unpriced: set[int]) -> Iterator[tuple]:
-    """The two best roster rows of every name, the earlier of equals first."""
-    keys = [(i, n, r, _key(n)) for i, n, r in roster if n.strip()]
-    bounds = _Bounds([n for _, n, _, _ in keys])
-    for name in names:
-        own = _key(name)
+def _best_two(skip_same: bool):
+    """The two best roster rows of every name in a cell, the earlier of equals first."""
+
+    def run(asked: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for i, other, rank, key in (keys[k] for k in bounds.rows(name)):
-            if key == own and (skip_same or i in unpriced):
-                continue
-            score = 1.0 if key == own else similarity(name, other)
-            if score >= SCORE:
-                found.append((-score, rank, i))
-        for score, rank, i in sorted(found)[:2]:
-            yield name, i, -score, rank
+        if len(asked) and len(roster):
+            rows = [r for r in roster[["id", "name", "rank", "priced"]].itertuples(index=False) if r.name and r.name.strip()]
+            table = Table([r.name for r in rows], SCORE)
+            for name in asked["sheet_name"]:
+                own = spelling(name).key
+                scores = []
+                for r in (rows[k] for k in table.near(name)):
+                    equal = spelling(r.name).key == own
+                    # A row of the same key is filed by it, or is no suggestion.
+                    score = 0.0 if equal and (skip_same or not r.priced) else 1.0 if equal else similarity(name, r.name)
+                    if score >= SCORE:
+                        scores.append((-score, r.rank, r.id))
+                found += [(name, i, -score, rank) for score, rank, i in sorted(scores)[:2]]
+        return pd.DataFrame(found, columns=["sheet_name", "id", "score", "rank"]).astype({"id": "int64", "score": "float64", "rank": "int64"})
+
+    return run
 
 
 def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
     """(sheet_name, id, score, rank): at most two rows a name. roster: id, name, rank, priced."""
-    spark = names.sparkSession
-    size = roster.limit(ROSTER_LIMIT + 1).count()
-    cols = ["sheet_name", "id", "score", "rank"]
-    frame = lambda rows: pd.DataFrame(rows, columns=cols).astype({"id": "int64", "score": "float64", "rank": "int64"})
-    if size <= ROSTER_LIMIT:
-        rows = [tuple(r) for r in roster.select("id", "name", "rank", "priced").collect()]
-        shared = spark.sparkContext.broadcast(([(i, n or "", r) for i, n, r, _ in rows], {i for i, _, _, p in rows if not p}))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield frame(list(_top(batch["sheet_name"].tolist(), shared.value[0], skip_same, shared.value[1])))
-
-        return names.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, _BEST)  # few bytes, much work: not one task
-    blocks = -(-roster.count() // ROSTER_LIMIT)
-    dealt = roster.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(i), n or "", int(r)) for i, n, r in zip(right["id"], right["name"], right["rank"])]
-        return frame(list(_top(left["sheet_name"].tolist(), rows, skip_same, set(right["id"][~right["priced"].astype(bool)]))))
-
-    part = asked.withColumn("slot", F.pmod(F.xxhash64("sheet_name"), F.lit(64)))
-    dealt = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-    found = part.groupBy("block", "slot").cogroup(dealt.groupBy("block", "slot")).applyInPandas(meet, _BEST)
-    rank = F.row_number().over(Window.partitionBy("sheet_name").orderBy(F.desc("score"), "rank"))
-    return found.withColumn("__r", rank).filter("__r <= 2").drop("__r")
+    n = ceil(sqrt(CELLS * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = names.select("sheet_name", side("sheet_name").alias("row"), every.alias("column"))
+    dealt = roster.select("id", "name", "rank", "priced", every.alias("r_row"), side("id").alias("r_column"))
+    found = asked.groupBy("row", "column").cogroup(dealt.groupBy("r_row", "r_column")).applyInPandas(_best_two(skip_same), _BEST)
+    place = F.row_number().over(Window.partitionBy("sheet_name").orderBy(F.desc("score"), "rank"))
+    return found.withColumn("__r", place).filter("__r <= 2").drop("__r")
 
 
 def _ranked(roster: DataFrame) -> DataFrame:
-    """Roster order: sort_order with nulls last, then name. Ranks need one sort of a list that people keep by hand."""
-    order = Window.orderBy(F.col("sort_order").asc_nulls_last(), "name", "id")
-    return roster.withColumns({"rank": F.row_number().over(order).cast("long"), "priced": has_prices(), "set_up": is_set_up(), "key": T.name_key(F.col("name"))})
+    """The roster with rank, its order: sort_order with nulls last, then name, then id."""
+    people = roster.withColumns({"priced": has_prices(), "set_up": is_set_up(), "key": T.name_key(F.col("name"))})
+    place = F.col("sort_order")
+    return numbered(people, "rank", [place.asc_nulls_last(), "name", "id"], [place.isNull(), place, prefix(F.col("name"))])
 
 
 def _clear_best(scored: DataFrame) -> DataFrame:
@@ -240,13 +113,16 @@ def suggest_clients(names: DataFrame, roster: DataFrame) -> DataFrame:
     return best.join(people.select(F.col("id").alias("best"), F.col("name").alias("suggestion_name")), "best").select("sheet_name", F.col("best").alias("suggestion"), "suggestion_name")
 
 
-def open_conflicts(rows: DataFrame, roster: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+def open_conflicts(rows: DataFrame, roster: DataFrame, resolutions: DataFrame | None = None, filed: DataFrame | None = None) -> DataFrame:
     """Names on sheets that file nowhere and are not answered: one row a key with all its work, and a suggestion.
 
-    rows: seq, name, work. Texts already contained in the joined work are not repeated.
+    rows: seq, name, work. Texts already contained in the joined work are not
+    repeated. filed: what file_clients gave for the names, if that is known.
     """
     keyed = rows.withColumn("key", T.name_key(F.col("name"))).filter("key <> ''")
-    filed = file_clients(keyed.select(F.col("name").alias("sheet_name")), roster).filter("client_id IS NOT NULL")
+    if filed is None:
+        filed = file_clients(keyed.select(F.col("name").alias("sheet_name")), roster)
+    filed = filed.filter("client_id IS NOT NULL")
     still = keyed.join(filed, F.col("name") == F.col("sheet_name"), "left_anti")
     if resolutions is not None:
         done = resolutions.select(T.name_key(F.col("name")).alias("__key")).distinct()

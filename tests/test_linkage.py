@@ -1,10 +1,12 @@
 """Golden cases of record linkage and the filing of sheets."""
 
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
 
+from swardbook.functions import jsonfix, names
 from swardbook.operators import commit, linkage, sheets
 
 FIELDS = "id long, name string, address string, mow_price double, on_roster boolean"
@@ -43,17 +45,34 @@ def test_filing(spark, name, rows, want):
     assert filed(spark, name, rows) == want
 
 
-def test_large_rosters_meet_in_blocks(spark, monkeypatch):
-    rows = [(k, f"PERSON{k:03d}, Alpha", "1 Rd", None, True) for k in range(40)] + [(45, "KEELER, Chris", "1 Rd", None, True)]
-    names = spark.createDataFrame([("KELLEER, Chris",), ("PERSON007, Alpha",), ("ZZZ",)], "sheet_name string")
-    whole = {r.sheet_name: r.client_id for r in linkage.file_clients(names, roster(spark, rows)).collect()}
-    monkeypatch.setattr(linkage, "ROSTER_LIMIT", 7)
-    parts = {r.sheet_name: r.client_id for r in linkage.file_clients(names, roster(spark, rows)).collect()}
-    assert parts == whole and whole["KELLEER, Chris"] == 45
+def test_every_name_meets_every_row(spark, monkeypatch):
+    """The grid against a plain loop, with more cells and with fewer."""
+    people = [(k, f"PERSON{k:03d}, Alpha", "1 Rd", None if k % 3 else 4.0, k % 5 > 0) for k in range(40)] + [(45, "KEELER, Chris", "1 Rd", None, True), (46, "KEELER, Kris", None, None, True)]
+    asked = ["KELLEER, Chris", "PERSON007, Alpha", "PERSN008 Alpha", "ZZZ", "Alpha PERSON09", "keeler  chris."]
+    want = {}
+    for a in asked:
+        scores = sorted((-names.similarity(a, n), n, i) for i, n, *_ in people if names.spelling(n).key != names.spelling(a).key and names.similarity(a, n) >= linkage.SCORE)
+        if scores and (len(scores) == 1 or -scores[1][0] <= -scores[0][0] - linkage.MARGIN):
+            want[a] = scores[0][2]
+    sheet = spark.createDataFrame([(a,) for a in asked], "sheet_name string")
+    for cells in (1, 9):
+        monkeypatch.setattr(linkage, "CELLS", cells)
+        assert {r.sheet_name: r.suggestion for r in linkage.suggest_clients(sheet, roster(spark, people)).collect()} == want
+    assert want["KELLEER, Chris"] == 45
+
+
+def test_bounds_leave_no_match_out():
+    r = random.Random(3)
+    parts = ["SMITH", "Smiht", "Mary", "SAINT", "ST", "ste", "Sophia", "church", "Kelly", "Keeler", "KELLEER", "& Ryan", "12", "a", "O'Neil", "Priya", "PRYIA", "ab", "axb", "", ","]
+    some = list({" ".join(r.choice(parts) for _ in range(r.randrange(5))) for _ in range(250)})
+    table = names.Table(some, linkage.SCORE)
+    for a in some[:80]:
+        near = set(table.near(a).tolist())
+        assert all(k in near for k, b in enumerate(some) if names.similarity(a, b) >= linkage.SCORE)
 
 
 def test_similarity_is_not_symmetric():
-    assert linkage.similarity("", "a") == 0.0 and linkage.similarity("A-b", "ab") == 1.0
+    assert names.similarity("", "a") == 0.0 and names.similarity("A-b", "ab") == 1.0
     assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
 
 
@@ -105,16 +124,20 @@ def test_richest_and_longest_rows(spark):
     assert got == [(0, ["A", "2", "zzz"]), (2, ["", "q"])]
 
 
-def test_bounds_leave_out_no_score():
-    import random
-
-    r = random.Random(3)
-    parts = ["SMITH", "Smyth", "Mary", "Marie", "ST", "Saint", "SAINTS", "Ste", "Sophia", "O'Neil", "Jo", "K", "12", "1234", "4321", "Ana & Joe", "VAN DYKE", "ä", "-", "HOLT", "HOLLT", "Jim", ","]
-    names = [" ".join(r.sample(parts, r.randint(1, 4))) for _ in range(250)] + ["", "ß", "?"]
-    roster = [(k, n, k) for k, n in enumerate(names)]
-    want = []
-    for name in names:
-        own = linkage._key(name)
-        scores = [(1.0 if linkage._key(n) == own else linkage.similarity(name, n), k) for k, n in enumerate(names) if n.strip()]
-        want += [(name, k, s, k) for s, k in sorted((-s, k) for s, k in scores if s >= linkage.SCORE)[:2] for s in [-s]]
-    assert list(linkage._top(names, roster, False, set())) == want
+def test_cut_off_json_closes_in_order_of_nesting():
+    whole = {"title": 'x "q" \\ é', "tables": [{"columns": ["CLIENT", "B"], "rows": [["A", "1"], ["B", "2"]]}], "notes": [], "n": -1.5e3, "complete": True}
+    for indent in (None, 1):
+        text = json.dumps(whole, indent=indent)
+        assert jsonfix.loads(text) == whole
+        last = 0
+        for end in range(jsonfix.LEAST + 3, len(text)):
+            if len(text[:end].strip()) <= jsonfix.LEAST:
+                continue
+            found = jsonfix.loads(text[:end])
+            assert isinstance(found, dict) and set(found) <= set(whole)
+            assert len(json.dumps(found)) >= last - 2  # what is kept grows with what is there
+            last = len(json.dumps(found))
+    cut = '{"title": "x", "tables": [{"columns": ["CLIENT"], "rows": [["A"'
+    assert jsonfix.loads(cut) == {"title": "x", "tables": [{"columns": ["CLIENT"], "rows": [["A"]]}]}
+    assert jsonfix.loads('{"a": [1, 2}, "b": 3, "cccccccccc": 1') == {"a": [1, 2]}
+    assert [jsonfix.loads(t) for t in (None, "", "nothing", '{"a": 1', '```json\n{"t": 1}\n```', 'see {"a": 1} ok')] == [None, None, None, None, {"t": 1}, {"a": 1}]
