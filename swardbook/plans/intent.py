@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,46 +60,127 @@ def reply(month: Column, work: Column, bills: Column, test_work: Column, sheets:
     return F.concat_ws(" ", first, none, still)
 
 
-def apply_mutations(clients: DataFrame, work: DataFrame, commands: list[dict]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Fold a short list of commands over clients and work: (clients, work, log).
+class Mutations:
+    """A chat turn's commands over clients, work and bills, in order.
 
-    Five operations: update_client, update_work, add_work, delete_work and
-    delete_work_month. A command that names nobody or no month is skipped with a
-    reason; the list is what one chat turn holds, so the fold is on the driver.
+    A turn holds a few commands, so the fold over them is on the driver; what
+    each does, and what it logs, stays a lazy plan. A command that cannot be read
+    or names nothing is logged and changes nothing, and the next one goes on.
     """
-    import re
-
-    from ..operators import state
-
-    spark, log = clients.sparkSession, []
-    one = lambda row, schema: spark.createDataFrame([row], schema)
-    for c in commands:
-        op = c.get("op")
-        if op in ("update_client", "add_work"):
-            found = clients.filter(F.col("id") == F.lit(int(c["client_id"]))) if str(c.get("client_id") or "").isdigit() else clients.filter(F.lower(F.trim("name")) == F.lower(F.trim(F.lit(c.get("client_name") or ""))))
-            who = found.select("id").first()
-            if who is None:
-                log.append(f"{op}: client not found")
-                continue
-        if op == "update_client":
-            text = lambda k: None if c.get(k) is None else str(c[k])
-            keys = ("name", "email", "phone", "address", "billing_notes", "mow_price", "hedge_price")
-            clients = state.patch_clients(clients, one((who[0], *map(text, keys)), "id long, " + ", ".join(f"{k} string" for k in keys)))
-        elif op == "add_work":
-            if not c.get("month"):
-                log.append("add_work: month missing")
+
+    def __init__(self, clients: DataFrame, work: DataFrame, bills: DataFrame) -> None:
+        self.clients, self.work, self.bills = clients, work, bills
+        self.lines: list[DataFrame] = []
+
+    def say(self, line: Column | str, row: DataFrame | None = None) -> None:
+        row = self.clients.sparkSession.range(1) if row is None else row
+        text = line if isinstance(line, Column) else F.lit(line)
+        self.lines.append(row.select(F.lit(len(self.lines)).alias("seq"), text.alias("line")))
+
+    @property
+    def log(self) -> DataFrame:
+        """(seq, line)"""
+        empty = self.clients.sparkSession.createDataFrame([], "seq int, line string")
+        return reduce(DataFrame.union, self.lines, empty)
+
+    def apply(self, commands: list | None) -> "Mutations":
+        for c in commands or []:
+            if not isinstance(c, dict):
                 continue
-            row = one((who[0], c["month"], c.get("description") or "", str(c.get("amount") or 0)), "client_id long, month string, description string, amount string")
-            work = state.insert_work(work, row.withColumn("amount", F.col("amount").cast("decimal(12,2)")), ["client_id"])
-        elif op == "update_work":
-            text = lambda k: None if c.get(k) is None else str(c[k])
-            work = state.patch_work(work, one((int(c["work_id"]), text("description"), text("amount"), text("month")), "id long, description string, amount string, month string"))
-        elif op == "delete_work":
-            work = work.filter(F.col("id") != int(c["work_id"]))
-        elif op == "delete_work_month" and re.fullmatch(r"20\d{2}-\d{2}", c.get("month") or ""):
-            work = work.filter(F.col("month") != c["month"])
-        else:
-            log.append(f"{op}: skipped")
-            continue
-        log.append(f"{op}: done")
-    return clients, work, log
+            op = str(c.get("op") or "").strip().lower()
+            step = getattr(self, f"_{op}", None) if op in OPERATIONS else None
+            try:
+                self.say(f"skipped unknown op {op!r}") if step is None else step(c)
+            except (TypeError, ValueError) as e:
+                self.say(f"failed {op}: {e}")
+        return self
+
+    def _who(self, c: dict) -> tuple[DataFrame, bool] | None:
+        """(one row whose who is the client's id or null, whether an id was given), or None if the command names nobody."""
+        try:
+            given = int(c["client_id"]) if c.get("client_id") is not None else None
+        except (TypeError, ValueError):
+            given = None
+        name = str(c.get("client_name") or c.get("name") or "").strip()
+        if given == 0 or given is None and not name:
+            return None
+        mine = F.col("id") == given if given is not None else F.lower(F.trim("name")) == F.lower(F.trim(F.lit(name)))
+        return self.clients.filter(mine).agg(F.min("id").alias("who")), given is not None
+
+    def _row(self, row: DataFrame, **values) -> DataFrame:
+        text = lambda v: F.lit(None if v is None else str(v)).cast("string")
+        return row.select("*", *(text(v).alias(k) for k, v in values.items()))
+
+    def _update_client(self, c: dict) -> None:
+        from ..operators import state
+
+        found = self._who(c)
+        if found is None:
+            return self.say("skipped update_client (unknown client)")
+        who, by_id = found
+        prices = {k: number(c.get(k)) for k in ("mow_price", "hedge_price")}
+        change = self._row(who, **{k: c.get(k) for k in ("name", "email", "phone", "address", "billing_notes")}, **prices).filter("who IS NOT NULL").withColumnRenamed("who", "id")
+        before = self.clients.select(F.col("id").alias("__b"), F.coalesce("name", F.lit("")).alias("__old"))
+        self.clients = state.patch_clients(self.clients, change)
+        now = self.clients.select(F.col("id").alias("__a"), *(F.coalesce(F.col(k).cast("string"), F.lit("None")).alias(f"__{k}") for k in ("email", "address", "mow_price", "hedge_price")))
+        row = who.join(before, F.col("who") == F.col("__b"), "left").join(now, F.col("who") == F.col("__a"), "left")
+        told = F.format_string("updated client #%s %s → email=%s, address=%s, mow=%s, hedge=%s", F.col("who").cast("string"), "__old", "__email", "__address", "__mow_price", "__hedge_price")
+        none = "failed update_client: client not found" if by_id else "skipped update_client (unknown client)"
+        self.say(F.when(F.col("who").isNull(), none).otherwise(told), row)
+
+    def _update_work(self, c: dict) -> None:
+        from ..operators import state
+
+        if c.get("work_id") is None:
+            return self.say("skipped update_work (no work_id)")
+        at = int(c["work_id"])
+        there = self.work.filter(F.col("id") == at).agg(F.min("id").alias("id"))
+        change = self._row(there.filter("id IS NOT NULL"), description=c.get("description"), amount=number(c.get("amount")), month=c.get("month"))
+        self.work = state.patch_work(self.work, change)
+        self.say(F.when(F.col("id").isNull(), "failed update_work: work item not found").otherwise(f"updated work_item #{at}"), there)
+
+    def _add_work(self, c: dict) -> None:
+        from ..operators import state
+
+        found, month = self._who(c), str(c.get("month") or "").strip()
+        if found is None or not month:
+            return self.say("skipped add_work (need client + month)")
+        who, by_id = found
+        try:
+            amount = number(c.get("amount")) or None
+        except ValueError:
+            amount = None
+        new = self._row(who.filter("who IS NOT NULL"), month=month, description=c.get("description") or "service", amount=amount).withColumnRenamed("who", "client_id")
+        top = self.work.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("new"))
+        told = F.format_string(f"added work_item #%s for client #%s ({month.replace('%', '%%')})", F.col("new").cast("string"), F.col("who").cast("string"))
+        none = "failed add_work: client not found" if by_id else "skipped add_work (need client + month)"
+        self.say(F.when(F.col("who").isNull(), none).otherwise(told), who.crossJoin(top))  # one row each
+        self.work = state.insert_work(self.work, new.withColumn("amount", F.col("amount").cast("decimal(12,2)")), ["client_id"])
+
+    def _delete_work(self, c: dict) -> None:
+        if c.get("work_id") is None:
+            return self.say("skipped delete_work (no work_id)")
+        self.work = self.work.filter(F.col("id") != int(c["work_id"]))
+        self.say(f"deleted work_item #{c['work_id']}")
+
+    def _delete_work_month(self, c: dict) -> None:
+        from ..operators import state
+
+        month = str(c.get("month") or "").strip()
+        if not re.fullmatch(r"20\d{2}-\d{2}", month):
+            return self.say("skipped delete_work_month (month must be YYYY-MM)")
+        count = lambda df, name: df.filter(F.col("month") == month).agg(F.count("*").cast("string").alias(name))
+        row = count(self.work, "lines").crossJoin(count(self.bills, "bills"))  # one row each
+        self.say(F.format_string(f"deleted %s work lines and %s bills for {month}", "lines", "bills"), row)
+        self.work, self.bills, _ = state.delete_month(self.work, self.bills, month)
+
+
+#: Commands that a chat turn may hold.
+OPERATIONS = ("update_client", "update_work", "add_work", "delete_work", "delete_work_month")
+
+
+def number(value) -> str | None:
+    """An amount as text: null for none, blank to clear it; anything that is no number is an error."""
+    if value is None or str(value).strip() == "":
+        return None if value is None else ""
+    return str(float(value))

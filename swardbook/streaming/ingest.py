@@ -1,34 +1,104 @@
-"""Stream reviewed lines into the ledger: replace-by-job makes every batch repeatable."""
+"""Stream reviewed lines into the ledger: an append-only log, settled by replace-by-job when it is read.
+
+Every line names its job and the send it belongs to (a confirm of that job).
+Batches only add to the log, each to folders of its own, so a batch that runs
+twice leaves what it left before and no batch touches another's lines. Reading
+settles the log: of a month's job the send that arrived last counts, whole, over
+however many batches and files it came; hand-typed lines count by id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import WORK_ITEM
 
+LINE = f"{WORK_ITEM}, send string"
+LOG = f"{LINE}, arrived timestamp, batch string"
+
 
 def lines(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Work lines as they arrive, a bounded number of files at a time."""
-    return spark.readStream.schema(WORK_ITEM).option("maxFilesPerTrigger", files).parquet(path)
+    """Work lines as they arrive, a bounded number of files at a time, with the time of their file."""
+    stream = spark.readStream.schema(LINE).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the ledger at path: a batch replaces the partitions (month, job) that it holds.
-
-    Overwriting partitions dynamically is the replace-by-job rule, so a batch
-    that runs twice leaves the same rows; partitions it does not touch are not
-    read.
-    """
+    """Append the lines to the log at path, by month and batch; a batch is named by its query and number."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("job", F.coalesce("source_job_id", F.lit("typed")))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "job").parquet(path)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
+        rows = batch.withColumn("batch", F.lit(f"{query}-{epoch}"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settled(log: DataFrame) -> DataFrame:
+    """The ledger's lines out of the log: the last send of each (month, job), one row for each id."""
+    send = F.coalesce("send", F.col("created_at").cast("string"), F.lit(""))
+    rows = log.withColumn("__send", send)
+    sends = rows.filter("source_job_id IS NOT NULL").groupBy("month", "source_job_id", "__send").agg(F.max("arrived").alias("__last"))
+    last = sends.groupBy(F.col("month").alias("__m"), F.col("source_job_id").alias("__j")).agg(F.max_by("__send", F.struct("__last", "__send")).alias("__s"))
+    sourced = rows.filter("source_job_id IS NOT NULL").join(last, (F.col("month") == F.col("__m")) & (F.col("source_job_id") == F.col("__j")) & (F.col("__send") == F.col("__s")), "left_semi")
+    newest = Window.partitionBy("id").orderBy(F.desc("arrived"), F.desc("batch"))
+    live = sourced.union(rows.filter("source_job_id IS NULL")).withColumn("__r", F.row_number().over(newest))
+    return live.filter("__r = 1").select(*(c.split()[0] for c in WORK_ITEM.replace("decimal(12,2)", "decimal").split(", ")))
+
+
+def ledger(spark: SparkSession, path: str, month: str | None = None) -> DataFrame:
+    """The settled lines at path, of one month if given; the filter prunes folders."""
+    log = spark.read.schema(LOG).parquet(path)
+    return settled(log if month is None else log.filter(F.col("month") == month))
+
+
+#: The states of a job that has ended, and seconds that such a job stays in view.
+ENDED, KEEP = ("done", "error", "cancelled"), 25
+
+
+def progress(events: DataFrame, now) -> DataFrame:
+    """The last state of every job (id, status, message, percent, updated_at) that is open, or ended no more than KEEP seconds before now."""
+    last = events.groupBy("id").agg(F.max_by(F.struct("status", "message", "percent", "updated_at"), F.struct("updated_at", "status", "message")).alias("x")).select("id", "x.*")
+    return last.filter(~F.col("status").isin(*ENDED) | (F.lit(now) - F.col("updated_at") <= F.expr(f"INTERVAL {KEEP} SECONDS")))
+
+
+_STATE = "status string, message string, percent int, updated_at timestamp"
+_SEEN = f"id string, {_STATE}, gone boolean"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One job: keep its last state, tell of each change, and of its end KEEP seconds after."""
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    if state.hasTimedOut:
+        was = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], *was, True)], columns=["id", *names, "gone"])
+        return
+    now = state.get if state.exists else None
+    for rows in batches:
+        for row in rows.sort_values(["updated_at", "status", "message"])[names].itertuples(index=False):
+            if now is None or row.updated_at >= now[3]:
+                now = (row.status, row.message, int(row.percent), row.updated_at)
+    if now is not None:
+        state.update(now)
+        if now[0] in ENDED:
+            ends = int(pd.Timestamp(now[3]).timestamp() * 1000) + KEEP * 1000
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *now, False)], columns=["id", *names, "gone"])
+
+
+def follow_progress(events: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Streaming: each change of a job's last state (gone = false), and the end of its time in view (gone = true)."""
+    rows = events.withWatermark("updated_at", late).groupBy("id")
+    return rows.applyInPandasWithState(_follow, _SEEN, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def job_progress(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Jobs by status and five minutes of event time; closes windows behind the watermark."""
     return events.withWatermark("updated_at", late).groupBy(F.window("updated_at", "5 minutes"), "status").agg(F.count("*").alias("n"))

@@ -1,15 +1,15 @@
 """Streaming ingest, chat questions, office lists, and the catalogue against its oracles on small tables."""
 
 import os
-from datetime import date
+from datetime import date, datetime
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from swardbook.operators import merge, score, sheets, views
+from swardbook.operators import merge, numbering, score, sheets, views
 from swardbook.plans import catalog, intent
-from swardbook.sources import office
+from swardbook.sources import gold, office
 from swardbook.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
-@pytest.mark.parametrize("name", ["tax_figures", "invoice_compile", "editor_items", "bills_ordered", "reassign_bills", "upsert_clients", "work_marks", "merge_office_lists", "email_worklist", "chat_months"])
+@pytest.mark.parametrize("name", ["tax_figures", "invoice_compile", "editor_items", "bills_ordered", "reassign_bills", "upsert_clients", "work_marks", "merge_office_lists", "email_worklist", "chat_months", "confirm_lines", "generate_month_bills", "save_bills_work", "office_import", "chat_turn_log", "job_states"])
 def test_catalogue(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -39,18 +39,48 @@ def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 90
 
 
-def test_ingest_twice_gives_the_same_rows(spark, tmp_path):
-    schema = "id long, client_id long, month string, day_or_note string, description string, amount decimal(12,2), source_job_id string, created_at timestamp_ntz"
-    put = lambda rows, k: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    row = lambda i, job, text: (i, 1, "2026-09", None, text, None, job, None)
-    put([row(1, "a", "x"), row(2, "b", "y")], 0)
-    run = lambda k: ingest.ingest(ingest.lines(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / f"c{k}")).awaitTermination()
-    run(0)
-    run(1)  # a new checkpoint reads everything again
-    put([row(3, "a", "z")], 1)
-    run(1)
-    got = spark.read.parquet(str(tmp_path / "out")).select("id", "description").collect()
-    assert sorted(map(tuple, got)) == [(2, "y"), (3, "z")]
+def arrive(spark, path, rows):
+    rows = [(i, 1, "2026-09", None, text, None, job, None, send) for i, job, send, text in rows]
+    spark.createDataFrame(rows, ingest.LINE).coalesce(1).write.mode("append").parquet(path)
+
+
+def streamed(spark, where, name="c"):
+    ingest.ingest(ingest.lines(spark, f"{where}/in"), f"{where}/log", f"{where}/{name}").awaitTermination()
+    return sorted((r.id, r.description) for r in ingest.ledger(spark, f"{where}/log", "2026-09").collect())
+
+
+def test_ingest_replaces_a_job_and_can_run_twice(spark, tmp_path):
+    arrive(spark, f"{tmp_path}/in", [(1, "a", "s1", "x"), (2, "b", "s1", "y")])
+    assert streamed(spark, tmp_path) == [(1, "x"), (2, "y")]
+    assert streamed(spark, tmp_path, "again") == [(1, "x"), (2, "y")]  # a new checkpoint reads everything again
+    arrive(spark, f"{tmp_path}/in", [(3, "a", "s2", "z")])
+    assert streamed(spark, tmp_path) == streamed(spark, tmp_path, "again") == [(2, "y"), (3, "z")]
+
+
+def test_ingest_keeps_typed_lines_and_jobs_of_several_batches(spark, tmp_path):
+    for k in (0, 10):
+        arrive(spark, f"{tmp_path}/in", [(k + 1, None, None, "typed"), (k + 2, "J", "s1", "line")])
+    assert streamed(spark, tmp_path) == [(1, "typed"), (2, "line"), (11, "typed"), (12, "line")]
+
+
+def test_progress_is_the_last_state_for_a_while(spark):
+    at = lambda s: datetime(2026, 11, 1, 12, 0, s)
+    rows = [("a", "queued", "q", 0, at(0)), ("a", "running", "r", 50, at(10)), ("b", "done", "d", 100, at(5)), ("c", "done", "d", 100, at(20)), ("d", "queued", "q", 0, at(0))]
+    df = spark.createDataFrame(rows, "id string, status string, message string, percent int, updated_at timestamp")
+    got = {r.id: (r.status, r.percent) for r in ingest.progress(df, at(40)).collect()}
+    assert got == {"a": ("running", 50), "c": ("done", 100), "d": ("queued", 0)}
+
+
+def test_progress_follows_a_stream(spark, tmp_path):
+    at = lambda s: datetime(2026, 11, 1, 12, s // 60, s % 60)
+    schema = "id string, status string, message string, percent int, updated_at timestamp"
+    for rows in ([("a", "running", "r", 50, at(0))], [("a", "done", "d", 100, at(10)), ("b", "queued", "q", 0, at(200))], [("c", "queued", "q", 0, at(201))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ingest.follow_progress(events).writeStream.outputMode("update").format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = [(r.id, r.status, r.gone) for r in spark.table("seen").collect()]
+    assert {("a", "running", False), ("a", "done", False), ("a", "done", True), ("b", "queued", False), ("c", "queued", False)} == set(got)
 
 
 @pytest.mark.parametrize(
@@ -69,16 +99,47 @@ def test_intents(spark):
     assert got == [("2026-11", None), (None, "2026-11"), (None, None)]
 
 
-def test_mutations_fold(spark):
-    clients = spark.createDataFrame([(1, "A", "x@y", None)], "id long, name string, email string, mow_price decimal(12,2)")
-    work = spark.createDataFrame([(1, 1, "2026-09", "m", None), (2, 1, "2026-08", "n", None)], "id long, client_id long, month string, description string, amount decimal(12,2)")
-    c, w, log = intent.apply_mutations(clients, work, [
-        {"op": "update_client", "client_name": " a ", "email": "", "mow_price": 5}, {"op": "add_work", "client_id": 1, "month": "2026-09", "description": "new", "amount": 3},
-        {"op": "delete_work", "work_id": 1}, {"op": "delete_work_month", "month": "2026-08"}, {"op": "delete_work_month", "month": "test"}, {"op": "add_work", "client_name": "nobody"},
+def test_mutations(spark):
+    clients = spark.createDataFrame([(1, "A", "x@y", None), (2, "B", None, None)], "id long, name string, email string, mow_price decimal(12,2)")
+    clients = clients.withColumns({c: F.lit(None).cast("string") for c in ("phone", "address", "billing_notes")}).withColumn("hedge_price", F.lit(None).cast("decimal(12,2)"))
+    work = spark.createDataFrame([(1, 1, "2026-09", "m", None), (2, 1, "2026-08", "n", None), (4, 2, "2026-09", "k", None)], "id long, client_id long, month string, description string, amount decimal(12,2)")
+    bills = spark.createDataFrame([(7, "2026-08", "k7"), (8, "2026-09", "k8")], "id long, month string, s3_key string")
+    after = intent.Mutations(clients, work, bills).apply([
+        {"op": "update_client", "client_name": " a ", "email": "", "mow_price": 5}, {"op": "add_work", "client_id": 1, "month": "2026-09", "amount": None},
+        {"op": "delete_work", "work_id": 1}, {"op": "delete_work_month", "month": "2026-08"}, {"op": "delete_work_month", "month": "test"}, {"op": "add_work", "client_name": "nobody", "month": "2026-09"},
+        {"op": "update_work"}, {"op": "update_work", "work_id": "x"}, {"op": "update_work", "work_id": 4, "amount": "bad"}, {"op": "update_work", "work_id": 4, "amount": "3.5", "description": " k "},
+        {"op": "update_client", "client_id": 9, "email": "e"}, {"op": ""}, "text", None,
     ])
-    assert [(r.email, float(r.mow_price)) for r in c.collect()] == [(None, 5.0)]
-    assert [(r.id, r.description) for r in w.collect()] == [(3, "new")]
-    assert [x.split(": ")[1] for x in log] == ["done", "done", "done", "done", "skipped", "client not found"]
+    assert [(r.id, r.email, r.mow_price and float(r.mow_price)) for r in after.clients.orderBy("id").collect()] == [(1, None, 5.0), (2, None, None)]
+    assert [(r.id, r.description, r.amount and float(r.amount)) for r in after.work.orderBy("id").collect()] == [(4, " k ", 3.5), (5, "service", None)]
+    assert [r.id for r in after.bills.collect()] == [8]
+    assert [r.line for r in after.log.orderBy("seq").collect()] == [
+        "updated client #1 A → email=None, address=None, mow=5.00, hedge=None", "added work_item #5 for client #1 (2026-09)", "deleted work_item #1", "deleted 1 work lines and 1 bills for 2026-08",
+        "skipped delete_work_month (month must be YYYY-MM)", "skipped add_work (need client + month)", "skipped update_work (no work_id)", "failed update_work: invalid literal for int() with base 10: 'x'",
+        "failed update_work: could not convert string to float: 'bad'", "updated work_item #4", "failed update_client: client not found", "skipped unknown op ''",
+    ]
+
+
+def test_gold_fixtures(spark, tmp_path):
+    import json
+
+    (tmp_path / "ground_truth").mkdir()
+    entries = [("a", "Work completed", "a.json"), ("b", "roster", "b.json"), ("c", "work", "missing.json")]
+    (tmp_path / "ground_truth" / "index.json").write_text(json.dumps({"fixtures": [{"id": i, "kind": k, "image": f"{i}.jpg", "gold_file": f"ground_truth/{g}"} for i, k, g in entries]}))
+    for n in ("a", "b"):
+        (tmp_path / "ground_truth" / f"{n}.json").write_text(json.dumps({"title": n}))
+    got = gold.fixtures(spark, str(tmp_path)).collect()
+    assert [(r.id, r.kind, r.image, json.loads(r.gold)) for r in got] == [("a", "Work completed", "a.jpg", {"title": "a"})]
+
+
+def test_row_numbers_follow_the_order(spark):
+    rows = [(k % 3, None if k % 7 == 0 else (k * 37) % 101 * 1000) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, v long").repartition(7)
+    got = numbering.numbered(df, "n", [F.col("v").asc_nulls_first()], [numbering.id_block(F.col("v"))]).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r.n)] == sorted((v for _, v in rows), key=lambda v: (v is not None, v or 0))
+    assert sorted(r.n for r in got) == list(range(1, 201))
+    each = numbering.numbered(df, "n", [F.col("v").asc_nulls_first()], [numbering.id_block(F.col("v"))], ["g"]).collect()
+    assert all(sorted(r.n for r in each if r.g == g) == list(range(1, sum(x == g for x, _ in rows) + 1)) for g in range(3))
 
 
 def test_hedge_list(spark):
