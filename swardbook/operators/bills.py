@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import commit, invoice, linkage, state, views
+from . import commit, invoice, linkage, merge, state, views
 
 #: Default wording of a bill; a ledger's owner sets its own.
 CLOSING = "Thank you for your business."
@@ -19,27 +19,75 @@ def generate_month(clients: DataFrame, work: DataFrame, bills: DataFrame, jobs:
     """Re-target, rebuild from stored sheets, reprice, compile, and upsert bills: {clients, work, bills, rows, conflicts}.
 
     While conflicts has rows the rebuild changes nothing. Without stored sheets
-    the lines stay as they are.
+    the lines stay as they are. The month's moves and lines are used several times
+    and are persisted. Two looks, at whether there are moves and stored sheets,
+    run at once and keep the steps that are not needed out of the plan.
     """
-    moves = linkage.retarget_month(work, clients, month)
-    work, bills = state.reassign(work, bills, moves)
-    clients = state.delete_ids(clients, linkage.orphans(clients, work, moves))
+    moves = linkage.retarget_month(work, clients, month).persist()
+    if not moves.isEmpty():
+        work, bills = state.reassign(work, bills, moves)
+        clients = state.delete_ids(clients, linkage.orphans(clients, work, moves))
     conflicts = None
     stored = jobs.filter((F.col("status") == "stored") & (F.col("month") == month) & F.col("extract_json").isNotNull())
-    if not stored.isEmpty():
+    if not stored.isEmpty():  # one look at the month's jobs decides whether there is anything to rebuild
         built = commit.rebuild_month(jobs, clients, work, month)
         clients, work, conflicts = built["clients"], built["work"], built["conflicts"]
     priced = clients.select(F.col("id").alias("__c"), "mow_price", "hedge_price")
     mine = work.filter(F.col("month") == month).join(priced, F.col("client_id") == F.col("__c")).drop("__c")
-    lines = invoice.reprice_visits(mine)
+    lines = invoice.reprice_visits(mine).persist()
     after = work.filter(F.col("month") != month).unionByName(lines.select(*work.columns))
     names = clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     shown = lines.select("month", "client_id").distinct().join(names, "client_id").join(views.latest_bills(bills).select("month", "client_id", "display_name"), ["month", "client_id"], "left")
     shown = shown.withColumn("shown", F.coalesce(T.blank_to_null(F.col("display_name")), F.col("client_name")))
-    made = shown.select("month", "client_id", F.concat(F.lit("bills/"), F.col("month"), F.lit("/"), F.col("client_id").cast("string"), F.lit("_"), F.substring(F.regexp_replace("shown", " ", "_"), 1, 40), F.lit(".pdf")).alias("s3_key"))
+    made = shown.select("month", "client_id", bill_key(F.col("month"), F.col("client_id"), F.col("shown")).alias("s3_key"))
     return {"clients": clients, "work": after, "bills": state.upsert_bills(bills, made), "rows": invoice.compile_rows(lines), "conflicts": conflicts if conflicts is not None else lines.limit(0).select(F.lit(None).cast("string").alias("key"))}
 
 
+def save_bills(clients: DataFrame, work: DataFrame, bills: DataFrame, edits: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """Save edited bills, any number in one go: {clients, work, bills}.
+
+    edits, one row a bill: month, client_id, email, phone, address, delivery,
+    intro, greeting, closing, signoff, to_client (also change the roster). lines:
+    month, client_id, line_no and what editor_items reads. A bill's stored lines
+    go, its new ones get the next ids and are repriced, its key is renewed and
+    it counts as unsent; texts equal to the usual ones and faces equal to the
+    roster's are stored as null. Edits of unknown clients are left out.
+    """
+    known = views.with_channel(clients).select(F.col("id").alias("__c"), F.col("name").alias("__name"), F.trim(F.coalesce("email", F.lit(""))).alias("__email"), F.col("channel").alias("__channel"))
+    e = edits.join(known, F.col("client_id") == F.col("__c"))
+    choice = F.lower(T.strip(F.col("delivery")))
+    e = e.withColumns({"__choice": F.when(choice.isin(*T.CHANNELS), choice).otherwise(F.col("__channel")), **{c: T.strip(F.col(c)) for c in ("email", "phone", "address")}})
+    contact = e.filter("to_client").select(F.col("client_id").alias("id"), "email", "address", "phone", F.col("__choice").alias("delivery"), (F.col("__choice") == "mail").alias("prefer_mail"))
+    after = state.update_contact(clients, contact.dropDuplicates(["id"]))
+
+    key = ["month", "client_id"]
+    mine = e.select(F.col("month").alias("__m"), F.col("client_id").alias("__k"))
+    of = (F.col("month") == F.col("__m")) & (F.col("client_id") == F.col("__k"))
+    kept = work.join(mine, of, "left_anti")
+    shown = lines.join(mine, of, "left_semi").withColumn("line_id", F.struct(*key, "line_no"))
+    items = invoice.editor_items(shown).select("line_id.client_id", "line_id.line_no", "month", "piece", "description", F.col("amount").cast("decimal(12,2)").alias("amount"), "day_or_note")
+    fresh = state.next_ids(work, items, ["client_id", "month", "line_no", "piece"]).drop("line_no", "piece")
+    prices = after.select(F.col("id").alias("__c"), "mow_price", "hedge_price")
+    typed = work.limit(0).unionByName(fresh, allowMissingColumns=True).join(prices, F.col("client_id") == F.col("__c")).drop("__c")
+    new = invoice.reprice_visits(typed).select(*work.columns)
+
+    faces = views.latest_bills(bills).select("month", "client_id", T.blank_to_null(F.col("display_name")).alias("__shown"))
+    e = e.join(faces, key, "left").withColumn("__face", F.coalesce("__shown", "__name"))
+    made = state.upsert_bills(bills, e.select(*key, bill_key(F.col("month"), F.col("client_id"), F.col("__face")).alias("s3_key")))
+    ids = made.groupBy(*key).agg(F.max("id").alias("id"))
+    e = e.join(ids, key)
+    usual = {"cover_note": ("intro", T.invoice_sentence(F.col("month"), F.lit(None).cast("string"))), "greeting": ("greeting", F.concat(F.lit("Dear "), T.first_name(F.col("__face")), F.lit(","))), "closing": ("closing", F.lit(CLOSING)), "signoff": ("signoff", F.lit(SIGNOFF))}
+    letters = e.select("id", *(T.stored_letter(F.col(given), default).alias(c) for c, (given, default) in usual.items()))
+    own = lambda value, roster: F.when(~F.col("to_client") & (value != roster), value)
+    face = e.select("id", F.col("__shown").alias("display_name"), own(F.col("email"), F.col("__email")).alias("bill_email"), own(F.col("__choice"), F.col("__channel")).alias("bill_delivery"))
+    return {"clients": after, "work": kept.unionByName(new), "bills": state.set_faces(state.set_letters(made, letters), face)}
+
+
+def bill_key(month: Column, client_id: Column, shown: Column) -> Column:
+    """The object key of a bill."""
+    return F.concat(F.lit("bills/"), month, F.lit("/"), client_id.cast("string"), F.lit("_"), F.substring(F.regexp_replace(shown, " ", "_"), 1, 40), F.lit(".pdf"))
+
+
 def editable_bills(clients: DataFrame, bills: DataFrame, month: str) -> DataFrame:
     """What the editor shows above the lines, for every client: face, letter texts and roster values."""
     latest = views.latest_bills(bills.filter(F.col("month") == month)).select(F.col("id").alias("bill_id"), F.col("client_id").alias("__c"), "s3_key", "cover_note", "display_name", "bill_email", "bill_delivery", *(c for c in ("greeting", "closing", "signoff") if c in bills.columns))
@@ -80,7 +128,7 @@ def snapshot(clients: DataFrame, work: DataFrame, bills: DataFrame) -> str:
         rows[long] = rows[long][: max(FLOOR[long], len(rows[long]) // 2)]
 
 
-def leaks(clients: DataFrame, banned: tuple[str, ...] = ("handwritten row", "crossed out", "printed $")) -> DataFrame:
+def leaks(clients: DataFrame, banned: tuple[str, ...] = merge.BANNED) -> DataFrame:
     """Clients whose notes hold a banned phrase, or whose locator line holds a dollar amount: none should."""
     notes = F.lower(F.coalesce("billing_notes", F.lit("")))
     phrase = F.lit(False)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.marks import marks
 from . import linkage, sheets, state
+from .numbering import numbered, prefix
 
 
 def mark_lines(cells: DataFrame, keep: list[str]) -> DataFrame:
@@ -26,16 +27,15 @@ def mark_lines(cells: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def settle(rows: DataFrame, clients: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle(rows: DataFrame, clients: DataFrame, resolutions: DataFrame, filed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with client_id, clients with those that resolutions add).
 
-    rows: name and anything else. resolutions: name, save_as, match_client_id,
+    rows: name and anything else. filed: sheet_name, client_id. resolutions: name, save_as, match_client_id,
     address, phone, email, billing_notes, mow_price, hedge_price, prefer_mail,
     add_permanently.
     """
     from ..functions import text as T
 
-    filed = linkage.file_clients(rows.select(F.col("name").alias("sheet_name")), clients)
     answers = resolutions.withColumns({"__key": T.name_key(F.col("name")), "__save": F.coalesce(T.blank_to_null(F.col("save_as")), F.col("name"))})
     known = clients.select(F.col("id").alias("__known"), T.name_key(F.col("name")).alias("__known_key"))
     new = answers.filter("match_client_id IS NULL").withColumn("__save_key", T.name_key(F.col("__save")))
@@ -56,31 +56,31 @@ def confirm(jobs: DataFrame, clients: DataFrame, work: DataFrame, resolutions: D
     """File reviewed jobs (id, month, extract_json): {conflicts, clients, work}.
 
     While conflicts has rows, clients and work are as before: the gate is a
-    filter on the number of open names, so all of it stays one lazy plan. Lines
-    that a job stored before are replaced. Every name of every job is filed
-    against the same roster; names added by a resolution are added once.
+    filter on the number of open names, so nothing runs until a result is asked
+    for. Sheet rows, filed names, open names and new lines are used several times
+    and are persisted when they are first computed. Lines that a job stored before
+    are replaced. Every name of every job is filed against the same roster; names
+    added by a resolution are added once.
     """
     parsed = sheets.parse(jobs)
-    rows = sheets.extract_rows(parsed).join(jobs.select("id", "month"), "id").withColumn("seq", F.struct("id", "table_no", "row_no"))
-    open_names = linkage.open_conflicts(rows.select("seq", "name", "work"), clients, resolutions)
+    rows = sheets.extract_rows(parsed).join(jobs.select("id", "month"), "id").withColumn("seq", F.struct("id", "table_no", "row_no")).persist()
+    known = linkage.file_clients(rows.select(F.col("name").alias("sheet_name")), clients).persist()
+    open_names = linkage.open_conflicts(rows.select("seq", "name", "work"), clients, resolutions, known).persist()
     gate = open_names.agg((F.count("*") == 0).alias("__clear"))
     if resolutions is None:
-        filed, after = rows.join(linkage.file_clients(rows.select(F.col("name").alias("sheet_name")), clients), F.col("name") == F.col("sheet_name"), "left").drop("sheet_name"), clients
+        filed, after = rows.join(known, F.col("name") == F.col("sheet_name"), "left").drop("sheet_name"), clients
     else:
-        filed, after = settle(rows, clients, resolutions)
+        filed, after = settle(rows, clients, resolutions, known)
     priced = after.select(F.col("id").alias("__c"), "mow_price", "hedge_price")
     cells = filed.join(priced, F.col("client_id") == F.col("__c")).drop("__c").crossJoin(F.broadcast(gate)).filter("__clear")  # gate is one row
     lines = mark_lines(cells, ["id", "month", "client_id", "table_no", "row_no"])
-    lines = lines.withColumnRenamed("id", "source_job_id")
+    lines = lines.withColumnRenamed("id", "source_job_id").persist()
     order = ["source_job_id", "table_no", "row_no", "pos"]
     sent = jobs.select(F.col("id").alias("__j"), F.col("month").alias("__m")).crossJoin(F.broadcast(gate)).filter("__clear")
     kept = work.join(sent, (F.col("source_job_id") == F.col("__j")) & (F.col("month") == F.col("__m")), "left_anti") if wipe else work
     top = work.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    rank = F.row_number().over(Window.partitionBy("source_job_id").orderBy(*order[1:]))
-    before = Window.orderBy("source_job_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy("source_job_id").agg(F.count("*").alias("__n")).select("source_job_id", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = lines.withColumn("__rank", rank).join(starts, "source_job_id").crossJoin(F.broadcast(top))
-    new = numbered.select((F.col("__top") + F.col("__start") + F.col("__rank")).cast("long").alias("id"), "client_id", "month", "day_or_note", "description", "amount", "source_job_id")
+    placed = numbered(lines, "__rank", order, [prefix(F.col("source_job_id"), 8)])
+    new = placed.crossJoin(F.broadcast(top)).select((F.col("__top") + F.col("__rank")).cast("long").alias("id"), "client_id", "month", "day_or_note", "description", "amount", "source_job_id")  # top is one row
     return {"conflicts": open_names, "clients": after, "work": kept.unionByName(new, allowMissingColumns=True)}
 
 

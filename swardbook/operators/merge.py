@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import state
 
 FIELDS = ("address", "mow_price", "hedge_price", "email", "phone", "prefer_mail", "hedge_roster", "entity_kind")
 
@@ -57,3 +58,45 @@ def match_roster(records: DataFrame, clients: DataFrame) -> DataFrame:
         lambda acc, x: F.when(F.exists(acc, lambda a: (a["key"] == x["key"]) | (a["id"] == x["id"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["key"].alias("key"), x["id"].alias("id"))))),
     )
     return exact.union(taken.select(F.inline(state)).select("key", "id"))
+
+
+#: What notes may not say; such notes are dropped with a row that the office lists no longer have.
+BANNED = ("handwritten row", "crossed out", "printed $")
+#: Fields that the office lists fill where they have a value, and keep where they have none.
+FILLED = ("email", "phone", "address", "billing_address", "mow_price", "prefer_mail", "entity_kind", "sort_order", "mowing_group")
+
+
+def import_office(records: DataFrame, clients: DataFrame) -> DataFrame:
+    """The roster after an office import. records: key, seq, name and any of the roster's fields, one row a key.
+
+    A record finds its client by match_roster. What it has fills the client;
+    notes and hedge data are the office's, null included, and so is the name
+    unless another client has it. Records without a client are added. Clients
+    without a record lose their hedge data, and notes with a banned phrase.
+    """
+    pairs = match_roster(records.select("key", "seq"), clients).select(F.col("key").alias("__key"), F.col("id").alias("__id"))
+    has = lambda c: F.col(f"r.{c}") if c in records.columns else F.lit(None)
+    taken = clients.select(T.name_key(F.col("name")).alias("__taken")).distinct()
+    found = records.join(pairs, F.col("key") == F.col("__key")).join(taken, F.col("key") == F.col("__taken"), "left")
+    rows = clients.alias("c").join(found.alias("r"), F.col("c.id") == F.col("r.__id"), "left")
+    hit, hedged = F.col("r.__id").isNotNull(), F.coalesce(has("hedge_roster"), F.lit(False))
+    notes, scrubbed = F.coalesce("c.billing_notes", F.lit("")), F.lit(False)
+    for phrase in BANNED:
+        scrubbed = scrubbed | F.lower(notes).contains(phrase)
+    new = {c: F.coalesce(has(c), F.col(f"c.{c}")) for c in FILLED}
+    new["name"] = F.when(hit & F.col("r.__taken").isNull(), F.col("r.name")).otherwise(F.col("c.name"))
+    new["billing_notes"] = F.when(hit, has("billing_notes").cast("string")).when(~scrubbed, F.nullif(notes, F.lit("")))
+    new["hedge_price"] = F.when(hit & hedged, has("hedge_price")).cast("decimal(12,2)")
+    new["hedge_roster"] = hit & hedged
+    after = rows.select(*((new[c] if c in new else F.col(f"c.{c}")).alias(c) for c in clients.columns))
+    fields = [c for c in ("name", *FILLED, "billing_notes", "hedge_price", "hedge_roster") if c in records.columns]
+    added = records.join(pairs, F.col("key") == F.col("__key"), "left_anti").select(*fields)
+    return state.coalesce_clients(after, added)
+
+
+def import_counts(clients: DataFrame) -> DataFrame:
+    """What an import reports of the roster, one row."""
+    return clients.agg(
+        F.count("*").alias("clients"), F.count("mow_price").alias("with_mow"), F.count("hedge_price").alias("with_hedge"), F.count_if(F.coalesce("hedge_roster", F.lit(False))).alias("on_hedge_roster"),
+        F.count("phone").alias("with_phone"), F.count("billing_address").alias("with_billing_address"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import id_block, numbered
 
 #: Fixed value: a price counts as read if it is this close.
 PRICE_REACH = 1.01
@@ -73,15 +74,17 @@ def weighted(counts: DataFrame) -> DataFrame:
 
 
 def chunks(names: DataFrame, size: int, order: str, group: str) -> DataFrame:
-    """Number fixed-size chunks of a group's rows in order."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return names.withColumn("chunk", F.floor(at / size).cast("int"))
+    """Number fixed-size chunks of a group's rows in order of a number; a group of any size spreads by blocks of it."""
+    at = numbered(names, "__at", [order], [id_block(F.col(order))], [group])
+    return at.withColumn("chunk", F.floor((F.col("__at") - 1) / size).cast("int")).drop("__at")
 
 
 def batches(files: DataFrame, limit: int, group: str, order: str, size: str) -> DataFrame:
-    """Number batches of files in order: a batch closes before it would pass limit. One group's files go to one task."""
+    """Number batches of files in order: a batch closes before it would pass limit.
+
+    Where a batch ends depends on all before it, so a group's files go through
+    one task in order; they are streamed, and only what the open batch holds is kept.
+    """
 
     def fill(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, number, held = None, 0, 0

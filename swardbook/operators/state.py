@@ -6,10 +6,12 @@ null, save_* overwrites with null, patch_* keeps for null and clears for blank.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from .numbering import id_block, numbered, prefix
 
 CONTACT = ("email", "phone", "address", "billing_address", "billing_notes", "mow_price", "hedge_price", "hedge_roster", "prefer_mail", "on_roster", "entity_kind", "sort_order", "mowing_group")
 NEW_CLIENT = {"hedge_roster": False, "prefer_mail": False, "on_roster": True, "entity_kind": "client"}
@@ -20,12 +22,12 @@ def _key(c: str) -> Column:
 
 
 def next_ids(df: DataFrame, new: DataFrame, order: list[str], column: str = "id") -> DataFrame:
-    """Give new rows ids after the largest one. New rows of one change are few; their order is a sort."""
-    from pyspark.sql import Window
-
+    """Give new rows ids after the largest one, in order: by a prefix of a first text column, by blocks of a first number."""
+    first = F.col(order[0])
+    text = isinstance(new.schema[order[0]].dataType, StringType)
     top = df.agg(F.coalesce(F.max(column), F.lit(0)).alias("__top"))
-    rank = F.row_number().over(Window.orderBy(*order))
-    return new.withColumn("__rank", rank).crossJoin(F.broadcast(top)).withColumn(column, (F.col("__top") + F.col("__rank")).cast("long")).drop("__rank", "__top")  # top is one row
+    rows = numbered(new, "__rank", order, [prefix(first, 8) if text else id_block(first)])
+    return rows.crossJoin(F.broadcast(top)).withColumn(column, (F.col("__top") + F.col("__rank")).cast("long")).drop("__rank", "__top")  # top is one row
 
 
 def _matched(clients: DataFrame, changes: DataFrame) -> DataFrame:
@@ -105,7 +107,59 @@ def patch_clients(clients: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def patch_work(work: DataFrame, changes: DataFrame) -> DataFrame:
-    return patch_rows(work, changes, ("description", "month"), ("amount",))
+    """Patch lines by id: null keeps; a description is set as it is, a month stripped, a blank amount clears."""
+    rows = patch_rows(work, changes, (), ("amount",))
+    texts = [c for c in ("description", "month") if c in changes.columns]
+    given = changes.select(F.col("id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in texts))
+    new = {"description": F.col("__description") if "description" in texts else None, "month": T.strip(F.col("__month")) if "month" in texts else None}
+    rows = rows.join(given, F.col("id") == F.col("__id"), "left")
+    return rows.select(*(F.when(F.col(f"__{c}").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in texts else c for c in work.columns))
+
+
+def _overwrite(df: DataFrame, changes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Set columns by id to what the changes hold, null included."""
+    rows = df.alias("c").join(changes.alias("n"), F.col("c.id") == F.col("n.id"), "left")
+    hit = F.col("n.id").isNotNull()
+    return rows.select(*(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"c.{c}")).alias(c) if c in columns and c in changes.columns else F.col(f"c.{c}").alias(c) for c in df.columns))
+
+
+def update_work(work: DataFrame, changes: DataFrame) -> DataFrame:
+    """Set description and amount by id, null included; the note too if the changes have it at all."""
+    return _overwrite(work, changes, ("description", "amount", "day_or_note"))
+
+
+def update_contact(clients: DataFrame, changes: DataFrame) -> DataFrame:
+    """Set email, address, phone and delivery by id, blank as null; paper mail as given, else no; the name only if there is one."""
+    texts = ("email", "address", "phone", "delivery")
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c) if c in changes.columns else F.lit(None).cast("string").alias(c)
+    mail = F.coalesce("prefer_mail", F.lit(False)) if "prefer_mail" in changes.columns else F.lit(False)
+    name = F.col("name") if "name" in changes.columns else F.lit(None).cast("string")
+    new = changes.select("id", *(blank(c) for c in texts), mail.alias("prefer_mail"), name.alias("__name"))
+    rows = _overwrite(clients, new, (*texts, "prefer_mail"))
+    names = new.filter("__name IS NOT NULL").select(F.col("id").alias("__id"), "__name")
+    return rows.join(names, F.col("id") == F.col("__id"), "left").withColumn("name", F.coalesce("__name", "name")).select(*clients.columns)
+
+
+def set_emails(clients: DataFrame, changes: DataFrame) -> DataFrame:
+    """Set the email alone by id, blank as null."""
+    return _overwrite(clients, changes.select("id", F.nullif(F.col("email"), F.lit("")).alias("email")), ("email",))
+
+
+def insert_bills(bills: DataFrame, made: DataFrame) -> DataFrame:
+    """Append bills (month, client_id, s3_key) with the next ids, whatever there is already."""
+    return bills.unionByName(next_ids(bills, made, ["month", "client_id"]), allowMissingColumns=True)
+
+
+def set_faces(bills: DataFrame, faces: DataFrame) -> DataFrame:
+    """Set display_name, bill_email and bill_delivery of bills by id, null included."""
+    return _overwrite(bills, faces, ("display_name", "bill_email", "bill_delivery"))
+
+
+def set_letters(bills: DataFrame, letters: DataFrame) -> DataFrame:
+    """Set the texts of bills by id: cover_note, greeting, closing, signoff as given, null included."""
+    texts = ("cover_note", "greeting", "closing", "signoff")
+    missing = {c: F.lit(None).cast("string") for c in texts if c not in bills.columns and c in letters.columns}
+    return _overwrite(bills.withColumns(missing), letters, texts)
 
 
 def insert_work(work: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -231,8 +285,6 @@ def restore_job_dates(work: DataFrame, jobs_marks: DataFrame) -> DataFrame:
 
     jobs_marks: client_id, month, name, amount, day, pos.
     """
-    from pyspark.sql import Window
-
     key = ["month", "client_id", "__name", "__amount"]
     w = work.withColumns({"__name": F.lower("description"), "__amount": T.money(F.col("amount"))}).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
     m = jobs_marks.withColumns({"__name": F.lower("name"), "__amount": T.money(F.col("amount"))}).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).select(*key, "__n", F.col("day").alias("__day"))

@@ -122,6 +122,42 @@ def sheet_clients(clients: DataFrame, kind: str = "mowing") -> DataFrame:
     return roster(base)
 
 
+def search_roster(clients: DataFrame, query: str) -> DataFrame:
+    """Clients whose name and address hold a text, in any case; all of them for a blank one."""
+    wanted = (query or "").strip().lower()
+    blob = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("address", F.lit(""))))
+    return clients.filter(blob.contains(wanted)) if wanted else clients
+
+
+def roster_names(clients: DataFrame) -> DataFrame:
+    """The roster's names in its order."""
+    return roster(clients).select("name")
+
+
+def knowledge_records(clients: DataFrame) -> DataFrame:
+    """What a sheet's reading is given of each client: texts, and blank for null; prices as numbers."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return clients.select("id", text("name"), text("address"), text("phone"), text("email"), text("billing_notes"), F.coalesce("prefer_mail", F.lit(False)).alias("prefer_mail"), *(F.col(c).cast("double").alias(c) for c in ("mow_price", "hedge_price")))
+
+
+def records_for_names(clients: DataFrame, names: DataFrame) -> DataFrame:
+    """Clients with one of some names, in any case and without outer blanks; if there is none, the names themselves."""
+    wanted = names.select(F.lower(F.trim("name")).alias("__name")).distinct()
+    found = clients.join(wanted, F.lower(F.trim(F.coalesce("name", F.lit("")))) == F.col("__name"), "left_semi")
+    none = found.agg((F.count("*") == 0).alias("__none"))
+    given = names.filter(F.trim("name") != "").select("name").crossJoin(F.broadcast(none)).filter("__none").drop("__none")  # none is one row
+    return found.unionByName(given, allowMissingColumns=True)
+
+
+def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:
+    return jobs.filter(F.col("id") == job_id)
+
+
+def has_email() -> Column:
+    """A client or bill that mail can be sent to: a field or a note with an address."""
+    return F.size(T.addresses(T.contact_email(F.col("email"), F.col("billing_notes")))) > 0
+
+
 def client_by_name(clients: DataFrame, name: str) -> DataFrame:
     return clients.filter(F.lower(F.trim("name")) == F.lower(F.trim(F.lit(name))))
 

@@ -112,5 +112,5 @@ UNION ALL SELECT (SELECT max(id) FROM bills) + row_number() OVER (ORDER BY month
     "upsert_jobs": with_tables("SELECT coalesce(j.id, n.id) AS id, coalesce(n.status, j.status) AS status, coalesce(n.progress_msg, j.progress_msg) AS progress_msg, coalesce(n.extract_json, j.extract_json) AS extract_json, coalesce(n.month, j.month) AS month FROM jobs j FULL JOIN n ON n.id = j.id", _changed(" UNION ALL ".join(JOBS))),
     "clear_reviews": with_tables("SELECT id, CASE WHEN status IN ('done', 'stored') THEN 'cleared' ELSE status END AS status, CASE WHEN status IN ('done', 'stored') THEN 'Review cleared' ELSE progress_msg END AS progress_msg FROM jobs"),
     "clear_reviews_work": with_tables(f"SELECT {_w} FROM work_items w WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.status = 'stored' AND j.id = w.source_job_id AND j.month = w.month)"),
-    "patch_work": with_tables(f"SELECT {_w} FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'new' ELSE description END AS description, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN 7.25 ELSE amount END::DECIMAL(12,2) AS amount) FROM work_items) w"),
+    "patch_work": with_tables(f"SELECT {_w} FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN ' new ' ELSE description END AS description, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN 7.25 ELSE amount END::DECIMAL(12,2) AS amount) FROM work_items) w"),
 }

@@ -82,11 +82,34 @@ def scored(led: Ledger):
     return base.drop("o_orderkey"), read.drop("o_orderkey")
 
 
+#: Clients that the stored sheets name.
+MADE = [(10**9 + k, f"SMITH, Mary {k}", 40.0, 25.0) for k in range(9)] + [(10**9 + 9, "BRADY, Jim", 31.0, 55.5)]
+MONTH = "1996-03"
+
+
+def sheet_jobs(led: Ledger, upto: int):
+    """Stored sheets; the first ones are of a month that has work from jobs of their names."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    jobs = led.jobs.withColumn("month", F.when(n < upto, MONTH).otherwise(F.col("month")))
+    return jobs.filter("status = 'stored' AND month LIKE '____-__' AND extract_json IS NOT NULL")
+
+
+def named_clients(led: Ledger):
+    """The roster and the clients that the sheets name."""
+    made = led.spark.createDataFrame(MADE, "id long, name string, mow_price double, hedge_price double")
+    return led.clients.unionByName(made.withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("mow_price", "hedge_price")}), allowMissingColumns=True)
+
+
 def confirmed(led: Ledger):
-    """Stored sheets of the ledger's jobs filed in one go."""
-    jobs = led.jobs.filter("status = 'stored' AND month LIKE '____-__' AND extract_json IS NOT NULL").select("id", "month", "extract_json")
-    clients = led.clients.unionByName(led.spark.createDataFrame([(10**9 + k, f"SMITH, Mary {k}", 40.0, 25.0) for k in range(9)] + [(10**9 + 9, "BRADY, Jim", 31.0, 55.5)], "id long, name string, mow_price double, hedge_price double").withColumns({"mow_price": F.col("mow_price").cast("decimal(12,2)"), "hedge_price": F.col("hedge_price").cast("decimal(12,2)")}), allowMissingColumns=True)
-    return C.confirm(jobs, clients.filter(F.col("id") >= 10**9), led.work.limit(0))
+    """All stored sheets filed in one go over the whole roster and ledger."""
+    return C.confirm(sheet_jobs(led, 40).select("id", "month", "extract_json"), named_clients(led), led.work)
+
+
+def cut_off(led: Ledger):
+    """Stored sheets that break off in their last row, their notes or behind them, and their repair."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
+    text = F.expr("substr(extract_json, 1, length(extract_json) - 1 - cut)")
+    return led.jobs.filter("extract_json IS NOT NULL").withColumn("cut", n % 60).select("id", repaired(text).alias("fixed"))
 
 
 QUERIES = {
@@ -101,12 +124,12 @@ QUERIES = {
     "review_boxes": lambda s, d: cells(Ledger(s, d)).select(*_LINE_KEY, F.array_join(boxes(marks(F.col("cell"))), ";").alias("boxes")),
     "confirm_lines": lambda s, d: confirmed(Ledger(s, d))["work"].select("client_id", "month", "day_or_note", "description", "amount", "source_job_id"),
     "name_similarity": lambda s, d: (x := Ledger(s, d)).table("part").select("p_name").distinct().crossJoin(F.broadcast(x.table("region").select("r_name"))).select("p_name", "r_name", L.name_similarity(F.col("p_name"), F.col("r_name")).alias("score")),
-    "filing_exact": lambda s, d: L.file_clients((x := Ledger(s, d)).clients.filter("mow_price IS NOT NULL").select(F.upper("name").alias("sheet_name")), x.clients.filter("mow_price IS NOT NULL")),
+    "filing_exact": lambda s, d: L.file_clients((x := Ledger(s, d)).clients.filter("mow_price IS NOT NULL").select(F.upper("name").alias("sheet_name")), x.clients),
     "filing_clients": lambda s, d: L.file_clients(sheet_names(x := Ledger(s, d)), x.clients),
     "suggest_clients": lambda s, d: L.suggest_clients(sheet_names(x := Ledger(s, d)), x.clients),
     "open_conflicts": lambda s, d: L.open_conflicts(noted_names(x := Ledger(s, d)), x.clients),
     "merge_office_lists": lambda s, d: M.merge_sources(records(Ledger(s, d))),
-    "match_office_roster": lambda s, d: M.match_roster(records(x := Ledger(s, d)).filter("source = 0").select(F.when(F.col("seq") % 2 == 0, T.name_key(F.col("name"))).otherwise(F.concat(T.name_key(F.col("name")), F.lit("etal"))).alias("key"), "seq").filter("seq > 142"), x.clients.filter("id > 142")),
+    "match_office_roster": lambda s, d: M.match_roster(records(x := Ledger(s, d)).filter("source = 0").select(F.when(F.col("seq") % 2 == 0, T.name_key(F.col("name"))).otherwise(F.concat(T.name_key(F.col("name")), F.lit("etal"))).alias("key"), "seq"), x.clients),
     "hedge_list": lambda s, d: O.hedge_records(office_lines(Ledger(s, d))).select("doc", "record", "name", "address", "hedge_price", "billing_notes"),
     "lawn_groups": lambda s, d: O.groups(Ledger(s, d).table("supplier").select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name")), 3),
     "chat_months": lambda s, d: questions(Ledger(s, d)).select("o_orderkey", I.status_month(F.col("question"), F.lit(TODAY)).alias("status"), I.wipe_month(F.col("question"), F.lit(TODAY)).alias("wipe")),
@@ -115,7 +138,7 @@ QUERIES = {
     "recall_weighted": lambda s, d: R.weighted(R.recall(*scored(Ledger(s, d)))),
     "attachment_batches": lambda s, d: R.batches(Ledger(s, d).work.select("month", "id", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("bytes")), 500_000, "month", "id", "bytes"),
     "name_chunks": lambda s, d: R.chunks(Ledger(s, d).work.select("month", "id"), 4, "id", "month"),
-    "json_repair": lambda s, d: Ledger(s, d).jobs.filter("extract_json IS NOT NULL").select("id", F.get_json_object(repaired(F.expr("substr(extract_json, 1, 60)")), "$.title").alias("title")),
+    "json_repair": lambda s, d: cut_off(Ledger(s, d)).select("id", F.get_json_object("fixed", "$.title").alias("title"), F.get_json_object("fixed", "$.tables[0].rows[0][0]").alias("first")),
 }
 
 _Q = """q AS (SELECT o_orderkey, lower(v[o_orderkey % 5 + 1] || ' ' || CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%b') || ' data' WHEN 1 THEN 'work in 20' || strftime(o_orderdate, '%y-%m') ELSE 'this month' END) AS t,
@@ -127,6 +150,18 @@ _JOB = "(SELECT event_id, id, user_id, extract_json IS NOT NULL AS has, event_id
 _ROWS = f"""rws AS (SELECT id, 0::INT AS row_no, 'SMITH, Mary ' || event_id % 9 AS name, (event_id % 70)::DOUBLE AS price, (event_id % 28 + 1) || ' 30' AS work, event_id FROM {_JOB} WHERE real
  UNION ALL SELECT id, 2, 'BRADY, Jim', (1000 + event_id % 900)::DOUBLE + 0.5, '1,' || lpad((event_id % 900)::VARCHAR, 3, '0') || '.50', event_id FROM {_JOB} WHERE real
  UNION ALL SELECT id, 4, 'BRADY, Jim', NULL, (event_id % 28 + 1) || 'h', event_id FROM {_JOB} WHERE real)"""
+_RECALL = """SELECT (o_orderkey // 20)::VARCHAR AS sheet, count(*) AS n_gold, count(*) AS n_price, count(*) AS n_days, count(*) FILTER (o_orderkey % 7 <> 0) AS n_read, count(*) FILTER (o_orderkey % 7 <> 0) AS clients,
+  count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS prices, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0) AS day_hits FROM orders GROUP BY 1"""
+
+
+def sql_sheets(upto: int) -> tuple[str, str]:
+    """Steps sent (stored sheets, as sheet_jobs) and sheet_lines (their priced lines)."""
+    sent = f"sent AS (SELECT * FROM (SELECT x.id, event_id, real, CASE WHEN event_id < {upto} THEN '{MONTH}' ELSE j.month END AS m FROM {_JOB} x JOIN jobs j ON j.id = x.id WHERE j.status = 'stored' AND has) t WHERE m LIKE '____-__')"
+    rows = f"""sheet_lines AS (SELECT id, m, {10**9} + event_id % 9 AS client_id, v.day::VARCHAR AS note, 'Mowing ' || v.day AS description, 40::DECIMAL(12,2) AS amount FROM sent, LATERAL (SELECT unnest([event_id % 28 + 1, 30]) AS day) v WHERE real
+ UNION ALL SELECT id, m, {10**9 + 9}, '1', 'Mowing 1', 31 FROM sent WHERE real UNION ALL SELECT id, m, {10**9 + 9}, (event_id % 28 + 1) || 'h', 'Hedging ' || (event_id % 28 + 1), 55.5 FROM sent WHERE real)"""
+    return sent, rows
+
+
 ORACLES = {
     "extract_rows": with_tables("SELECT id, row_no, name, price, work FROM rws", _ROWS),
     "extract_has_rows": with_tables(f"SELECT id, real AS has_rows FROM {_JOB}"),
@@ -148,7 +183,7 @@ FROM c, (VALUES (0), (1), (2), (3), (4)) v(p)""",
   coalesce(mow_price, CASE WHEN id % 3 = 0 THEN 1 END)::DECIMAL(12,2) AS mow_price, coalesce(CASE WHEN id % 2 = 0 THEN hedge_price END, CASE WHEN id % 3 = 0 THEN 7 END)::DECIMAL(12,2) AS hedge_price, CASE WHEN id % 3 = 0 THEN phone END AS phone,
   CASE WHEN id % 2 = 0 THEN concat_ws(' | ', billing_notes, 'trim low') WHEN id % 3 = 0 THEN concat_ws(' | ', billing_notes, 'trim') ELSE billing_notes END AS billing_notes FROM clients"""
     ),
-    "match_office_roster": with_tables("SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || CASE WHEN id % 2 = 0 THEN '' ELSE 'etal' END AS key, id FROM clients WHERE id > 142"),
+    "match_office_roster": with_tables("SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || CASE WHEN id % 2 = 0 THEN '' ELSE 'etal' END AS key, id FROM clients"),
     "hedge_list": "SELECT s_nationkey::BIGINT AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS record, 'KEY, ' || s_name AS name, s_suppkey || ' Neck Rd' AS address, (s_suppkey % 90 + 10)::DECIMAL(12,2) AS hedge_price, 'call first' AS billing_notes FROM supplier",
     "lawn_groups": "SELECT regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS key, 'group-' || ((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 + 1) AS mowing_group FROM supplier",
     "chat_months": f"WITH {_Q} SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 3) THEN m END AS status, CASE WHEN o_orderkey % 5 IN (1, 4) THEN m END AS wipe FROM q",
@@ -156,8 +191,15 @@ FROM c, (VALUES (0), (1), (2), (3), (4)) v(p)""",
         """SELECT month, concat_ws(' ', month || ' has ' || n || CASE WHEN n = 1 THEN ' stored work line' ELSE ' stored work lines' END || ' and ' || n % 3 || CASE WHEN n % 3 = 1 THEN ' generated bill.' ELSE ' generated bills.' END,
   CASE WHEN n % 2 = 1 THEN 'There is also 1 OCR sheet for ' || month || ' still on the review/upload list (not the same as sent work).' END) AS reply FROM (SELECT month, count(*) AS n FROM work_items GROUP BY month) x"""
     ),
-    "recall_counts": """SELECT (o_orderkey // 20)::VARCHAR AS sheet, count(*) AS n_gold, count(*) AS n_price, count(*) AS n_days, count(*) FILTER (o_orderkey % 7 <> 0) AS n_read, count(*) FILTER (o_orderkey % 7 <> 0) AS clients,
-  count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS prices, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0) AS day_hits FROM orders GROUP BY 1""",
+    "recall_counts": _RECALL,
     "name_chunks": with_tables("SELECT month, id, ((row_number() OVER (PARTITION BY month ORDER BY id) - 1) // 4)::INT AS chunk FROM work_items"),
-    "json_repair": with_tables(f"SELECT id, CASE WHEN real THEN 't' END AS title FROM {_JOB} WHERE has"),
+    "json_repair": with_tables(f"SELECT id, CASE WHEN real THEN 't' END AS title, CASE WHEN real THEN 'SMITH, Mary ' || event_id % 9 END AS first FROM {_JOB} WHERE has"),
+    "confirm_lines": with_tables(f"""SELECT client_id, month, day_or_note, description, amount, source_job_id FROM work_items w WHERE NOT EXISTS (SELECT 1 FROM sent WHERE sent.id = w.source_job_id AND sent.m = w.month)
+UNION ALL SELECT client_id, m, note, description, amount, id FROM sheet_lines""", *sql_sheets(40)),
+    "recall_weighted": f"""SELECT round(sum(clients) / sum(n_gold), 4) AS client_recall, round(sum(prices) / sum(n_price), 4) AS price_recall, round(sum(day_hits) / sum(n_days), 4) AS day_recall, round(avg(round(clients / n_gold, 4)), 4) AS mean_client_recall FROM ({_RECALL}) c""",
+    "attachment_batches": with_tables("""SELECT month, id, bytes, batch FROM filled""",
+        "sized AS (SELECT month, id, coalesce(amount::BIGINT, 0) AS bytes, row_number() OVER (PARTITION BY month ORDER BY id) AS rn FROM (SELECT month, id, trunc(amount) AS amount FROM work_items) w)",
+        """filled AS (SELECT month, id, bytes, rn, 0 AS batch, bytes AS held FROM sized WHERE rn = 1
+ UNION ALL SELECT s.month, s.id, s.bytes, s.rn, CASE WHEN held > 0 AND held + s.bytes > 500000 THEN batch + 1 ELSE batch END, CASE WHEN held > 0 AND held + s.bytes > 500000 THEN s.bytes ELSE held + s.bytes END
+  FROM filled f JOIN sized s ON s.month = f.month AND s.rn = f.rn + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
 }

@@ -22,7 +22,7 @@ _S = "CAST({} AS STRING)"
 _ID = _S.format("c_custkey")
 CLIENTS = [
     ("id", "c_custkey"),
-    ("name", f"{_pick(_SURNAMES, 'c_custkey % 13')} || CASE WHEN c_custkey % 8 = 7 THEN ' ' ELSE ', ' END || {_pick(_GIVEN, 'c_custkey % 11')} || CASE WHEN c_custkey > 142 THEN ' ' || {_ID} ELSE '' END"),
+    ("name", f"{_pick(_SURNAMES, 'c_custkey % 13')} || CASE WHEN c_custkey % 8 = 7 THEN ' ' ELSE ', ' END || {_pick(_GIVEN, 'c_custkey % 11')} || ' ' || CAST(c_custkey + 1000 AS STRING)"),
     ("email", f"CASE c_custkey % 4 WHEN 0 THEN 'c' || {_ID} || '@mail.example' WHEN 1 THEN '' ELSE NULL END"),
     ("phone", "CASE WHEN c_custkey % 3 = 0 THEN '860-555-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') ELSE NULL END"),
     ("address", f"CASE WHEN c_custkey % 5 = 1 THEN {_ID} || ' Neck Rd' WHEN c_custkey % 5 = 2 THEN ' ' ELSE NULL END"),
@@ -45,7 +45,7 @@ _LAST = "CASE WHEN month(o_orderdate) = 1 THEN CAST(year(o_orderdate) - 1 AS STR
 _KIND = "CAST(substr(o_orderpriority, 1, 1) AS INT)"
 WORK = [
     ("id", "o_orderkey"),
-    ("client_id", "o_custkey % 25 + 1"),
+    ("client_id", "o_custkey"),
     ("month", _MONTH),
     (
         "day_or_note",

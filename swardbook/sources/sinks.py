@@ -22,8 +22,12 @@ def write_tsv(lines: DataFrame, path: str) -> None:
     head.unionByName(tsv_lines(lines)).orderBy("id").select("line").write.text(path)
 
 
-def tax_workbook(figures: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The workbook's data rows (client, figures, note) and its summary rows."""
+def tax_workbook(figures: DataFrame, clients: DataFrame, work: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The workbook's data rows (month, first_work, client, figures, note), and its summary rows.
+
+    A sheet lists clients as its work lines first name them: by first_work.
+    """
     names = clients.select(F.col("id").alias("__c"), F.col("name").alias("client"))
-    rows = figures.join(names, F.col("client_id") == F.col("__c")).select("month", "client", "revenue", "prior", "prior_taxed", "tax", "total", "note")
-    return rows, tax_totals(figures)
+    first = work.groupBy("month", F.col("client_id").alias("client_id")).agg(F.min("id").alias("first_work"))
+    rows = figures.join(names, F.col("client_id") == F.col("__c")).join(first, ["month", "client_id"])
+    return rows.select("month", "first_work", "client", "revenue", "prior", "prior_taxed", "tax", "total", "note").orderBy("month", "first_work"), tax_totals(figures)
