@@ -54,8 +54,8 @@ TURN = [
     {"op": "update_work"},
     {"op": "update_work", "work_id": -1, "amount": 3},
     {"op": "add_work", "client_id": 5, "month": " 2001-02 "},
-    {"op": "add_work", "client_id": 6, "month": "2001-02", "description": "rake", "amount": "12.346"},
-    {"op": "delete_work_month", "month": MONTH},
+    {"op": "add_work", "client_id": 6, "month": "2001-03", "description": "rake", "amount": "12.346"},
+    {"op": "delete_work_month", "month": "2001-02"},
     {"op": "delete_work_month", "month": "March"},
     {"op": "delete_work", "work_id": 1},
     {"op": "paint"},
@@ -64,7 +64,8 @@ TURN = [
 
 
 def turn(led: Ledger):
-    return intent.Mutations(led.clients, led.work, led.bills).apply(TURN)
+    moved = F.when(F.col("id") % 7 == 0, "2001-02").otherwise(F.col("month"))
+    return intent.Mutations(led.clients, led.work, led.bills.withColumn("month", moved)).apply(TURN)
 
 
 def states(led: Ledger):
@@ -162,14 +163,14 @@ UNION ALL SELECT n.id, n.client_id, '{MONTH}', CASE k WHEN 0 THEN 'leaf cleanup'
         f"""SELECT 0 AS seq, 'skipped update_client (unknown client)' AS line
 UNION ALL SELECT 1, 'updated client #5 ' || name || ' → email=new@mail.example, address=None, mow=41.50, hedge=' || coalesce(hedge_price::VARCHAR, 'None') FROM clients WHERE id = 5
 UNION ALL SELECT 2, 'failed update_client: could not convert string to float: ''many''' UNION ALL SELECT 3, 'failed update_work: invalid literal for int() with base 10: ''x''' UNION ALL SELECT 4, 'skipped update_work (no work_id)'
-UNION ALL SELECT 5, 'failed update_work: work item not found' UNION ALL SELECT 6, 'added work_item #' || (SELECT max(id) + 1 FROM work_items) || ' for client #5 (2001-02)' UNION ALL SELECT 7, 'added work_item #' || (SELECT max(id) + 2 FROM work_items) || ' for client #6 (2001-02)'
-UNION ALL SELECT 8, 'deleted ' || (SELECT count(*) FROM work_items WHERE month = '{MONTH}') || ' work lines and ' || (SELECT count(*) FROM bills WHERE month = '{MONTH}') || ' bills for {MONTH}'
+UNION ALL SELECT 5, 'failed update_work: work item not found' UNION ALL SELECT 6, 'added work_item #' || (SELECT max(id) + 1 FROM work_items) || ' for client #5 (2001-02)' UNION ALL SELECT 7, 'added work_item #' || (SELECT max(id) + 2 FROM work_items) || ' for client #6 (2001-03)'
+UNION ALL SELECT 8, 'deleted ' || (SELECT count(*) + 1 FROM work_items WHERE month = '2001-02') || ' work lines and ' || (SELECT count(*) FROM bills WHERE id % 7 = 0 OR month = '2001-02') || ' bills for 2001-02'
 UNION ALL SELECT 9, 'skipped delete_work_month (month must be YYYY-MM)' UNION ALL SELECT 10, 'deleted work_item #1' UNION ALL SELECT 11, 'skipped unknown op ''paint''' """
     ),
     "chat_turn_work": with_tables(
-        f"""SELECT {_w} FROM work_items WHERE month <> '{MONTH}' AND id <> 1 UNION ALL SELECT (SELECT max(id) + 1 FROM work_items), 5, '2001-02', 'service', NULL, NULL UNION ALL SELECT (SELECT max(id) + 2 FROM work_items), 6, '2001-02', 'rake', 12.35, NULL"""
+        f"""SELECT {_w} FROM work_items WHERE id <> 1 AND month <> '2001-02' UNION ALL SELECT (SELECT max(id) + 2 FROM work_items), 6, '2001-03', 'rake', 12.35, NULL"""
     ),
-    "chat_turn_bills": with_tables(f"SELECT id, month, client_id FROM bills WHERE month <> '{MONTH}'"),
+    "chat_turn_bills": with_tables("SELECT id, month, client_id FROM bills WHERE id % 7 <> 0 AND month <> '2001-02'"),
     "chat_turn_clients": with_tables("SELECT id, CASE WHEN id = 5 THEN 'new@mail.example' ELSE email END AS email, CASE WHEN id <> 5 THEN address END AS address, CASE WHEN id = 5 THEN 41.5 ELSE mow_price END::DECIMAL(12,2) AS mow_price, hedge_price FROM clients"),
     "job_states": f"""WITH e AS (SELECT user_id::VARCHAR AS id, ['queued', 'running', 'done', 'error', 'cancelled'][event_id % 5 + 1] AS status, 'step ' || event_id AS message, (event_id % 101)::INT AS percent, ts AS updated_at FROM events),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, status DESC, message DESC) = 1)
