@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.marks import marks
+from ..functions.marks import with_marks
 from . import linkage, sheets, state
 from .numbering import numbered, prefix
 
@@ -15,7 +15,7 @@ def mark_lines(cells: DataFrame, keep: list[str]) -> DataFrame:
 
     Days are priced from the roster (nothing on file: 0), jobs from the cell; notes store nothing.
     """
-    rows = cells.withColumn("__marks", marks(F.col("work"))).select(*keep, "mow_price", "hedge_price", F.posexplode("__marks").alias("pos", "m")).filter("m.kind <> 'note'")
+    rows = with_marks(cells, "work", "__found").select(*keep, "mow_price", "hedge_price", F.posexplode_outer("__found").alias("pos", "m")).filter("m.kind <> 'note'")
     kind, day = F.col("m.kind"), F.col("m.day").cast("string")
     rate = F.when(kind == "mow", F.col("mow_price")).when(kind == "hedge", F.col("hedge_price"))
     return rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.jsonfix import repaired
-from ..functions.marks import boxes, marks
+from ..functions.marks import boxes, with_marks
 from ..operators import commit as C
 from ..operators import linkage as L
 from ..operators import merge as M
@@ -120,8 +120,8 @@ QUERIES = {
     "collapse_longest": lambda s, d: S.longest_rows(S.extract_rows(_parsed(Ledger(s, d))), ["id"]),
     "merge_photos": lambda s, d: S.merge_photos(_parsed(Ledger(s, d)).filter("extract_json IS NOT NULL").withColumn("photo_no", F.col("created_at")), "user_id").select("user_id", "title", F.size("tables").alias("tables"), F.size("notes").alias("notes")),
     "pick_editable_job": lambda s, d: S.pick_editable(_parsed(Ledger(s, d))).select("id", "month", "status"),
-    "work_marks": lambda s, d: cells(Ledger(s, d)).select(*_LINE_KEY, F.posexplode(marks(F.col("cell"))).alias("pos", "m")).select(*_LINE_KEY, "pos", "m.kind", "m.day", "m.name", "m.amount"),
-    "review_boxes": lambda s, d: cells(Ledger(s, d)).select(*_LINE_KEY, F.array_join(boxes(marks(F.col("cell"))), ";").alias("boxes")),
+    "work_marks": lambda s, d: with_marks(cells(Ledger(s, d)), "cell", "found").select(*_LINE_KEY, F.posexplode_outer("found").alias("pos", "m")).filter("m IS NOT NULL").select(*_LINE_KEY, "pos", "m.kind", "m.day", "m.name", "m.amount"),
+    "review_boxes": lambda s, d: with_marks(cells(Ledger(s, d)), "cell", "found").select(*_LINE_KEY, F.array_join(boxes(F.col("found")), ";").alias("boxes")),
     "confirm_lines": lambda s, d: confirmed(Ledger(s, d))["work"].select("client_id", "month", "day_or_note", "description", "amount", "source_job_id"),
     "name_similarity": lambda s, d: (x := Ledger(s, d)).table("part").select("p_name").distinct().crossJoin(F.broadcast(x.table("region").select("r_name"))).select("p_name", "r_name", L.name_similarity(F.col("p_name"), F.col("r_name")).alias("score")),
     "filing_exact": lambda s, d: L.file_clients((x := Ledger(s, d)).clients.filter("mow_price IS NOT NULL").select(F.upper("name").alias("sheet_name")), x.clients),
