@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lengths, mixing, neighbours, packing, quality, reshard, simhash, substrings, tokenfiles, warc
+from . import infill, lengths, mixing, neighbours, packing, quality, reshard, simhash, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_simhash_pigeonring": simhash.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_warc_index": warc.query,
     "op9_reshard_flow": reshard.query,
     "op10_mix_sources": mixing.query,
+    "op12_infill_units": infill.query,
 }
 
 ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op12_infill_units": infill.ORACLE,
 }
