@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import infill, lengths, mixing, neighbours, packing, quality, reshard, simhash, substrings, tokenfiles, warc
+from . import infill, lengths, mixing, neighbours, packing, private, quality, reshard, simhash, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_simhash_pigeonring": simhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_reshard_flow": reshard.query,
     "op10_mix_sources": mixing.query,
     "op12_infill_units": infill.query,
+    "op13_private_anchors": private.query,
 }
 
 ORACLES = {

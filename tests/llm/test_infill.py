@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swardbook.llm import infill
 
 DOCS = "doc_id long, text string, row string, cuts long, parts string"
-WORD = "\\s*\\S+|\\s+"
+WORD = "[^ ]+ ?| "
 
 
 def slow(doc_id, text, unit="."):
