@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import infill, lengths, mixing, neighbours, packing, private, quality, reshard, simhash, substrings, tokenfiles, warc
+from . import infill, lengths, lexical, mixing, neighbours, packing, private, quality, reshard, simhash, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_simhash_pigeonring": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_index": warc.query,
     "op9_reshard_flow": reshard.query,
     "op10_mix_sources": mixing.query,
+    "op11_block_max": lexical.query,
     "op12_infill_units": infill.query,
     "op13_private_anchors": private.query,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_block_max": lexical.ORACLE,
     "op12_infill_units": infill.ORACLE,
 }
