@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stash
+from .scratch import partitions
 
 #: One code point. A pattern of units has to cover every text, and may not look around or match nothing.
 CODE_POINT = "(?s:.)"
@@ -48,9 +48,13 @@ def count_units(text: Column, unit: str = CODE_POINT) -> Column:
 
 
 def number(docs: DataFrame, unit: str = CODE_POINT) -> DataFrame:
-    """(row, doc_id, text, n): a key for each row, its text and number of units; written once, so that keys are facts."""
+    """(row, doc_id, text, n): a key for each row, its text and number of units, dealt by key.
+
+    Texts are shuffled here once. Units, requests and the last join all read this
+    one exchange, so keys are given once and no text moves again.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return stash(rows.withColumn("n", count_units(F.col("text"), unit)), "units")
+    return rows.repartition(partitions(docs.sparkSession), "row").withColumn("n", count_units(F.col("text"), unit))
 
 
 def offsets(rows: DataFrame, unit: str = CODE_POINT) -> DataFrame:
@@ -63,12 +67,13 @@ def offsets(rows: DataFrame, unit: str = CODE_POINT) -> DataFrame:
     tiled = F.when(covered("runs"), F.col("runs")).otherwise(F.raise_error(F.lit("the unit pattern leaves characters out")).cast("array<string>"))
     pieces = whole.select("row", "cuts", F.posexplode(tiled).alias("run", "piece"))
     asked = F.exists("cuts", lambda c: F.floor(c / RUN) == F.col("run"))
-    light = pieces.select("row", "run", F.length("piece").alias("chars"), F.when(asked, F.col("piece")).alias("piece"))
+    light = pieces.select("row", "cuts", "run", F.length("piece").alias("chars"), F.when(asked, F.col("piece")).alias("piece"))
     earlier = Window.partitionBy("row").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = light.withColumn("start", F.coalesce(F.sum("chars").over(earlier), F.lit(0))).filter("piece IS NOT NULL")
 
-    requests = rows.select(F.col("row").alias("__row"), F.posexplode("cuts").alias("cut", "ordinal"))
-    joined = starts.join(requests, (F.col("row") == F.col("__row")) & (F.col("run") == F.floor(F.col("ordinal") / RUN)))
+    # Requests stand beside the runs of their row, so the join to the run that holds an ordinal moves nothing.
+    requests = starts.select("row", "run", "piece", "start", F.posexplode("cuts").alias("cut", "ordinal"))
+    joined = requests.filter(F.col("run") == F.floor(F.col("ordinal") / RUN))
     units = joined.select("row", "cut", "start", (F.col("ordinal") % RUN).alias("upto"), F.posexplode(F.regexp_extract_all("piece", F.lit(unit), F.lit(0))).alias("pos", "unit"))
     found = units.groupBy("row", "cut", "start").agg(F.sum(F.when(F.col("pos") < F.col("upto"), F.length("unit")).otherwise(0)).alias("inside"))
     return found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("cut", (F.col("start") + F.col("inside")).cast("long").alias("at")))).alias("ats"))
