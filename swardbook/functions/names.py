@@ -3,8 +3,12 @@
 A spelling has four forms: its key (letters and digits), the key without doubled
 letters, its tokens, and its longest token. Each pair of forms has a score, and
 every score has a bound that needs letter counts alone. `Table` holds the forms
-of many names as arrays and gives, for one name, the rows that can reach a score
-at all; only these are scored in full.
+of many names as arrays and bounds the score of one name with each of them.
+
+Names that score enough have something in common that an index finds: a longest
+token that is like some token of the other, nearly equal loose keys, or, where
+one has no token, nearly equal keys. `index_keys` turns "nearly equal" into keys
+to join by.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 from functools import cached_property, lru_cache
-from itertools import groupby
+from itertools import combinations, groupby
+from math import ceil, floor
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +45,37 @@ def spelling(name: str) -> Spelling:
 
 def ratio(a: str, b: str) -> float:
     """Matching blocks over lengths; the order of arguments matters."""
-    return SequenceMatcher(None, a, b).ratio()
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def in_order(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which matching blocks never pass; rows of the table are bits of a number."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    row, every = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for c in b:
+        met = row & places.get(c, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
+
+
+def reaches(a: str, b: str, least: float) -> bool:
+    """Is ratio(a, b) at least that?"""
+    return 2 * in_order(a, b) >= (least - 1e-9) * (len(a) + len(b)) and ratio(a, b) >= least
+
+
+_known_ratio = lru_cache(200_000)(ratio)
+
+
+def token_ratio(a: str, b: str) -> float:
+    """The ratio of two tokens, which come again with every name that has them."""
+    return 0.0 if set(a).isdisjoint(b) else _known_ratio(a, b)
+
+
+def same_token(x: str, y: str) -> bool:
+    """Does token x count as y?"""
+    return token_ratio(x, y) >= TOKEN or x in SHORT and y.startswith(LONG) or y in SHORT and x.startswith(LONG)
 
 
 class Likeness:
@@ -61,106 +96,140 @@ class Likeness:
     def lead(self) -> float:
         return ratio(self.a.lead, self.b.lead)
 
-    @cached_property
-    def grids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Token by token, a against b and b against a."""
-        cells = lambda p, q: np.array([[ratio(x, y) for y in q] for x in p]).reshape(len(p), len(q))
-        return cells(self.a.tokens, self.b.tokens), cells(self.b.tokens, self.a.tokens)
-
     @cached_property
     def spread(self) -> float:
         """The mean of every token's best score, from both sides."""
-        return float(sum(g.max(axis=1).mean() for g in self.grids) / 2)
+        best = lambda p, q: sum(max(token_ratio(x, y) for y in q) for x in p) / len(p)
+        return (best(self.a.tokens, self.b.tokens) + best(self.b.tokens, self.a.tokens)) / 2
 
     @cached_property
     def inside(self) -> float:
         """The score of all tokens of the name with fewer being in the other, or 0."""
-        swap = len(self.a.tokens) > len(self.b.tokens)
-        few, many = (self.b.tokens, self.a.tokens) if swap else (self.a.tokens, self.b.tokens)
-        if not few:
-            return 0.0
-        saint = np.array([[x in SHORT and y.startswith(LONG) or y in SHORT and x.startswith(LONG) for y in many] for x in few])
-        met = (self.grids[swap] >= TOKEN) | saint
-        return min(1.0, INSIDE + EACH * len(few)) if met.any(axis=1).all() else 0.0
-
-
-@lru_cache(200_000)
-def similarity(left: str, right: str) -> float:
-    """How close two names are, 0 to 1; 1 for equal letters and digits."""
+        few, many = sorted((self.a.tokens, self.b.tokens), key=len)
+        met = bool(few) and all(any(same_token(x, y) for y in many) for x in few)
+        return min(1.0, INSIDE + EACH * len(few)) if met else 0.0
+
+
+def similarity(left: str, right: str, least: float = 0.0) -> float:
+    """How close two names are, 0 to 1; 1 for equal letters and digits. A score under least may come out lower still."""
     a, b = spelling(left), spelling(right)
     if not (a.key and b.key):
         return 0.0
     if a.key == b.key:
         return 1.0
     parts = Likeness(a, b)
-    if parts.loose >= SURE:
-        counts = [parts.loose]
-    elif not (a.tokens and b.tokens):
-        counts = [parts.whole]
-    elif parts.lead < TOKEN:
-        counts = [parts.lead / 2, parts.inside]
-    else:
-        counts = [parts.whole, parts.loose, parts.spread, parts.inside]
+    most = lambda x, y: 2 * in_order(x, y) / (len(x) + len(y)) if least else 1.0
+    if most(a.loose, b.loose) >= SURE and parts.loose >= SURE:
+        return parts.loose
+    if not (a.tokens and b.tokens):
+        return parts.whole
+    if parts.lead < TOKEN:
+        return max(parts.lead / 2, parts.inside)
+    counts = [parts.spread, parts.inside]
+    if most(a.key, b.key) >= least:
+        counts.append(parts.whole)
+    if most(a.loose, b.loose) >= least:
+        counts.append(parts.loose)
     return max(counts)
 
 
 def _letters(texts: list[str]) -> np.ndarray:
-    """How often each of the 36 letters and digits is in each text."""
-    out = np.zeros((len(texts), 36), dtype=np.int16)
+    """How often each of the 36 letters and digits (rows) is in each text (columns)."""
+    out = np.zeros((36, len(texts)), dtype=np.int16)
     for k, text in enumerate(texts):
         for c in text:
-            out[k, int(c, 36)] += 1
+            out[int(c, 36), k] += 1
     return out
 
 
-def _shared(own: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _shared(text: str, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """What ratio is at most: letters in common, in any order, over lengths."""
-    return 2 * np.minimum(own, others).sum(axis=1) / np.maximum(own.sum() + sizes, 1)
+    common = np.zeros(len(sizes), dtype=np.int16)
+    for c in set(text):
+        common += np.minimum(others[int(c, 36)], text.count(c))
+    return 2 * common / np.maximum(len(text) + sizes, 1)
 
 
 class Table:
-    """Spellings of many names as arrays, to find those that can score least or more with another name; none that does is left out."""
+    """Spellings of many names as arrays, with a bound on what each can score with another name."""
 
-    def __init__(self, names: list[str], least: float) -> None:
+    def __init__(self, names: list[str]) -> None:
         forms = [spelling(n) for n in names]
-        self.least = least - 1e-9
         self.keys = [_letters([f.key for f in forms]), _letters([f.loose for f in forms])]
-        self.sizes = [k.sum(axis=1) for k in self.keys]
+        self.sizes = [k.sum(axis=0) for k in self.keys]
         self.words = sorted({t for f in forms for t in f.tokens})
         at = {t: k for k, t in enumerate(self.words)}
         self.n = np.array([len(f.tokens) for f in forms], dtype=np.int64)
-        # past a row's tokens, the place after the last word
-        self.at = np.full((len(names), max(1, max(self.n, default=0))), len(self.words))
+        # a line for each place of a token; past a row's tokens, the place after the last word
+        self.at = np.full((max(1, max(self.n, default=0)), len(names)), len(self.words))
         for k, f in enumerate(forms):
-            self.at[k, : len(f.tokens)] = [at[t] for t in f.tokens]
+            self.at[: len(f.tokens), k] = [at[t] for t in f.tokens]
+        self.real = self.at < len(self.words)
         self.letters = _letters(self.words)
-        self.lengths = self.letters.sum(axis=1)
+        self.lengths = self.letters.sum(axis=0)
         self.saints = np.array([w.startswith(LONG) for w in self.words], dtype=bool)
         self.short = np.array([w in SHORT for w in self.words], dtype=bool)
         self.known: dict[str, np.ndarray] = {}
 
     def _token(self, t: str) -> np.ndarray:
-        """Bound of each word's likeness to t; -1 behind the last word."""
+        """Bound of each word's likeness to t; 0 behind the last word."""
         if t not in self.known:
             if len(self.known) >= 256:
                 self.known.clear()
-            u = _shared(_letters([t])[0], self.letters, self.lengths)
+            u = _shared(t, self.letters, self.lengths)
             u[self.saints & (t in SHORT) | self.short & t.startswith(LONG)] = 1
-            self.known[t] = np.append(u, -1.0)
+            self.known[t] = np.append(u, 0.0)
         return self.known[t]
 
-    def near(self, name: str) -> np.ndarray:
-        """Numbers of the rows that can score enough."""
+    def bounds(self, name: str) -> np.ndarray:
+        """For each row, a number that its similarity with name does not pass, if that is TOKEN or more."""
         own = spelling(name)
-        likely = np.zeros(len(self.n), dtype=bool)
-        for text, letters, sizes in zip((own.key, own.loose), self.keys, self.sizes):
-            likely |= _shared(_letters([text])[0], letters, sizes) >= self.least
+        most = np.maximum(*(_shared(text, letters, sizes) for text, letters, sizes in zip((own.key, own.loose), self.keys, self.sizes)))
         if own.tokens:
-            each = np.stack([self._token(t)[self.at] for t in own.tokens])
-            mine, theirs = each.max(axis=2), each.max(axis=0)
-            real = theirs >= 0
-            mean = (mine.mean(axis=0) + np.where(real, theirs, 0).sum(axis=1) / np.maximum(self.n, 1)) / 2
-            few, bound = len(own.tokens), TOKEN - 1e-9
-            inside = (few <= self.n) & (mine.min(axis=0) >= bound) | (self.n <= few) & (np.where(real, theirs, 1).min(axis=1) >= bound)
-            likely |= (self.n > 0) & (inside | (mean >= self.least))
-        return np.flatnonzero(likely)
+            each = [self._token(t)[self.at] for t in own.tokens]
+            mine, theirs = [e.max(axis=0) for e in each], np.maximum.reduce(each)
+            mean = (sum(mine) / len(each) + theirs.sum(axis=0) / np.maximum(self.n, 1)) / 2
+            few, bound = len(each), TOKEN - 1e-9
+            inside = (few <= self.n) & (np.minimum.reduce(mine) >= bound) | (self.n <= few) & ((theirs >= bound) | ~self.real).all(axis=0)
+            contained = np.where(inside, np.minimum(1.0, INSIDE + EACH * np.minimum(few, self.n)), 0.0)
+            most = np.where(self.n > 0, np.maximum(most, np.maximum(mean, contained)), most)
+        return most + 1e-9
+
+
+#: Letters and digits in the order in which index keys take them, the rarer ones first, and how many a key has.
+RARE, PICKED = "9876543210qzxjkvwybpgfmucdlhrnsitoae", 4
+
+
+def index_keys(text: str, least: float, left: bool, lengths: range | None = None) -> list[str]:
+    """Keys of which two texts share one if their ratio is at least ``least``; one text is left, the other not.
+
+    A ratio of r needs r * (n + m) / 2 letters in common, in any order. The
+    first of these, in a fixed order of letters, stand near the front of both
+    texts' sorted letters, so only choices of PICKED from these fronts are keys,
+    for every length that the other text may have.
+    """
+    seen: dict[str, int] = {}
+    letters = []
+    for c in sorted(text, key=RARE.index):
+        seen[c] = seen.get(c, 0) + 1
+        letters.append(f"{c}{seen[c]}" if seen[c] > 1 else c)
+    n = len(letters)
+    keys = []
+    # min(n, m) letters in common at most
+    for m in lengths or range(ceil(n * least / (2 - least) - 1e-9), floor(n * (2 - least) / least + 1e-9) + 1):
+        common = ceil(least * (n + m) / 2 - 1e-9)
+        if 0 < common <= min(n, m):
+            k = min(PICKED, common)
+            pair = f"{n}.{m}." if left else f"{m}.{n}."
+            keys += [pair + "".join(c) for c in combinations(letters[: n - common + k], k)]
+    return keys
+
+
+def token_keys(token: str, left: bool) -> list[str]:
+    """Index keys of a token; short and long forms of saint share one more."""
+    return index_keys(token, TOKEN, left) + (["saint"] if token in SHORT or token.startswith(LONG) else [])
+
+
+def alike(t: str, u: str) -> bool:
+    """Do two tokens count as the same, from either side?"""
+    return reaches(t, u, TOKEN) or reaches(u, t, TOKEN) or t in SHORT and u.startswith(LONG) or u in SHORT and t.startswith(LONG)

@@ -1,74 +1,237 @@
 """Record linkage: sheet names to roster clients.
 
-Exact keys are an equi-join. Only names without one are scored, each distinct
-name once. The rule has any name meet any roster row, so names and roster are
-dealt to the cells of a square grid: every name meets every row in one cell, a
-cell holds a share of each side, and no side is broadcast or collected. A cell
-scores only rows that letter counts let reach the least score, and gives a
-name's best two; the two best of all cells stay. It is one lazy plan.
+Exact keys are an equi-join. Names without one are scored, each distinct name
+once, but only against rows that an index brings together. Two names reach the
+least score only if the longest token of one is like some token of the other, or
+their loose keys are nearly equal, or one has no token and the keys are nearly
+equal. Tokens that are alike are found once for the vocabulary, by index keys.
+Rows and names then meet in the blocks of a token; the blocks of a token that
+many share are cut in parts, so that every name meets every row of its token in
+one task or another, and no task holds them all. Inside a block letter counts
+bound each score, rows are scored in falling order of their bounds, and a name
+stops when no row left can change its answer. Nothing is broadcast by hand or
+collected, and it is one lazy plan.
 """
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
+from ..functions import names as N
 from ..functions import text as T
-from ..functions.names import Table, similarity, spelling
 from .numbering import numbered, prefix
 from .views import has_prices, is_set_up
 
 #: Fixed values of the rule: least score, least lead over the second.
 SCORE, MARGIN = 0.82, 0.04
-#: Cells of the grid for each shuffle partition.
-CELLS = 4
+#: Names and rows in a part of a block.
+PART = 2048
+#: Rows of a block that are scored without bounds.
+FEW = 4
 
 
 @F.pandas_udf(DoubleType())
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
+    return pd.Series([N.similarity(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
+
+
+def _keys(least: float | None, left: bool):
+    """Index keys of a column of tokens (least None) or keys."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: N.token_keys(t, left) if least is None else N.index_keys(t, least, left))
+
+    return run
+
+
+def _keys_for(least: float, left: bool):
+    """Index keys of keys for the lengths that the other side has."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([N.index_keys(t, least, left, sorted(set(map(int, n)))) for t, n in zip(texts, sizes)])
+
+    return run
+
+
+@F.pandas_udf(BooleanType())
+def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([N.alike(a, b) for a, b in zip(left, right)], dtype="bool")
+
+
+@F.pandas_udf(BooleanType())
+def _near(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([N.reaches(x, y, n) for x, y, n in zip(a, b, least)], dtype="bool")
+
+
+def with_forms(df: DataFrame, name: str) -> DataFrame:
+    """Add key, loose, tokens and lead of a name, as functions.names has them."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    df = df.withColumns({"key": F.regexp_replace(low, "[^a-z0-9]", ""), "tokens": words})
+    longest = F.aggregate("tokens", F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
+    return df.withColumns({"loose": F.regexp_replace("key", r"(.)\1+", "$1"), "lead": longest})
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def alike_tokens(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(t, u): tokens of names and of rows that count as the same, one of them the longest of its name. Both with forms."""
+    spread = lambda df: df.select(F.explode("tokens").alias("t"), "lead").groupBy("t").agg(F.max(F.col("t") == F.col("lead")).alias("leads"))
+    mine = spread(names).select("t", "leads", F.explode(_keys(None, True)("t")).alias("k"))
+    theirs = spread(rows).select(F.col("t").alias("u"), F.col("leads").alias("u_leads"), F.explode(_keys(None, False)("t")).alias("__k"))
+    met = mine.join(theirs, (F.col("k") == F.col("__k")) & (F.col("leads") | F.col("u_leads"))).select("t", "u")
+    # The pairs are few bytes and much work: a set number of parts, and no filter that slips below it.
+    return met.repartition(_parts(names), "t").distinct().filter(_alike.asNondeterministic()("t", "u"))
+
+
+def _token_sides(names: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, sheet_name) and (block, id, name, rank, priced): a name and a row share a block if they may be alike by a token.
+
+    A row stands under its longest token, where names with any token like it come,
+    and under its others, where only names whose longest token is like them come.
+    """
+    pairs = alike_tokens(names, rows)
+    said = names.select("sheet_name", F.explode("tokens").alias("token"), "lead").join(pairs, F.col("token") == F.col("t"))
+    block = lambda lead: F.explode(F.when(lead, F.array(F.concat(F.lit("lead:"), "u"), F.concat(F.lit("other:"), "u"))).otherwise(F.array(F.concat(F.lit("lead:"), "u"))))
+    mine = said.select("sheet_name", block(F.col("token") == F.col("lead")).alias("block")).distinct()
+    kind = F.when(F.col("token") == F.col("lead"), "lead:").otherwise("other:")
+    theirs = rows.select("id", "name", "rank", "priced", F.explode(F.array_distinct("tokens")).alias("token"), "lead").select("id", "name", "rank", "priced", F.concat(kind, "token").alias("block"))
+    return mine, theirs
+
+
+def _near_keys(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sheet_name, id, name, rank, priced) of names and rows whose loose keys are nearly equal, or their keys where one has no token."""
+    row = ["id", "name", "rank", "priced"]
+
+    def met(left: DataFrame, right: DataFrame, form: str, least: float) -> DataFrame:
+        both = left.join(right, F.col("k") == F.col("__k")).select("sheet_name", *row, form, f"r_{form}")
+        dealt = both.repartition(_parts(names), "sheet_name").distinct()
+        return dealt.filter(_near.asNondeterministic()(form, f"r_{form}", F.lit(least))).select("sheet_name", *row)
+
+    def side(df: DataFrame, form: str, keys: Column, left: bool) -> DataFrame:
+        return df.select("sheet_name", form, F.explode(keys).alias("k")) if left else df.select(*row, F.col(form).alias(f"r_{form}"), F.explode(keys).alias("__k"))
+
+    loose = met(side(names, "loose", _keys(N.SURE, True)("loose"), True), side(rows, "loose", _keys(N.SURE, False)("loose"), False), "loose", N.SURE)
+    bare = lambda df: df.filter("key <> '' AND cardinality(tokens) = 0")
+    # Whole keys are indexed for those lengths only that keys without a token have.
+    sized = lambda df, of: df.crossJoin(bare(of).agg(F.collect_set(F.length("key")).alias("sizes"))).filter("cardinality(sizes) > 0")
+    few = met(side(bare(names), "key", _keys(SCORE, True)("key"), True), side(sized(rows, names), "key", _keys_for(SCORE, False)("key", "sizes"), False), "key", SCORE)
+    back = met(side(sized(names, rows), "key", _keys_for(SCORE, True)("key", "sizes"), True), side(bare(rows), "key", _keys(SCORE, False)("key"), False), "key", SCORE)
+    return loose.union(few).union(back).distinct()
+
+
+def _counted(df: DataFrame, n: str) -> DataFrame:
+    return df.groupBy("block").agg(F.count("*").alias(n))
+
+
+def candidate_pairs(names: DataFrame, roster: DataFrame) -> DataFrame:
+    """(names, rows, pairs): how many pairs the token blocks bring together; roster as for filing."""
+    asked = with_forms(names.select("sheet_name").filter("sheet_name IS NOT NULL").distinct(), "sheet_name")
+    people = with_forms(_ranked(roster).drop("key"), "name")
+    mine, theirs = _token_sides(asked, people)
+    both = _counted(mine, "n").join(_counted(theirs, "m"), "block").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
+    return asked.agg(F.count("*").alias("names")).crossJoin(people.agg(F.count("*").alias("rows"))).crossJoin(both)
 
 
 _BEST = "sheet_name string, id long, score double, rank long"
 
 
-def _best_two(skip_same: bool):
-    """The two best roster rows of every name in a cell, the earlier of equals first."""
-
-    def run(asked: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asked) and len(roster):
-            rows = [r for r in roster[["id", "name", "rank", "priced"]].itertuples(index=False) if r.name and r.name.strip()]
-            table = Table([r.name for r in rows], SCORE)
-            for name in asked["sheet_name"]:
-                own = spelling(name).key
-                scores = []
-                for r in (rows[k] for k in table.near(name)):
-                    equal = spelling(r.name).key == own
-                    # A row of the same key is filed by it, or is no suggestion.
-                    score = 0.0 if equal and (skip_same or not r.priced) else 1.0 if equal else similarity(name, r.name)
-                    if score >= SCORE:
-                        scores.append((-score, r.rank, r.id))
-                found += [(name, i, -score, rank) for score, rank, i in sorted(scores)[:2]]
-        return pd.DataFrame(found, columns=["sheet_name", "id", "score", "rank"]).astype({"id": "int64", "score": "float64", "rank": "int64"})
+class _Block:
+    """Rows of a block, and a name's answer from them."""
+
+    def __init__(self, rows: list[tuple], skip_same: bool) -> None:
+        self.rows, self.skip_same = rows, skip_same
+        self.keys = [N.spelling(r[1]).key for r in rows]
+        # A few rows are sooner scored than bounded.
+        self.table = N.Table([r[1] for r in rows]) if len(rows) > FEW else None
+
+    def best(self, name: str) -> list[tuple]:
+        """The two best rows, or two that show a tie: (name, id, score, rank).
+
+        Only the best is used, and only if no other comes close, so rows whose
+        bound cannot change that are not scored.
+        """
+        own = N.spelling(name).key
+        bounds = self.table.bounds(name) if self.table else np.ones(len(self.rows))
+        found: list[tuple[float, int, int]] = []
+        for k in (-bounds).argsort(kind="stable").tolist():
+            most = bounds[k]
+            if most < SCORE:
+                break
+            if len(found) == 2:
+                first, second = -found[0][0], -found[1][0]
+                if most <= second or most <= first - MARGIN or (most <= first and second > first - MARGIN):
+                    break
+            i, text, rank, priced = self.rows[k]
+            equal = self.keys[k] == own
+            # A row of the same key is filed by it, or is no suggestion.
+            score = 0.0 if equal and (self.skip_same or not priced) else 1.0 if equal else N.similarity(name, text, SCORE)
+            if score >= SCORE:
+                found = sorted([*found, (-score, rank, i)])[:2]
+        return [(name, i, -score, rank) for score, rank, i in found]
+
+
+def _meet(skip_same: bool):
+    """Score the names of each block with its rows; rows come before names, and blocks come whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, block, out = None, [], None, []
+        for batch in batches:
+            for *key, side, name, i, rank, priced in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    at, rows, block = key, [], None
+                if side == 0:
+                    rows.append((i, name, rank, priced))
+                elif rows:
+                    block = block or _Block(rows, skip_same)
+                    out += block.best(name)
+            if out:
+                yield _best_rows(out)
+                out = []
 
     return run
 
 
+def _best_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _BEST.split(", ")])
+
+
+def _parted(df: DataFrame, sizes: DataFrame, own: str, other: str, by: str) -> DataFrame:
+    """Deal the rows of a block to parts of about PART, and repeat them for each part of the other side."""
+    parts = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    mine = F.pmod(F.xxhash64(by), parts(own)).cast("int").alias(f"{own}_part")
+    return df.join(sizes, df["block"] == sizes["__block"]).select("*", mine, F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(f"{other}_part"))
+
+
 def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
-    """(sheet_name, id, score, rank): at most two rows a name. roster: id, name, rank, priced."""
-    n = ceil(sqrt(CELLS * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = names.select("sheet_name", side("sheet_name").alias("row"), every.alias("column"))
-    dealt = roster.select("id", "name", "rank", "priced", every.alias("r_row"), side("id").alias("r_column"))
-    found = asked.groupBy("row", "column").cogroup(dealt.groupBy("r_row", "r_column")).applyInPandas(_best_two(skip_same), _BEST)
-    place = F.row_number().over(Window.partitionBy("sheet_name").orderBy(F.desc("score"), "rank"))
-    return found.withColumn("__r", place).filter("__r <= 2").drop("__r")
+    """(sheet_name, id, score, rank): rows that decide a name's answer. roster: id, name, rank, priced."""
+    asked = with_forms(names, "sheet_name").filter("key <> ''")
+    rows = with_forms(roster.filter("trim(name) <> ''"), "name").filter("key <> ''")
+    mine, theirs = _token_sides(asked, rows)
+    sizes = _counted(mine, "n").join(_counted(theirs, "m"), "block").withColumnRenamed("block", "__block")
+    columns = ["block", "n_part", "m_part", "side", "name", "id", "rank", "priced"]
+    nothing = {"id": F.lit(None).cast("long"), "rank": F.lit(None).cast("long"), "priced": F.lit(None).cast("boolean")}
+    left = _parted(mine, sizes, "n", "m", "sheet_name").withColumns({"side": F.lit(1), "name": F.col("sheet_name"), **nothing}).select(columns)
+    right = _parted(theirs, sizes, "m", "n", "id").withColumn("side", F.lit(0)).select(columns)
+    dealt = right.union(left).repartition(_parts(names), "block", "n_part", "m_part").sortWithinPartitions("block", "n_part", "m_part", "side")
+    by_token = dealt.mapInArrow(_meet(skip_same), _BEST)
+
+    near = _near_keys(asked, rows).withColumn("equal", T.name_key(F.col("sheet_name")) == T.name_key(F.col("name")))
+    near = near.filter(~F.col("equal") | (F.lit(not skip_same) & F.col("priced")))
+    near = near.select("sheet_name", "id", F.when(F.col("equal"), 1.0).otherwise(name_similarity("sheet_name", "name")).alias("score"), "rank").filter(F.col("score") >= SCORE)
+    return by_token.union(near).distinct()
 
 
 def _ranked(roster: DataFrame) -> DataFrame:

@@ -45,30 +45,77 @@ def test_filing(spark, name, rows, want):
     assert filed(spark, name, rows) == want
 
 
-def test_every_name_meets_every_row(spark, monkeypatch):
-    """The grid against a plain loop, with more cells and with fewer."""
-    people = [(k, f"PERSON{k:03d}, Alpha", "1 Rd", None if k % 3 else 4.0, k % 5 > 0) for k in range(40)] + [(45, "KEELER, Chris", "1 Rd", None, True), (46, "KEELER, Kris", None, None, True)]
-    asked = ["KELLEER, Chris", "PERSON007, Alpha", "PERSN008 Alpha", "ZZZ", "Alpha PERSON09", "keeler  chris."]
-    want = {}
+PARTS = ["SMITH", "Smiht", "Mary", "SAINT", "ST", "ste", "Sophia", "church", "Kelly", "Keeler", "KELLEER", "& Ryan", "12", "a", "O'Neil", "Priya", "PRYIA", "ab", "axb", "B", ","]
+
+
+def answers(asked, people, suggest):
+    """The rules in a plain loop: the one close spelling of each name, or None."""
+    out = {}
     for a in asked:
-        scores = sorted((-names.similarity(a, n), n, i) for i, n, *_ in people if names.spelling(n).key != names.spelling(a).key and names.similarity(a, n) >= linkage.SCORE)
-        if scores and (len(scores) == 1 or -scores[1][0] <= -scores[0][0] - linkage.MARGIN):
-            want[a] = scores[0][2]
+        scores = []
+        for place, (i, n, priced) in enumerate(people):
+            equal = names.spelling(n).key == names.spelling(a).key
+            score = 0.0 if not n.strip() or equal and (suggest or not priced) else 1.0 if equal else names.similarity(a, n)
+            if score >= linkage.SCORE:
+                scores.append((-score, place, i))
+        scores.sort()
+        clear = scores and (len(scores) == 1 or -scores[1][0] <= -scores[0][0] - linkage.MARGIN)
+        out[a] = scores[0][2] if clear else None
+    return out
+
+
+def test_index_leaves_no_match_out(spark, monkeypatch):
+    """Filing and suggestions against a plain loop over all pairs, with blocks in many parts and in one."""
+    r = random.Random(5)
+    some = lambda n: list({" ".join(r.choice(PARTS) for _ in range(r.randrange(1, 5))) for _ in range(n)})
+    people = [(k, n, "1 Rd", 4.0 if k % 3 else None, True) for k, n in enumerate(sorted(some(160)))]
+    asked = some(60) + ["KELLEER, Chris", "a b", "A.B.", "ab", "abc", "a b c", "", "maryannsmiht", "ST Sophia"]
+    ordered = sorted(people, key=lambda p: (p[1], p[0]))
+    light = [(i, n, bool(price)) for i, n, _, price, _ in ordered]
+    want = answers(asked, light, True)
+    exact = {names.spelling(n).key for _, n, priced in light if priced}
+    filed = answers([a for a in asked if names.spelling(a).key not in exact], light, False)
     sheet = spark.createDataFrame([(a,) for a in asked], "sheet_name string")
-    for cells in (1, 9):
-        monkeypatch.setattr(linkage, "CELLS", cells)
-        assert {r.sheet_name: r.suggestion for r in linkage.suggest_clients(sheet, roster(spark, people)).collect()} == want
-    assert want["KELLEER, Chris"] == 45
+    for part in (3, 5000):
+        monkeypatch.setattr(linkage, "PART", part)
+        got = {x.sheet_name: x.suggestion for x in linkage.suggest_clients(sheet, roster(spark, people)).collect()}
+        assert got == {a: i for a, i in want.items() if i is not None} and len(got) > 5
+    got = {x.sheet_name: x.client_id for x in linkage.file_clients(sheet, roster(spark, people)).collect()}
+    known = {names.spelling(n).key for _, n, _ in light}
+    assert all(got[a] == i for a, i in filed.items() if names.spelling(a).key not in known)
+
 
+def test_candidates_are_few(spark):
+    people = [(k, f"{chr(65 + k % 26)}{chr(65 + k // 26 % 26)}{chr(65 + k * 7 % 26)}{chr(65 + k * 11 % 26)}MAN, Lee", None, 1.0, True) for k in range(400)]
+    sheet = spark.createDataFrame([(n.lower(),) for _, n, *_ in people], "sheet_name string")
+    got = linkage.candidate_pairs(sheet, roster(spark, people)).first()
+    assert got.names == got.rows == 400 and 400 <= got.pairs < 400 * 400 / 4
 
-def test_bounds_leave_no_match_out():
+
+def test_texts_that_are_close_share_a_key():
+    r = random.Random(3)
+    for least in (0.8, 0.82, 0.95):
+        for _ in range(6000):
+            a = "".join(r.choices("abcde1", k=r.randrange(1, 14)))
+            b = list(a)
+            for _ in range(r.randrange(4)):
+                b[r.randrange(len(b) + 1) : r.randrange(len(b) + 1)] = r.choices("abcde1", k=r.randrange(2))
+            b = "".join(b)
+            if b and names.ratio(a, b) >= least:
+                assert set(names.index_keys(a, least, True)) & set(names.index_keys(b, least, False)), (a, b)
+                assert names.reaches(a, b, least)
+            else:
+                assert not names.reaches(a, b, least)
+
+
+def test_no_score_passes_its_bound():
     r = random.Random(3)
-    parts = ["SMITH", "Smiht", "Mary", "SAINT", "ST", "ste", "Sophia", "church", "Kelly", "Keeler", "KELLEER", "& Ryan", "12", "a", "O'Neil", "Priya", "PRYIA", "ab", "axb", "", ","]
-    some = list({" ".join(r.choice(parts) for _ in range(r.randrange(5))) for _ in range(250)})
-    table = names.Table(some, linkage.SCORE)
+    some = sorted({" ".join(r.choice(PARTS) for _ in range(r.randrange(5))) for _ in range(250)})
+    table = names.Table(some)
     for a in some[:80]:
-        near = set(table.near(a).tolist())
-        assert all(k in near for k, b in enumerate(some) if names.similarity(a, b) >= linkage.SCORE)
+        bounds = table.bounds(a)
+        assert all(names.similarity(a, b) <= bounds[k] for k, b in enumerate(some) if names.similarity(a, b) >= names.TOKEN)
+        assert all(names.similarity(a, b, 0.82) == names.similarity(a, b) for b in some if names.similarity(a, b) >= 0.82)
 
 
 def test_similarity_is_not_symmetric():
