@@ -18,6 +18,7 @@ from ..operators import views as V
 from ..sources import office as O
 from ..sources.fixtures import Ledger, with_tables
 from . import intent as I
+from . import likeness_sql as Q
 
 TODAY = date(2026, 11, 1)
 
@@ -41,12 +42,20 @@ def sheet_names(led: Ledger):
     """Names as a sheet might spell them: roster names with a doubled letter, a dropped one, other order."""
     n, i = F.col("name"), F.col("id")
     spelled = F.when(i % 4 == 0, F.lower(n)).when(i % 4 == 1, F.regexp_replace(n, "^(.)(.)", "$1$2$2")).when(i % 4 == 2, F.regexp_replace(n, "^(...).", "$1")).otherwise(F.concat_ws(" ", T.after_comma(n), F.split_part(n, F.lit(","), F.lit(1))))
-    return led.clients.select(spelled.alias("sheet_name"))
+    return led.clients.select("id", spelled.alias("sheet_name"))
+
+
+def like_pairs(led: Ledger):
+    """Spelled names with their own client's name, that of the client of half the id and that of the next of the same surname."""
+    own = led.clients.select("id", "name")
+    spelled = sheet_names(led).select("id", F.col("sheet_name").alias("l"))
+    pairs = [spelled.join(own.select(at.alias("id"), F.col("name").alias("r")), "id") for at in (F.col("id"), F.col("id") * 2, F.col("id") - 13)]
+    return pairs[0].union(pairs[1]).union(pairs[2]).select("l", "r").distinct()
 
 
 def noted_names(led: Ledger):
     """Sheet rows for the conflicts: every spelled name, and names of no client."""
-    n = sheet_names(led).union(led.table("supplier").select(F.col("s_name")))
+    n = sheet_names(led).select("sheet_name").union(led.table("supplier").select(F.col("s_name")))
     return n.select(F.col("sheet_name").alias("seq"), F.col("sheet_name").alias("name"), F.lit("15h").alias("work"))
 
 
@@ -123,7 +132,7 @@ QUERIES = {
     "work_marks": lambda s, d: with_marks(cells(Ledger(s, d)), "cell", "found").select(*_LINE_KEY, F.posexplode_outer("found").alias("pos", "m")).filter("m IS NOT NULL").select(*_LINE_KEY, "pos", "m.kind", "m.day", "m.name", "m.amount"),
     "review_boxes": lambda s, d: with_marks(cells(Ledger(s, d)), "cell", "found").select(*_LINE_KEY, F.array_join(boxes(F.col("found")), ";").alias("boxes")),
     "confirm_lines": lambda s, d: confirmed(Ledger(s, d))["work"].select("client_id", "month", "day_or_note", "description", "amount", "source_job_id"),
-    "name_similarity": lambda s, d: (x := Ledger(s, d)).table("part").select("p_name").distinct().crossJoin(F.broadcast(x.table("region").select("r_name"))).select("p_name", "r_name", L.name_similarity(F.col("p_name"), F.col("r_name")).alias("score")),
+    "name_similarity": lambda s, d: like_pairs(Ledger(s, d)).withColumn("score", L.name_similarity("l", "r")),
     "filing_exact": lambda s, d: L.file_clients((x := Ledger(s, d)).clients.filter("mow_price IS NOT NULL").select(F.upper("name").alias("sheet_name")), x.clients),
     "filing_clients": lambda s, d: L.file_clients(sheet_names(x := Ledger(s, d)), x.clients),
     "suggest_clients": lambda s, d: L.suggest_clients(sheet_names(x := Ledger(s, d)), x.clients),
@@ -162,7 +171,14 @@ def sql_sheets(upto: int) -> tuple[str, str]:
     return sent, rows
 
 
+_RECURSIVE = lambda sql, *steps: with_tables(sql, *steps).replace("WITH ", "WITH RECURSIVE ", 1)
+_LIKE_PAIRS = """like_pairs AS (SELECT DISTINCT sheet_name AS l, name AS r FROM sheet_names s JOIN clients c ON c.id = s.id OR c.id * 2 = s.id OR c.id - 13 = s.id)"""
+
 ORACLES = {
+    "name_similarity": _RECURSIVE("SELECT l, r, score FROM likeness", Q.SHEET_NAMES, _LIKE_PAIRS, "l_names AS (SELECT l AS name FROM like_pairs)", "r_names AS (SELECT r AS name FROM like_pairs)", Q.forms("left_forms", "l_names"), Q.forms("right_forms", "r_names"), *Q.scores("like_pairs")),
+    "filing_clients": _RECURSIVE("SELECT sheet_name, client_id FROM filed", Q.SHEET_NAMES, *Q.filing("sheet_names")),
+    "open_conflicts": _RECURSIVE("SELECT * FROM conflicts", Q.SHEET_NAMES, "noted AS (SELECT sheet_name AS seq, sheet_name, '15h' AS work FROM (SELECT sheet_name FROM sheet_names UNION ALL SELECT s_name FROM supplier) n)", *Q.conflicts("noted")),
+    "suggest_clients": _RECURSIVE("SELECT sheet_name, suggestion, suggestion_name FROM suggested", Q.SHEET_NAMES, *Q.suggestions("sheet_names")),
     "extract_rows": with_tables("SELECT id, row_no, name, price, work FROM rws", _ROWS),
     "extract_has_rows": with_tables(f"SELECT id, real AS has_rows FROM {_JOB}"),
     "fill_stats": with_tables(f"SELECT id, CASE WHEN real THEN 10 ELSE 0 END::INT AS filled, CASE WHEN real THEN 13 ELSE 0 END::INT AS total, CASE WHEN real THEN 4 ELSE 0 END::INT AS rows, CASE WHEN real THEN 9 / 12.0 ELSE 0.0 END::DOUBLE AS fill_rate, CASE WHEN real THEN 3 ELSE 0 END::INT AS max_cols, CASE WHEN real THEN 1 ELSE 0 END::INT AS n_tables FROM {_JOB}"),
