@@ -23,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers for good, and of later ones, which make room for each other.
 MEMO, YOUNG = 700_000, 200_000
+#: Letters of the longest piece that is remembered: longer ones, whole texts without spaces among them, come again too seldom.
+LONGEST = 64
 #: New pieces in one text for the library, and bytes of text in one batch of ids.
 TOGETHER, BYTES = 10_000, 16 << 20
 #: Spaces that are no cut: those before white space and at the end.
@@ -91,6 +93,8 @@ class Encoder:
             if k not in found:
                 found[k] = array("i", self._ids(k[1:] if k[:1] == " " else " " + k)).tobytes() if k != " " else b""
         for k, ids in found.items():
+            if len(k) > LONGEST:
+                continue
             if len(self.memo) < MEMO:
                 self.memo[k] = ids
                 continue

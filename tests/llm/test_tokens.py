@@ -119,3 +119,16 @@ def test_columns_with_clashing_names(spark, tmp_path):
     tokenfiles.write(docs, str(tmp_path / "t"))
     assert tokenfiles.digests(tokenfiles.read(spark, str(tmp_path / "t"))).count() == len(rows())
     assert lengths.encoded_lengths(docs).count() == len(rows())
+
+
+def test_texts_without_spaces_are_not_remembered():
+    """What a worker keeps is bounded in bytes, whatever the texts hold."""
+    own = encode.Encoder(encode.default_vocabulary())
+    texts = ["".join(chr(0x4E00 + (k * 31 + j * 7) % 20000) for j in range(500)) for k in range(300)] + ["short words here"]
+    ids, sizes = own.encode(pa.array(texts), 0)
+    at = 0
+    for t, n in zip(texts, sizes.tolist()):
+        assert ids[at : at + n].tolist() == own._ids(t) + [0]
+        at += n
+    kept = [*own.memo, *own.young]
+    assert max(map(len, kept)) <= encode.LONGEST and len(kept) < 10
