@@ -20,44 +20,47 @@ def days_of(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")))
 
 
-def same_person(gold: str, read: str) -> bool:
-    """Equal names, or the same first long word and a second one in common."""
-    if gold == read:
-        return True
-    a, b = ([t for t in n.split() if len(t) >= 4] for n in (gold, read))
-    if not a or not b or a[0] != b[0]:
-        return False
-    return len(a[0]) >= 5 if 1 in (len(a), len(b)) else len({*a} & {*b}) > 1
+def same_person(gold: Column, read: Column) -> Column:
+    """Do two rows with name and words (its long words) name one person: equal names, or a first long word in common and another, if both have one?"""
+    a, b = gold["words"], read["words"]
+    single = (F.size(a) == 1) | (F.size(b) == 1)
+    first = F.get(a, F.lit(0))
+    shared = F.when(single, F.length(first) >= 5).otherwise(F.size(F.array_intersect(a, b)) >= 2)
+    return (gold["name"] == read["name"]) | F.coalesce((first == F.get(b, F.lit(0))) & shared, F.lit(False))
 
 
 def recall(gold: DataFrame, read: DataFrame) -> DataFrame:
     """Counts for each sheet. gold, read: sheet, seq, name, price, days (array<int>).
 
-    Rows match greedily in order, each read row once; one sheet's rows go to one
-    task, which a sheet of paper bounds.
+    Rows match greedily in order, each read row once: a fold over a sheet's
+    checked rows keeps which read rows are used. A sheet of paper bounds both arrays.
     """
-    shape = lambda df: df.select("sheet", "seq", T.norm_name(F.col("name")).alias("name"), F.col("price").cast("double"), "days").filter("name <> ''")
-    schema = "sheet string, n_gold long, n_price long, n_days long, n_read long, clients long, prices long, day_hits long"
-
-    def score(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        names = ["sheet", "seq", "name", "price", "days"]  # an absent side comes without columns
-        g, r = (x.set_axis(names, axis=1).sort_values("seq") if len(x) else pd.DataFrame({c: [] for c in names}) for x in (g, r))
-        free = list(r.itertuples(index=False))
-        clients = prices = days = 0
-        for row in g.itertuples(index=False):
-            at = next((i for i, x in enumerate(free) if same_person(row.name, x.name)), None)
-            if at is None:
-                continue
-            hit = free.pop(at)
-            clients += 1
-            prices += bool(pd.notna(row.price) and pd.notna(hit.price) and abs(row.price - hit.price) <= PRICE_REACH)
-            days += bool(len(row.days) and set(row.days) <= set(hit.days))
-        sheet = (g if len(g) else r)["sheet"].iloc[0]
-        return pd.DataFrame([(sheet, len(g), int(g["price"].notna().sum()), int((g["days"].map(len) > 0).sum()), len(r), clients, prices, days)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    # Both sides may come from one table; names of their own keep their columns apart.
-    other = shape(read).select(*(F.col(c).alias(f"r_{c}") for c in ("sheet", "seq", "name", "price", "days")))
-    return shape(gold).groupBy("sheet").cogroup(other.groupBy("r_sheet")).applyInPandas(score, schema)
+    row = "array<struct<seq:bigint,name:string,words:array<string>,price:double,days:array<int>>>"
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        shaped = df.select("sheet", F.col("seq").cast("long").alias("seq"), T.norm_name(F.col("name")).alias("name"), F.col("price").cast("double").alias("price"), "days").filter("name <> ''")
+        words = F.filter(F.split("name", " "), lambda w: F.length(w) >= 4)
+        shaped = shaped.select("sheet", F.struct("seq", "name", words.alias("words"), "price", F.coalesce("days", F.array().cast("array<int>")).alias("days")).alias("row"))
+        return shaped.groupBy(F.col("sheet").alias(f"{name}_sheet")).agg(F.array_sort(F.collect_list("row")).cast(row).alias(name))
+
+    both = listed(gold, "gold").join(listed(read, "read"), F.col("gold_sheet").eqNullSafe(F.col("read_sheet")), "full")
+    both = both.select(F.coalesce("gold_sheet", "read_sheet").alias("sheet"), *(F.coalesce(c, F.array().cast(row)).alias(c) for c in ("gold", "read")))
+
+    def match(acc: Column, g: Column) -> Column:
+        at = F.array_min(F.filter(F.transform("read", lambda r, i: F.when(same_person(g, r) & ~F.array_contains(acc["used"], i), i)), lambda i: i.isNotNull()))
+        hit = F.get("read", at)
+        price = F.coalesce(F.abs(g["price"] - hit["price"]) <= PRICE_REACH, F.lit(False))
+        days = F.coalesce((F.size(g["days"]) > 0) & (F.size(F.array_except(g["days"], hit["days"])) == 0), F.lit(False))
+        add = lambda n, by: (acc[n] + by.cast("long")).alias(n)
+        return F.when(at.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(at)).alias("used"), add("clients", F.lit(1)), add("prices", price), add("day_hits", days)))
+
+    nothing = F.struct(F.array().cast("array<int>").alias("used"), *(F.lit(0).cast("long").alias(n) for n in ("clients", "prices", "day_hits")))
+    found = both.withColumn("found", F.aggregate("gold", nothing, match))
+    count = lambda c: F.size(c).cast("long")
+    return found.select(
+        "sheet", count("gold").alias("n_gold"), count(F.filter("gold", lambda g: g["price"].isNotNull())).alias("n_price"), count(F.filter("gold", lambda g: F.size(g["days"]) > 0)).alias("n_days"),
+        count("read").alias("n_read"), "found.clients", "found.prices", "found.day_hits",
+    )
 
 
 def rates(counts: DataFrame) -> DataFrame:

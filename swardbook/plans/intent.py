@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -179,8 +180,18 @@ class Mutations:
 OPERATIONS = ("update_client", "update_work", "add_work", "delete_work", "delete_work_month")
 
 
+#: Amounts are stored as decimal(12,2).
+LARGEST = Decimal(10) ** 10
+
+
 def number(value) -> str | None:
-    """An amount as text: null for none, blank to clear it; anything that is no number is an error."""
+    """An amount as text: null for none, blank to clear it; anything that is no number, or none that can be stored, is an error."""
     if value is None or str(value).strip() == "":
         return None if value is None else ""
-    return str(float(value))
+    exact = Decimal(str(float(value)))
+    if not exact.is_finite() or abs(exact) >= LARGEST:
+        raise ValueError(f"amount out of range: {value}")
+    stored = exact.quantize(Decimal("0.01"), ROUND_HALF_UP)
+    if abs(stored) >= LARGEST:
+        raise ValueError(f"amount out of range: {value}")
+    return str(stored)

@@ -49,7 +49,7 @@ def _bills(led: Ledger):
 
 QUERIES = {
     "work_for_month": lambda s, d: V.work_for_month((x := Ledger(s, d)).work, x.clients, MONTH).select(*_LINE_COLS),
-    "work_for_client_month": lambda s, d: V.work_for_month((x := Ledger(s, d)).work, x.clients, MONTH, 7).select(*_LINE_COLS),
+    "work_for_client_month": lambda s, d: V.work_for_month((x := Ledger(s, d)).work, x.clients, MONTH, 49).select(*_LINE_COLS),
     "bills_ordered": lambda s, d: _bills(Ledger(s, d)).select(*_BILL_COLS),
     "months_with_work": lambda s, d: V.months_with_work(Ledger(s, d).work),
     "month_inventory": lambda s, d: V.month_inventory((x := Ledger(s, d)).work, x.bills, x.jobs, MONTH).withColumn("jobs", F.coalesce(F.to_json("jobs"), F.lit("{}"))),
@@ -68,10 +68,10 @@ QUERIES = {
     "sheet_clients_hedges": lambda s, d: V.sheet_clients(Ledger(s, d).clients, "hedges").select("id", "name"),
     "sheet_clients_mowing": lambda s, d: V.sheet_clients(Ledger(s, d).clients).select("id", "name"),
     "sheet_clients_fallback": lambda s, d: V.sheet_clients(Ledger(s, d).clients.filter("mow_price IS NULL AND entity_kind = 'client'")).select("id", "name"),
-    "client_by_name": lambda s, d: V.client_by_name(Ledger(s, d).clients, " brady, JIM ").select("id", "name"),
+    "client_by_name": lambda s, d: V.client_by_name(Ledger(s, d).clients, " keeler, KELLY 1041 ").select("id", "name"),
     "clients_by_ids": lambda s, d: V.by_ids(Ledger(s, d).clients, Ledger(s, d).work.filter(F.col("month") == MONTH).select("client_id")).select("id", "name"),
     "clients_with_work": lambda s, d: V.clients_with_work((x := Ledger(s, d)).clients, x.work).select("id"),
-    "clients_without_work": lambda s, d: V.clients_without_work((x := Ledger(s, d)).clients, x.work).select("id"),
+    "clients_without_work": lambda s, d: V.clients_without_work((x := Ledger(s, d)).clients, x.work.filter(F.col("month") == MONTH)).select("id"),
     "snapshot_work": lambda s, d: V.snapshot_work((x := Ledger(s, d)).work, x.clients),
     "snapshot_bills": lambda s, d: V.snapshot_bills((x := Ledger(s, d)).bills, x.clients),
     "office_coverage": lambda s, d: V.office_coverage(Ledger(s, d).clients),
@@ -106,7 +106,7 @@ _MONTHS = "['January','February','March','April','May','June','July','August','S
 
 ORACLES = {
     "work_for_month": with_tables(f"SELECT * FROM ({_LINES}) x WHERE month = '{MONTH}'"),
-    "work_for_client_month": with_tables(f"SELECT * FROM ({_LINES}) x WHERE month = '{MONTH}' AND client_id = 7"),
+    "work_for_client_month": with_tables(f"SELECT * FROM ({_LINES}) x WHERE month = '{MONTH}' AND client_id = 49"),
     "bills_ordered": with_tables(_BILLS),
     "months_with_work": with_tables("SELECT DISTINCT month, regexp_matches(month, '^[0-9]{4}-[0-9]{2}$') AS calendar FROM work_items"),
     "month_inventory": with_tables(f"""SELECT '{MONTH}' AS month, (SELECT count(*) FROM work_items WHERE month = '{MONTH}') AS work, (SELECT count(*) FROM bills WHERE month = '{MONTH}') AS bills,
@@ -126,10 +126,10 @@ ORACLES = {
     "sheet_clients_hedges": with_tables(f"SELECT id, name FROM clients WHERE {_KNOWN} AND (hedge_roster OR hedge_price IS NOT NULL)"),
     "sheet_clients_mowing": with_tables(f"SELECT id, name FROM clients WHERE {_KNOWN} AND (mow_price IS NOT NULL OR entity_kind IN ('parcel', 'association'))"),
     "sheet_clients_fallback": with_tables(f"SELECT id, name FROM clients WHERE {_KNOWN} AND mow_price IS NULL AND entity_kind = 'client'"),
-    "client_by_name": with_tables("SELECT id, name FROM clients WHERE lower(trim(name)) = 'brady, jim'"),
+    "client_by_name": with_tables("SELECT id, name FROM clients WHERE lower(trim(name)) = 'keeler, kelly 1041'"),
     "clients_by_ids": with_tables(f"SELECT id, name FROM clients WHERE id IN (SELECT client_id FROM work_items WHERE month = '{MONTH}')"),
     "clients_with_work": with_tables("SELECT id FROM clients WHERE EXISTS (SELECT 1 FROM work_items w WHERE w.client_id = clients.id)"),
-    "clients_without_work": with_tables("SELECT id FROM clients WHERE NOT EXISTS (SELECT 1 FROM work_items w WHERE w.client_id = clients.id)"),
+    "clients_without_work": with_tables(f"SELECT id FROM clients WHERE NOT EXISTS (SELECT 1 FROM work_items w WHERE w.client_id = clients.id AND w.month = '{MONTH}')"),
     "snapshot_work": with_tables("SELECT w.id, w.client_id, w.month, w.description, w.amount, c.name AS client_name FROM work_items w JOIN clients c ON c.id = w.client_id ORDER BY w.month DESC, c.name, w.id LIMIT 200"),
     "snapshot_bills": with_tables("SELECT b.id, b.month, b.client_id, c.name AS client_name, b.emailed_at IS NOT NULL AS emailed FROM bills b JOIN clients c ON c.id = b.client_id ORDER BY b.month DESC, c.name, b.id LIMIT 80"),
     "office_coverage": with_tables(f"SELECT count(*) AS clients, count(mow_price) AS with_mow_price, count(hedge_price) AS with_hedge_price, count(*) FILTER ({sql_strip('email')} <> '') AS with_email, count(*) FILTER ({sql_strip('phone')} <> '') AS with_phone, count(sort_order) AS with_order FROM clients"),

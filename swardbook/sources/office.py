@@ -68,7 +68,7 @@ def row_order(rows: DataFrame) -> DataFrame:
 def labels(rows: DataFrame) -> DataFrame:
     """(key, billing_address) of mailing labels (seq, label): name line, then address lines; a surname that one label has is a key as well."""
     lines = F.filter(F.split("label", r"\r?\n"), lambda x: F.trim(x) != "")
-    parts = rows.select("seq", lines.alias("l")).filter(F.size("l") > 1).select("seq", F.trim(F.get("l", F.lit(0))).alias("name"), F.array_join(F.transform(F.slice("l", 2, 100), F.trim), ", ").alias("billing_address"))
+    parts = rows.select("seq", lines.alias("l")).filter(F.size("l") > 1).select("seq", F.trim(F.get("l", F.lit(0))).alias("name"), F.array_join(F.transform(F.slice("l", 2, F.size("l")), lambda x: F.trim(x)), ", ").alias("billing_address"))
     whole = parts.select(T.name_key(F.col("name")).alias("key"), "billing_address", "seq", F.lit(0).alias("p"))
     last = F.when(F.col("name").contains(","), F.split_part("name", F.lit(","), F.lit(1))).otherwise(F.element_at(F.split("name", r"\s+"), -1))
     short = parts.select(T.name_key(last).alias("key"), "billing_address", "seq", F.lit(1).alias("p"))

@@ -40,7 +40,7 @@ def test_every_oracle_has_a_query():
 
 
 def arrive(spark, path, rows):
-    rows = [(i, 1, "2026-09", None, text, None, job, None, send) for i, job, send, text in rows]
+    rows = [(i, 1, "2026-09", None, text, None, job, None, send, *(more or (None,))) for i, job, send, text, *more in rows]
     spark.createDataFrame(rows, ingest.LINE).coalesce(1).write.mode("append").parquet(path)
 
 
@@ -57,6 +57,40 @@ def test_ingest_replaces_a_job_and_can_run_twice(spark, tmp_path):
     assert streamed(spark, tmp_path) == streamed(spark, tmp_path, "again") == [(2, "y"), (3, "z")]
 
 
+def test_lines_are_known_by_job_and_place_not_by_id(spark, tmp_path):
+    arrive(spark, f"{tmp_path}/in", [(None, "a", "s1", "x"), (None, "a", "s1", "x"), (7, "a", "s1", "y"), (7, "b", "s1", "z"), (None, None, "t", "typed"), (None, None, "t", "typed too")])
+    got = streamed(spark, tmp_path)
+    assert sorted(t for _, t in got) == ["typed", "typed too", "x", "x", "y", "z"] and len({i for i, _ in got}) == 6 and (7, "y") in got
+    assert streamed(spark, tmp_path, "again") == got
+    # a send that comes once more in another file, with positions, is the same lines
+    for _ in range(2):
+        arrive(spark, f"{tmp_path}/in", [(None, "a", "s2", "one", 0), (None, "a", "s2", "two", 1)])
+    assert sorted(t for _, t in streamed(spark, tmp_path)) == ["one", "two", "typed", "typed too", "z"]
+
+
+def test_snapshots_keep_ids_and_bound_what_is_read(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    now = lambda: sorted((r.id, r.description) for r in ingest.ledger(spark, log, "2026-09").collect())
+    for k in range(2):
+        arrive(spark, f"{tmp_path}/in", [(None, f"j{k}", "s1", f"a{k}"), (None, f"j{k}", "s1", f"b{k}"), (None, None, "t", f"typed{k}")])
+    before = streamed(spark, tmp_path)
+    assert ingest.compact(spark, log) == 1 and now() == before
+    assert ingest.pending(spark, log).filter("NOT final").count() == 0
+    arrive(spark, f"{tmp_path}/in", [(3, "j1", "s2", "new"), (None, None, "t", "last")])
+    after = streamed(spark, tmp_path)
+    kept = [x for x in before if x[1] not in ("a1", "b1")]
+    assert [x for x in after if x in kept] == kept and sorted(t for i, t in after if (i, t) not in kept) == ["last", "new"]
+    assert ingest.pending(spark, log).filter("NOT final").count() == 2
+    assert ingest.compact(spark, log) == 2 and now() == after
+    assert streamed(spark, tmp_path, "again") == after  # every file once more changes nothing
+    (tmp_path / "log/snapshots/version=3/lines").mkdir(parents=True)  # a compaction that died
+    assert now() == after and ingest.compact(spark, log) == 3 and now() == after
+
+
+def test_nothing_has_arrived(spark, tmp_path):
+    assert ingest.ledger(spark, str(tmp_path)).collect() == [] and ingest.compact(spark, str(tmp_path)) == 1 and ingest.ledger(spark, str(tmp_path)).collect() == []
+
+
 def test_ingest_keeps_typed_lines_and_jobs_of_several_batches(spark, tmp_path):
     for k in (0, 10):
         arrive(spark, f"{tmp_path}/in", [(k + 1, None, None, "typed"), (k + 2, "J", "s1", "line")])
@@ -149,6 +183,22 @@ def test_hedge_list(spark):
     assert got == [("SMITH, Mary", "1 Neck Rd", 40.0, "call"), ("BRADY, Jim", None, None, "hedge cell lists 40/50 and $60")]
 
 
+@pytest.mark.parametrize("given, want", [("nan", None), ("1e300", None), ("99999999999", None), ("-inf", None), ("x", None), ("41.5", 41.5), (" ", ""), (0, 0.0), ("9999999999.99", 9999999999.99)])
+def test_amounts_that_do_not_fit_fail_and_change_nothing(spark, given, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            intent.number(given)
+        return
+    assert intent.number(given) == (want if want == "" else f"{want:.2f}")
+
+
+def test_a_failed_amount_keeps_the_stored_one(spark):
+    work = spark.createDataFrame([(2, 1, "2026-09", "x")], "id long, client_id long, month string, description string").selectExpr("*", "CAST(5 AS DECIMAL(12,2)) AS amount")
+    turn = intent.Mutations(work.limit(0).selectExpr("id", "description AS name"), work, work.limit(0)).apply([{"op": "update_work", "work_id": 2, "amount": "1e300"}, {"op": "update_work", "work_id": 2, "amount": "7"}])
+    assert [r.line for r in turn.log.orderBy("seq").collect()] == ["failed update_work: amount out of range: 1e300", "updated work_item #2"]
+    assert [float(r.amount) for r in turn.work.collect()] == [7.0]
+
+
 def test_office_rows_phones_and_labels(spark):
     rows = spark.createDataFrame([(0, "SMITH, Mary", "1 Rd", "0", "a@b.co call 860-961-5457"), (1, "Regular mail", None, None, None), (2, "FIELD 3", None, "45.5", None)], "seq long, name string, address string, price string, notes string")
     got = {r.name: r for r in office.roster_rows(rows).collect()}
@@ -197,5 +247,23 @@ def test_snapshot_fits_and_keeps_its_floors(spark):
     assert len(found["work_items"]) == 10 and len(found["clients"]) >= 15 and found["clients_truncated"]
 
 
-def test_name_scores():
-    assert sheets.name_score("SMITH, Mary", "Smith Rd") == 9 and sheets.name_score("SMITHSON", "SMITHERS") == 3 and sheets.name_score("THE MR", "THE MR") == 0
+def test_name_scores(spark):
+    pairs = [("SMITH, Mary", "Smith Rd"), ("SMITHSON", "SMITHERS"), ("THE MR", "THE MR"), ("Oak (upper) FIELD HOUSE", "house field"), ("", "x"), (None, None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(sheets.name_score(sheets.name_words(F.col("a")), sheets.name_words(F.col("b")))).collect()] == [9, 3, 0, 18, 0, 0]
+
+
+def test_rows_follow_the_names_of_their_sheet(spark):
+    names = spark.createDataFrame([("s", 0, "POND, Al"), ("s", 1, "SMITH, Mary"), ("s", 2, "LEE"), ("s", 3, "SMITHERS, X"), ("none", 0, "A")], "sheet string, seq long, name string")
+    pool = [("s", 0, "Lee", "5"), ("s", 1, "Mary Smith", "9"), ("s", 2, "POND, Al", " "), ("s", 3, "mary smith.", "9 16"), ("s", 4, "Smithson", "2"), ("s", 5, "", "7"), ("s", 6, "", "8"), ("t", 0, "ZED", "1"), ("t", 1, None, None)]
+    got = sheets.assemble(names, spark.createDataFrame(pool, "sheet string, seq long, name string, work string"))
+    rows = [(r.sheet, r.seq, r.name, r.work) for r in got.orderBy("sheet", "seq").collect()]
+    assert rows == [("s", 0, "mary smith.", "9 16"), ("s", 1, "Lee", "5"), ("s", 2, "Smithson", "2"), ("s", 3, "", "7"), ("s", 4, "", "8"), ("t", 0, "ZED", "1")]
+
+
+def test_read_rows_count_once_and_in_order(spark):
+    fields = "sheet string, seq long, name string, price double, days array<int>"
+    gold = [("s", 0, "SMITH, Mary", 40.0, [1, 2]), ("s", 1, "SMITH, Mary", 41.0, [3]), ("s", 2, "POND, Al", 5.0, []), ("s", 3, "KEELER", None, [4]), ("t", 0, "GONE", 1.0, None), ("s", 4, " ", 1.0, [1])]
+    read = [("s", 0, "SMITH, Mary Ann", 41.01, [1, 2, 3]), ("s", 1, "Smith Mary", 45.0, [3]), ("s", 2, "POND, Bo", 5.0, []), ("s", 3, "KEELER, Chris", 9.0, [5]), ("u", 0, "EXTRA", 1.0, [1])]
+    got = {r.sheet: tuple(r)[1:] for r in score.recall(spark.createDataFrame(gold, fields), spark.createDataFrame(read, fields)).collect()}
+    assert got == {"s": (4, 3, 3, 4, 3, 1, 2), "t": (1, 1, 0, 0, 0, 0, 0), "u": (0, 0, 0, 1, 0, 0, 0)}
