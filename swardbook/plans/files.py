@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import merge as M
 from ..sources import documents as D
 from ..sources.fixtures import Ledger, with_tables
 from ..streaming import ingest as G
@@ -39,6 +40,13 @@ def label_tables(led: Ledger):
     return D.packed(rows, D.word_table, F.floor(F.col("s_suppkey") / SIZE).cast("string"), F.col("s_suppkey"))
 
 
+def asked(led: Ledger):
+    """Names to look up: as on the label, another given name of the surname, and no label's."""
+    n = _text("s_suppkey")
+    names = F.element_at(F.array(F.concat(F.lit("Key"), n, F.lit(", JO")), F.concat(F.lit("KEY"), n, F.lit(", Al")), F.concat(F.lit("KEY"), n, F.lit(" Al"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return led.table("supplier").select(names.alias("name"))
+
+
 def log(led: Ledger):
     """A log of lines: two or three sends of each job, typed lines that come twice, and ids that several lines claim."""
     w = led.work
@@ -58,6 +66,7 @@ QUERIES = {
     "workbook_roster": lambda s, d: D.roster(workbooks(Ledger(s, d))).select("name", "address", "mow_price", "email", "prefer_mail", "billing_notes"),
     "word_table_order": lambda s, d: D.row_order(order_tables(Ledger(s, d))),
     "word_table_labels": lambda s, d: D.labels(label_tables(Ledger(s, d))),
+    "label_lookup": lambda s, d: M.lookup(asked(x := Ledger(s, d)), D.labels(label_tables(x)), "billing_address", "to").select("name", "to"),
     "settled_log": lambda s, d: G.settled(log(Ledger(s, d))).select("id", "client_id", "month", "description", "source_job_id", "position"),
 }
 
@@ -70,6 +79,7 @@ ORACLES = {
     "word_table_order": """WITH p AS (SELECT regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS key, s_suppkey % 2 = 0 AS even, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS sort_order FROM supplier)
 SELECT key, sort_order FROM p UNION ALL SELECT key || 'upper', sort_order FROM p WHERE even""",
     "word_table_labels": "SELECT unnest(['key' || s_suppkey || 'jo', 'key' || s_suppkey]) AS key, s_suppkey || ' Neck Rd, Old Town' AS billing_address FROM supplier",
+    "label_lookup": """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Key' || s_suppkey || ', JO' WHEN 1 THEN 'KEY' || s_suppkey || ', Al' ELSE 'KEY' || s_suppkey || ' Al' END AS name, CASE WHEN s_suppkey % 3 < 2 THEN s_suppkey || ' Neck Rd, Old Town' END AS "to" FROM supplier""",
     "settled_log": with_tables(
         """SELECT id, client_id, month, description, source_job_id, position FROM numbered""",
         f"""lines AS ({_LINE.format('s1', 0)} UNION ALL {_LINE.format('s1', 900)} WHERE source_job_id IS NOT NULL AND client_id % 5 = 0

@@ -90,11 +90,11 @@ def best(step: str, rows: str) -> str:
   SELECT *, row_number() OVER (PARTITION BY sheet_name ORDER BY score DESC, rank) AS n FROM ({rows}) s WHERE score >= {LEAST}) o WHERE n <= 2 GROUP BY sheet_name)"""
 
 
-def ladder(names: str) -> list[str]:
+def ladder(names: str, roster: str = "clients") -> list[str]:
     """Steps people, exact and asked: each distinct sheet_name with the clients of its key."""
     first = lambda when: f"arg_min(id, rank) FILTER ({when})"
     return [
-        PEOPLE,
+        PEOPLE.replace("FROM clients", f"FROM {roster}"),
         f"exact AS (SELECT key, {first('priced')} AS priced, {first('off')} AS off, {first('set_up')} AS set_up, {first('NOT set_up')} AS unset, {first('true')} AS one FROM people WHERE key <> '' GROUP BY key)",
         f"asked AS (SELECT a.sheet_name, a.key, e.* EXCLUDE (key) FROM (SELECT DISTINCT sheet_name, {_KEY.format('sheet_name')} AS key FROM {names} WHERE sheet_name IS NOT NULL) a LEFT JOIN exact e USING (key))",
     ]
@@ -105,10 +105,10 @@ _FILED = """filed AS (SELECT a.sheet_name, coalesce(priced, off, CASE WHEN best
 _NEAR_ROWS = f"SELECT l AS sheet_name, p.id, p.rank, score FROM likeness JOIN people p ON p.name = r WHERE p.key <> {_KEY.format('l')}"
 
 
-def filing(names: str) -> list[str]:
-    """Steps up to filed (sheet_name, client_id) for the sheet_name of a step; needs clients."""
+def filing(names: str, roster: str = "clients") -> list[str]:
+    """Steps up to filed (sheet_name, client_id) for the sheet_name of a step, among the rows of the roster step."""
     return [
-        *ladder(names),
+        *ladder(names, roster),
         "unsure AS (SELECT sheet_name AS name FROM asked WHERE coalesce(priced, off) IS NULL)",
         "set_people AS (SELECT name FROM people WHERE set_up AND trim(name) <> '')",
         *candidates("pairs", "unsure", "set_people"),

@@ -137,6 +137,7 @@ QUERIES = {
     "filing_clients": lambda s, d: L.file_clients(sheet_names(x := Ledger(s, d)), x.clients),
     "suggest_clients": lambda s, d: L.suggest_clients(sheet_names(x := Ledger(s, d)), x.clients),
     "open_conflicts": lambda s, d: L.open_conflicts(noted_names(x := Ledger(s, d)), x.clients),
+    "retarget_moves": lambda s, d: L.retarget_month((x := Ledger(s, d)).work, x.clients, MONTH),
     "merge_office_lists": lambda s, d: M.merge_sources(records(Ledger(s, d))),
     "match_office_roster": lambda s, d: M.match_roster(records(x := Ledger(s, d)).filter("source = 0").select(F.when(F.col("seq") % 2 == 0, T.name_key(F.col("name"))).otherwise(F.concat(T.name_key(F.col("name")), F.lit("etal"))).alias("key"), "seq"), x.clients),
     "hedge_list": lambda s, d: O.hedge_records(office_lines(Ledger(s, d))).select("doc", "record", "name", "address", "hedge_price", "billing_notes"),
@@ -178,6 +179,8 @@ ORACLES = {
     "name_similarity": _RECURSIVE("SELECT l, r, score FROM likeness", Q.SHEET_NAMES, _LIKE_PAIRS, "l_names AS (SELECT l AS name FROM like_pairs)", "r_names AS (SELECT r AS name FROM like_pairs)", Q.forms("left_forms", "l_names"), Q.forms("right_forms", "r_names"), *Q.scores("like_pairs")),
     "filing_clients": _RECURSIVE("SELECT sheet_name, client_id FROM filed", Q.SHEET_NAMES, *Q.filing("sheet_names")),
     "open_conflicts": _RECURSIVE("SELECT * FROM conflicts", Q.SHEET_NAMES, "noted AS (SELECT sheet_name AS seq, sheet_name, '15h' AS work FROM (SELECT sheet_name FROM sheet_names UNION ALL SELECT s_name FROM supplier) n)", *Q.conflicts("noted")),
+    "retarget_moves": _RECURSIVE(f"SELECT '{MONTH}' AS month, id AS source, client_id AS target FROM moving JOIN filed USING (sheet_name) WHERE client_id <> id",
+        f"moving AS (SELECT id, name AS sheet_name FROM clients WHERE id IN (SELECT client_id FROM work_items WHERE month = '{MONTH}'))", "listed AS (SELECT * FROM clients WHERE coalesce(on_roster, true))", *Q.filing("moving", "listed")),
     "suggest_clients": _RECURSIVE("SELECT sheet_name, suggestion, suggestion_name FROM suggested", Q.SHEET_NAMES, *Q.suggestions("sheet_names")),
     "extract_rows": with_tables("SELECT id, row_no, name, price, work FROM rws", _ROWS),
     "extract_has_rows": with_tables(f"SELECT id, real AS has_rows FROM {_JOB}"),
