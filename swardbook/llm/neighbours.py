@@ -18,8 +18,8 @@
    and kept links make the components.
 5. Links are counted exactly: inside each component all members are compared in
    blocks, so a cluster of any size gets whole counts without a list of pairs.
-6. Recall is audited: the nodes whose vec_id is divisible by 50, made up to
-   AUDIT[0] by others and at most AUDIT[1], are compared with every vector. If
+6. Recall is audited: the nodes of which some vec_id is divisible by 50, made up
+   to AUDIT[0] by others, are compared with every vector, AUDIT[1] at a time. If
    under RECALL, the search goes on with more hyperplanes until it is not or,
    after SEARCHES, one more finds nothing new; under LEAST that is an error.
    Without a true link in the sample the recall is null: not measured.
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .blocks import pair_blocks, split_keys, stream_blocks
 from .graph import components, stars
-from .scratch import stash, unstash
+from .scratch import running_totals, stash, unstash
 
 THRESHOLD = 0.9
 #: Similarity from which a neighbour is worth following.
@@ -61,7 +61,7 @@ TABLES = 8
 BUCKET, BLOCK = 128, 512
 ROUNDS = 4
 RECALL, LEAST = 0.97, 0.9
-#: Nodes audited at least, and at most: the share of found links is known to about a point.
+#: Nodes audited at least, so that the share of found links is known to about a point, and in one pass over all vectors.
 AUDIT = (400, 8192)
 #: Searches after which one that does not raise the recall is an error.
 SEARCHES = 3
@@ -80,12 +80,12 @@ def _unit(lists: pa.Array) -> np.ndarray:
 
 
 def nodes(vectors: DataFrame) -> DataFrame:
-    """(least, v, copies, dim): usable distinct vectors with their least vec_id."""
+    """(least, v, copies, dim, asked): usable distinct vectors with their least vec_id; asked if any of their ids is divisible by 50."""
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
-    rows = vectors.filter(F.coalesce(usable, F.lit(False))).groupBy(e.alias("v")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    return rows.select("least", "v", "copies", F.size("v").alias("dim"))
+    rows = vectors.filter(F.coalesce(usable, F.lit(False))).groupBy(e.alias("v")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.max(F.col("vec_id") % 50 == 0).alias("asked"))
+    return rows.select("least", "v", "copies", F.size("v").alias("dim"), "asked")
 
 
 def _by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -278,11 +278,25 @@ def _exact_counts(member: DataFrame) -> DataFrame:
 
 
 def _audit(found: DataFrame, placed: DataFrame) -> float | None:
-    """Share of the true links of a sample whose ends are in one component; None if it has no link."""
-    rows = found.join(placed, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("__component", "node").alias("c"), "v")
-    chosen = F.col("least") % 50 == 0
-    n = found.filter(chosen).count()
-    sample = rows.orderBy(F.when(chosen, 0).otherwise(1), F.xxhash64("node")).limit(min(AUDIT[1], max(AUDIT[0], n))).collect()  # AUDIT[1] vectors at most
+    """Share of the true links of a sample whose ends are in one component; None if it has no link.
+
+    The sample goes through the driver AUDIT[1] vectors at a time, each lot in a pass over all vectors.
+    """
+    rows = found.join(placed, F.col("node") == F.col("__node"), "left").select("node", "asked", F.coalesce("__component", "node").alias("c"), "v")
+    n = found.filter("asked").count()
+    sample = rows.filter("asked") if n >= AUDIT[0] else rows.orderBy(F.desc("asked"), F.xxhash64("node")).limit(AUDIT[0])
+    lots = running_totals(sample.select("node", "c", "v", F.lit(1).alias("one")), [], ["node"], {"no": "one"})
+    lots = stash(lots.withColumn("lot", F.floor(F.col("no") / AUDIT[1])), "audit")
+    true = got = 0
+    for lot in range((lots.agg(F.max("lot")).first()[0] or 0) + 1):
+        t, g = _audited(rows, lots.filter(F.col("lot") == lot).collect())
+        true, got = true + t, got + g
+    unstash(lots)
+    return got / true if true else None
+
+
+def _audited(rows: DataFrame, sample: list) -> tuple[int, int]:
+    """True links of the sample's vectors with all, and how many of them have both ends in one component."""
     by_dim: dict[int, tuple] = {}
     for dim in {len(r["v"]) for r in sample}:
         some = [r for r in sample if len(r["v"]) == dim]
@@ -305,12 +319,12 @@ def _audit(found: DataFrame, placed: DataFrame) -> float | None:
         yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([got])], names=["t", "g"])
 
     t, g = rows.select("node", "c", "v").mapInArrow(run, "t long, g long").agg(F.sum("t"), F.sum("g")).first()
-    return g / t if t else None
+    return t or 0, g or 0
 
 
 def classes(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall)."""
-    found = stash(nodes(vectors).select(F.monotonically_increasing_id().alias("node"), "least", "v", "copies", "dim"), "nodes")
+    found = stash(nodes(vectors).select(F.monotonically_increasing_id().alias("node"), "least", "v", "copies", "dim", "asked"), "nodes")
     counts = {r[0]: r[1] for r in found.groupBy("dim").count().collect()}  # one row for each length
     recall = None
     named = found.select("v", "copies", F.lit(0).cast("long").alias("n"), F.col("least").alias("c"))

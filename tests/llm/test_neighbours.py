@@ -120,11 +120,18 @@ def test_recall_is_not_measured_without_links(spark):
 
 
 def test_audit_takes_every_fiftieth(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "AUDIT", (0, 1000))
-    data = [(k, 0, [1.0, 0.001 * k], 1, 2) for k in range(200)]
-    found = spark.createDataFrame(data, "least long, x long, v array<double>, copies long, dim int").withColumn("node", F.col("least"))
+    """All of them, in one lot or in several."""
+    data = [(k, 0, [1.0, 0.001 * k], 1, 2, k % 50 == 0) for k in range(200)]
+    found = spark.createDataFrame(data, "least long, x long, v array<double>, copies long, dim int, asked boolean").withColumn("node", F.col("least"))
     half = spark.createDataFrame([(k, k // 100) for k in range(200)], "__node long, __component long")
-    assert neighbours._audit(found, half) == (4 * 100 - 4) / (4 * 200 - 4)
+    for lot in (1000, 3):
+        monkeypatch.setattr(neighbours, "AUDIT", (0, lot))
+        assert neighbours._audit(found, half) == (4 * 100 - 4) / (4 * 200 - 4)
+
+
+def test_an_id_is_asked_whichever_of_its_copies_it_is(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0]), (50, [1.0, 2.0]), (4, [2.0, 1.0]), (51, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r.least, r.copies, r.asked) for r in neighbours.nodes(df).collect()} == {(3, 2, True), (4, 2, False)}
 
 
 def test_columns_with_clashing_names(spark):
