@@ -10,7 +10,8 @@ many share are cut in parts, so that every name meets every row of its token in
 one task or another, and no task holds them all. Inside a block letter counts
 bound each score, rows are scored in falling order of their bounds, and a name
 stops when no row left can change its answer. Nothing is broadcast by hand or
-collected, and it is one lazy plan.
+collected. The names and the roster, with their forms, are read many times, so
+both are checkpointed when they are made; all else is one lazy plan.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 from ..functions import names as N
 from ..functions import text as T
 from .numbering import numbered, prefix
+from .once import once
 from .views import has_prices, is_set_up
 
 #: Fixed values of the rule: least score, least lead over the second.
@@ -137,8 +139,8 @@ def _counted(df: DataFrame, n: str) -> DataFrame:
 
 def candidate_pairs(names: DataFrame, roster: DataFrame) -> DataFrame:
     """(names, rows, pairs): how many pairs the token blocks bring together; roster as for filing."""
-    asked = with_forms(names.select("sheet_name").filter("sheet_name IS NOT NULL").distinct(), "sheet_name")
-    people = with_forms(_ranked(roster).drop("key"), "name")
+    asked = once(with_forms(names.select("sheet_name").filter("sheet_name IS NOT NULL").distinct(), "sheet_name"))
+    people = _people(roster)
     mine, theirs = _token_sides(asked, people)
     both = _counted(mine, "n").join(_counted(theirs, "m"), "block").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
     return asked.agg(F.count("*").alias("names")).crossJoin(people.agg(F.count("*").alias("rows"))).crossJoin(both)
@@ -216,9 +218,8 @@ def _parted(df: DataFrame, sizes: DataFrame, own: str, other: str, by: str) -> D
 
 
 def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
-    """(sheet_name, id, score, rank): rows that decide a name's answer. roster: id, name, rank, priced."""
-    asked = with_forms(names, "sheet_name").filter("key <> ''")
-    rows = with_forms(roster.filter("trim(name) <> ''"), "name").filter("key <> ''")
+    """(sheet_name, id, score, rank): rows that decide a name's answer. names: sheet_name; roster: id, name, rank, priced; both with forms."""
+    asked, rows = (df.filter("key <> ''") for df in (names, roster))
     mine, theirs = _token_sides(asked, rows)
     sizes = _counted(mine, "n").join(_counted(theirs, "m"), "block").withColumnRenamed("block", "__block")
     columns = ["block", "n_part", "m_part", "side", "name", "id", "rank", "priced"]
@@ -236,11 +237,15 @@ def _scored(names: DataFrame, roster: DataFrame, skip_same: bool) -> DataFrame:
 
 def _ranked(roster: DataFrame) -> DataFrame:
     """The roster with rank, its order: sort_order with nulls last, then name, then id."""
-    people = roster.withColumns({"priced": has_prices(), "set_up": is_set_up(), "key": T.name_key(F.col("name"))})
+    people = roster.withColumns({"priced": has_prices(), "set_up": is_set_up()})
     place = F.col("sort_order")
     return numbered(people, "rank", [place.asc_nulls_last(), "name", "id"], [place.isNull(), place, prefix(F.col("name"))])
 
 
+def _people(roster: DataFrame) -> DataFrame:
+    return once(with_forms(_ranked(roster).select("id", "name", "on_roster", "priced", "set_up", "rank"), "name"))
+
+
 def _clear_best(scored: DataFrame) -> DataFrame:
     """(sheet_name, best, tied): the best row of each name, and whether the second is too close."""
     w = Window.partitionBy("sheet_name").orderBy(F.desc("score"), "rank")
@@ -254,14 +259,14 @@ def file_clients(names: DataFrame, roster: DataFrame) -> DataFrame:
     In order: an exact key with prices; an exact key left off the roster; one
     clear close spelling among set-up clients; an exact key, set up or not.
     """
-    people = _ranked(roster)
-    asked = names.select("sheet_name").filter(F.col("sheet_name").isNotNull()).distinct().withColumn("key", T.name_key(F.col("sheet_name")))
+    people = _people(roster)
+    asked = with_forms(names.select("sheet_name").filter(F.col("sheet_name").isNotNull()).distinct(), "sheet_name")
     first = lambda when: F.min_by(F.when(when, F.col("id")), F.when(when, F.col("rank")))
     off = F.coalesce(~F.col("on_roster"), F.lit(False))
     exact = people.filter("key <> ''").groupBy("key").agg(first(F.col("priced")).alias("e_priced"), first(off).alias("e_off"), first(F.col("set_up")).alias("e_set"), first(~F.col("set_up")).alias("e_unset"), first(F.lit(True)).alias("e_any"))
-    named = asked.join(exact, "key", "left")
+    named = once(asked.join(exact, "key", "left"))
     sure = F.coalesce("e_priced", "e_off")
-    best = _clear_best(_scored(named.filter(sure.isNull()).select("sheet_name"), people.filter("set_up").select("id", "name", "rank", "priced"), skip_same=False))
+    best = _clear_best(_scored(named.filter(sure.isNull()), people.filter("set_up"), skip_same=False))
     out = named.join(best, "sheet_name", "left")
     none = F.col("best").isNull()
     scored = F.when(none, F.coalesce("e_set", "e_unset", "e_any")).when(F.col("tied"), F.coalesce("e_set", "e_unset")).otherwise(F.col("best"))
@@ -270,9 +275,9 @@ def file_clients(names: DataFrame, roster: DataFrame) -> DataFrame:
 
 def suggest_clients(names: DataFrame, roster: DataFrame) -> DataFrame:
     """(sheet_name, suggestion, suggestion_name): the one close spelling of another key, set up or not."""
-    people = _ranked(roster)
-    asked = names.select("sheet_name").filter(F.col("sheet_name").isNotNull()).distinct()
-    best = _clear_best(_scored(asked, people.select("id", "name", "rank", "priced"), skip_same=True)).filter(~F.col("tied"))
+    people = _people(roster)
+    asked = once(with_forms(names.select("sheet_name").filter(F.col("sheet_name").isNotNull()).distinct(), "sheet_name"))
+    best = _clear_best(_scored(asked, people, skip_same=True)).filter(~F.col("tied"))
     return best.join(people.select(F.col("id").alias("best"), F.col("name").alias("suggestion_name")), "best").select("sheet_name", F.col("best").alias("suggestion"), "suggestion_name")
 
 
