@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import commit, invoice, linkage, merge, state, views
+from .once import once
 
 #: Default wording of a bill; a ledger's owner sets its own.
 CLOSING = "Thank you for your business."
@@ -19,11 +20,11 @@ def generate_month(clients: DataFrame, work: DataFrame, bills: DataFrame, jobs:
     """Re-target, rebuild from stored sheets, reprice, compile, and upsert bills: {clients, work, bills, rows, conflicts}.
 
     While conflicts has rows the rebuild changes nothing. Without stored sheets
-    the lines stay as they are. The month's moves and lines are used several times
-    and are persisted. Two looks, at whether there are moves and stored sheets,
+    the lines stay as they are. The month's moves and lines are read several times
+    and are checkpointed. Two looks, at whether there are moves and stored sheets,
     run at once and keep the steps that are not needed out of the plan.
     """
-    moves = linkage.retarget_month(work, clients, month).persist()
+    moves = once(linkage.retarget_month(work, clients, month))
     if not moves.isEmpty():
         work, bills = state.reassign(work, bills, moves)
         clients = state.delete_ids(clients, linkage.orphans(clients, work, moves))
@@ -34,7 +35,7 @@ def generate_month(clients: DataFrame, work: DataFrame, bills: DataFrame, jobs:
         clients, work, conflicts = built["clients"], built["work"], built["conflicts"]
     priced = clients.select(F.col("id").alias("__c"), "mow_price", "hedge_price")
     mine = work.filter(F.col("month") == month).join(priced, F.col("client_id") == F.col("__c")).drop("__c")
-    lines = invoice.reprice_visits(mine).persist()
+    lines = once(invoice.reprice_visits(mine))
     after = work.filter(F.col("month") != month).unionByName(lines.select(*work.columns))
     names = clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     shown = lines.select("month", "client_id").distinct().join(names, "client_id").join(views.latest_bills(bills).select("month", "client_id", "display_name"), ["month", "client_id"], "left")

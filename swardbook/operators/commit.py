@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.marks import with_marks
 from . import linkage, sheets, state
 from .numbering import numbered, prefix
+from .once import once
 
 
 def mark_lines(cells: DataFrame, keep: list[str]) -> DataFrame:
@@ -56,16 +57,15 @@ def confirm(jobs: DataFrame, clients: DataFrame, work: DataFrame, resolutions: D
     """File reviewed jobs (id, month, extract_json): {conflicts, clients, work}.
 
     While conflicts has rows, clients and work are as before: the gate is a
-    filter on the number of open names, so nothing runs until a result is asked
-    for. Sheet rows, filed names, open names and new lines are used several times
-    and are persisted when they are first computed. Lines that a job stored before
+    filter on the number of open names. Sheet rows, filed names, open names and
+    new lines are read several times, so each is checkpointed when it is made. Lines that a job stored before
     are replaced. Every name of every job is filed against the same roster; names
     added by a resolution are added once.
     """
     parsed = sheets.parse(jobs)
-    rows = sheets.extract_rows(parsed).join(jobs.select("id", "month"), "id").withColumn("seq", F.struct("id", "table_no", "row_no")).persist()
-    known = linkage.file_clients(rows.select(F.col("name").alias("sheet_name")), clients).persist()
-    open_names = linkage.open_conflicts(rows.select("seq", "name", "work"), clients, resolutions, known).persist()
+    rows = once(sheets.extract_rows(parsed).join(jobs.select("id", "month"), "id").withColumn("seq", F.struct("id", "table_no", "row_no")))
+    known = once(linkage.file_clients(rows.select(F.col("name").alias("sheet_name")), clients))
+    open_names = once(linkage.open_conflicts(rows.select("seq", "name", "work"), clients, resolutions, known))
     gate = open_names.agg((F.count("*") == 0).alias("__clear"))
     if resolutions is None:
         filed, after = rows.join(known, F.col("name") == F.col("sheet_name"), "left").drop("sheet_name"), clients
@@ -74,7 +74,7 @@ def confirm(jobs: DataFrame, clients: DataFrame, work: DataFrame, resolutions: D
     priced = after.select(F.col("id").alias("__c"), "mow_price", "hedge_price")
     cells = filed.join(priced, F.col("client_id") == F.col("__c")).drop("__c").crossJoin(F.broadcast(gate)).filter("__clear")  # gate is one row
     lines = mark_lines(cells, ["id", "month", "client_id", "table_no", "row_no"])
-    lines = lines.withColumnRenamed("id", "source_job_id").persist()
+    lines = once(lines.withColumnRenamed("id", "source_job_id"))
     order = ["source_job_id", "table_no", "row_no", "pos"]
     sent = jobs.select(F.col("id").alias("__j"), F.col("month").alias("__m")).crossJoin(F.broadcast(gate)).filter("__clear")
     kept = work.join(sent, (F.col("source_job_id") == F.col("__j")) & (F.col("month") == F.col("__m")), "left_anti") if wipe else work

@@ -103,7 +103,7 @@ QUERIES = {
     "chat_turn_work": lambda s, d: turn(Ledger(s, d)).work.select(*_WORK),
     "chat_turn_bills": lambda s, d: turn(Ledger(s, d)).bills.select("id", "month", "client_id"),
     "chat_turn_clients": lambda s, d: turn(Ledger(s, d)).clients.select("id", "email", "address", "mow_price", "hedge_price"),
-    "job_states": lambda s, d: (x := states(Ledger(s, d))) and G.progress(x, x.agg(F.max("updated_at")).first()[0]),
+    "job_states": lambda s, d: G.progress(states(Ledger(s, d))),
     "sheet_name_list": lambda s, d: S.distinct_names(read_names(Ledger(s, d))),
     "job_by_id": lambda s, d: V.job_by_id(Ledger(s, d).jobs, "job-7").select("id", "status", "month"),
     "roster_names": lambda s, d: V.roster_names(Ledger(s, d).clients),

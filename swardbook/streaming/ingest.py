@@ -158,10 +158,15 @@ def ledger(spark: SparkSession, path: str, month: str | None = None) -> DataFram
 ENDED, KEEP = ("done", "error", "cancelled"), 25
 
 
-def progress(events: DataFrame, now) -> DataFrame:
-    """The last state of every job (id, status, message, percent, updated_at) that is open, or ended no more than KEEP seconds before now."""
+def progress(events: DataFrame, now=None) -> DataFrame:
+    """The last state of every job (id, status, message, percent, updated_at) that is open, or ended no more than KEEP seconds before now.
+
+    Without a time, the newest event's counts.
+    """
     last = events.groupBy("id").agg(F.max_by(F.struct("status", "message", "percent", "updated_at"), F.struct("updated_at", "status", "message")).alias("x")).select("id", "x.*")
-    return last.filter(~F.col("status").isin(*ENDED) | (F.lit(now) - F.col("updated_at") <= F.expr(f"INTERVAL {KEEP} SECONDS")))
+    clock = events.agg(F.max("updated_at").alias("__now")) if now is None else events.sparkSession.range(1).select(F.lit(now).alias("__now"))
+    seen = last.crossJoin(F.broadcast(clock))  # one row
+    return seen.filter(~F.col("status").isin(*ENDED) | (F.col("__now") - F.col("updated_at") <= F.expr(f"INTERVAL {KEEP} SECONDS"))).drop("__now")
 
 
 _STATE = "status string, message string, percent int, updated_at timestamp"
