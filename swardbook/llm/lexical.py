@@ -279,7 +279,6 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def search(index: Index, items: DataFrame, k: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents with a score above 0 for each item with item_id and text."""
-    spark = items.sparkSession
     weighed = weigh(index, items, k)
     groups = weighed.agg(F.max("batch")).first()[0]
     out = []
@@ -310,7 +309,8 @@ def search(index: Index, items: DataFrame, k: int = TOP) -> DataFrame:
         ranked = _best(early.unionByName(late), k)
         out.append(ranked.join(F.broadcast(names), F.col("no") == F.col("__no")).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
     if not out:
-        return spark.createDataFrame([], items.select("item_id").schema.add("rank", "int").add("doc_id", "long").add("score", "long"))
+        none = F.lit(0).cast("long")
+        return items.limit(0).select("item_id", F.lit(0).alias("rank"), none.alias("doc_id"), none.alias("score"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
