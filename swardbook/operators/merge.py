@@ -41,17 +41,23 @@ def lookup(rows: DataFrame, mapping: DataFrame, value: str, out: str) -> DataFra
 def match_roster(records: DataFrame, clients: DataFrame) -> DataFrame:
     """(key, id): which client each office record is. Exact keys first, then a shorter key of eight letters or more that starts the longer.
 
-    Prefix candidates share their first eight letters, which makes the search an
-    equi-join. Every client is used once, by the record that comes first.
+    Every beginning of eight letters or more is a key to join by, so the search
+    is an equi-join. Every client is used once; in their order, records take the
+    free client whose key is nearest in length, so that the longer of two numbers
+    at the end of a name is not taken for the shorter.
     """
     names = clients.select("id", T.name_key(F.col("name")).alias("__key"))
     exact = records.select("key", "seq").join(names, F.col("key") == F.col("__key")).withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("__r = 1").select("key", "id")
     left = records.select("key", "seq").join(exact.select("key"), "key", "left_anti")
     free = names.join(exact.select("id"), "id", "left_anti")
-    near = left.join(free, F.substring("key", 1, 8) == F.substring("__key", 1, 8))
-    near = near.filter((F.length("key") >= 8) & (F.length("__key") >= 8) & (F.col("__key").startswith(F.col("key")) | F.col("key").startswith(F.col("__key"))))
-    # Greedy in record order: a record takes its first free client; ties within eight shared letters are few.
-    taken = near.groupBy(F.substring("key", 1, 8).alias("__stem")).agg(F.array_sort(F.collect_list(F.struct("seq", "id", "key"))).alias("__all"))
+    begun = lambda c, least: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda n: F.left(F.col(c), n)))
+    within = left.filter(F.length("key") >= 8).withColumn("__begun", begun("key", 8)).join(free, F.col("__begun") == F.col("__key"))
+    # A client's key is longer by a letter or more; equal ones were found above.
+    beyond = free.filter(F.length("__key") >= 9).withColumn("__begun", begun("__key", 8)).filter("__begun <> __key").join(left, F.col("__begun") == F.col("key"))
+    gap = F.abs(F.length("key") - F.length("__key")).alias("gap")
+    near = within.select("key", "seq", "id", gap).union(beyond.select("key", "seq", "id", gap))
+    # Greedy in record order: a record takes its nearest free client; ties within eight shared letters are few.
+    taken = near.groupBy(F.substring("key", 1, 8).alias("__stem")).agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "id", "key"))).alias("__all"))
     state = F.aggregate(
         "__all",
         F.array().cast("array<struct<key:string,id:bigint>>"),

@@ -188,3 +188,13 @@ def test_cut_off_json_closes_in_order_of_nesting():
     assert jsonfix.loads(cut) == {"title": "x", "tables": [{"columns": ["CLIENT"], "rows": [["A"]]}]}
     assert jsonfix.loads('{"a": [1, 2}, "b": 3, "cccccccccc": 1') == {"a": [1, 2]}
     assert [jsonfix.loads(t) for t in (None, "", "nothing", '{"a": 1', '```json\n{"t": 1}\n```', 'see {"a": 1} ok')] == [None, None, None, None, {"t": 1}, {"a": 1}]
+
+
+def test_office_names_take_the_client_of_the_nearest_key(spark):
+    from swardbook.operators import merge
+
+    clients = spark.createDataFrame([(1, "GRAY, Lee 1191"), (2, "GRAY, Lee 11916"), (3, "BRADY, Jim Jones"), (4, "OAKES, J")], "id long, name string")
+    records = spark.createDataFrame([("graylee11916etal", 1), ("graylee1191etal", 2), ("bradyjim", 3), ("oakesjohn", 4)], "key string, seq long")
+    assert {(r.key, r.id) for r in merge.match_roster(records, clients).collect()} == {("graylee11916etal", 2), ("graylee1191etal", 1), ("bradyjim", 3)}
+    alone = spark.createDataFrame([("graylee1", 1), ("graylee11", 2)], "key string, seq long")
+    assert {(r.key, r.id) for r in merge.match_roster(alone, clients).collect()} == {("graylee1", 1), ("graylee11", 2)}
