@@ -118,7 +118,7 @@ def cut_off(led: Ledger):
     """Stored sheets that break off in their last row, their notes or behind them, and their repair."""
     n = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
     text = F.expr("substr(extract_json, 1, length(extract_json) - 1 - cut)")
-    return led.jobs.filter("extract_json IS NOT NULL").withColumn("cut", n % 60).select("id", repaired(text).alias("fixed"))
+    return led.dealt_jobs.filter("extract_json IS NOT NULL").withColumn("cut", n % 60).select("id", repaired(text).alias("fixed"))
 
 
 QUERIES = {

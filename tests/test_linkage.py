@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from swardbook.functions import jsonfix, names
 from swardbook.operators import commit, linkage, sheets
@@ -198,3 +199,18 @@ def test_office_names_take_the_client_of_the_nearest_key(spark):
     assert {(r.key, r.id) for r in merge.match_roster(records, clients).collect()} == {("graylee11916etal", 2), ("graylee1191etal", 1), ("bradyjim", 3)}
     alone = spark.createDataFrame([("graylee1", 1), ("graylee11", 2)], "key string, seq long")
     assert {(r.key, r.id) for r in merge.match_roster(alone, clients).collect()} == {("graylee1", 1), ("graylee11", 2)}
+
+
+def test_repair_deals_rows_whatever_the_file(spark, tmp_path):
+    from swardbook.plans import linking
+    from swardbook.sources.fixtures import Ledger
+
+    rows = spark.sql("SELECT id AS event_id, timestamp'2026-01-02 03:04:05' AS ts, id % 3 AS user_id FROM range(2000)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = linking.cut_off(Ledger(spark, str(tmp_path))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r[1] for r in sizes) < 600
+
+
+def test_strings_cut_behind_a_backslash_stay_open():
+    assert jsonfix.loads('{"k": {"a": 1}, "t": [["word\\') == {"k": {"a": 1}, "t": [["word"]]}
+    assert jsonfix.loads('{"k": {"a": 1}, "t": [["word\\"\\') == {"k": {"a": 1}, "t": [['word"']]}
