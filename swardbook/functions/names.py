@@ -17,7 +17,7 @@ import re
 from difflib import SequenceMatcher
 from functools import cached_property, lru_cache
 from itertools import combinations, groupby
-from math import ceil, floor
+from math import ceil, comb, floor
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +25,8 @@ import numpy as np
 #: Fixed values of the rule: equal tokens, sure spelling, what contained names score and gain for each token.
 TOKEN, SURE, INSIDE, EACH = 0.80, 0.95, 0.86, 0.07
 SHORT, LONG = ("st", "ste"), "saint"
+#: Letters of two texts whose blocks are searched without difflib.
+BRIEF = 40
 _WORDS = re.compile("[a-z0-9]+")
 
 
@@ -43,9 +45,22 @@ def spelling(name: str) -> Spelling:
     return Spelling(key, "".join(c for c, _ in groupby(key)), tokens, max(tokens, key=len, default=""))
 
 
+def _matched(a: str, b: str) -> int:
+    """Letters in matching blocks: the longest block, first in a, then in b, and those to its left and right."""
+    for n in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - n + 1):
+            j = b.find(a[i : i + n])
+            if j >= 0:
+                return n + _matched(a[:i], b[:j]) + _matched(a[i + n :], b[j + n :])
+    return 0
+
+
 def ratio(a: str, b: str) -> float:
     """Matching blocks over lengths; the order of arguments matters."""
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    # Short texts are sooner searched than set up for difflib.
+    return 2.0 * _matched(a, b) / (len(a) + len(b)) if len(a) + len(b) <= BRIEF else SequenceMatcher(None, a, b).ratio()
 
 
 def in_order(a: str, b: str) -> int:
@@ -198,6 +213,8 @@ class Table:
 
 #: Letters and digits in the order in which index keys take them, the rarer ones first, and how many a key has.
 RARE, PICKED = "9876543210qzxjkvwybpgfmucdlhrnsitoae", 4
+#: Texts that are short of the letters in common in at most so many ways are indexed by what then is left.
+WAYS = 128
 
 
 def index_keys(text: str, least: float, left: bool, lengths: range | None = None) -> list[str]:
@@ -207,6 +224,11 @@ def index_keys(text: str, least: float, left: bool, lengths: range | None = None
     first of these, in a fixed order of letters, stand near the front of both
     texts' sorted letters, so only choices of PICKED from these fronts are keys,
     for every length that the other text may have.
+
+    Matching blocks stand in the same order in both texts, so the letters in
+    common are also left when the others are struck out. Where there are few ways
+    to do that, what is left are the keys: numbers, which have few letters but
+    many orders, then meet only their neighbours.
     """
     seen: dict[str, int] = {}
     letters = []
@@ -218,7 +240,9 @@ def index_keys(text: str, least: float, left: bool, lengths: range | None = None
     # min(n, m) letters in common at most
     for m in lengths or range(ceil(n * least / (2 - least) - 1e-9), floor(n * (2 - least) / least + 1e-9) + 1):
         common = ceil(least * (n + m) / 2 - 1e-9)
-        if 0 < common <= min(n, m):
+        if 0 < common <= min(n, m) and max(comb(n, common), comb(m, common)) <= WAYS:
+            keys += {(f"{n}.{m}=" if left else f"{m}.{n}=") + "".join(c) for c in combinations(text, common)}
+        elif 0 < common <= min(n, m):
             k = min(PICKED, common)
             pair = f"{n}.{m}." if left else f"{m}.{n}."
             keys += [pair + "".join(c) for c in combinations(letters[: n - common + k], k)]

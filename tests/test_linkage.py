@@ -214,3 +214,25 @@ def test_repair_deals_rows_whatever_the_file(spark, tmp_path):
 def test_strings_cut_behind_a_backslash_stay_open():
     assert jsonfix.loads('{"k": {"a": 1}, "t": [["word\\') == {"k": {"a": 1}, "t": [["word"]]}
     assert jsonfix.loads('{"k": {"a": 1}, "t": [["word\\"\\') == {"k": {"a": 1}, "t": [['word"']]}
+
+
+def test_numbers_meet_only_their_neighbours():
+    numbers = [str(n) for n in range(10_000, 14_000)]
+    there = {}
+    for n in numbers:
+        for k in names.index_keys(n, names.TOKEN, False):
+            there[k] = there.get(k, 0) + 1
+    met = sum(there.get(k, 0) for n in numbers for k in names.index_keys(n, names.TOKEN, True))
+    assert met < 250 * len(numbers)
+
+
+def test_ratio_is_that_of_difflib_and_near_texts_share_a_key():
+    r = random.Random(11)
+    for _ in range(4000):
+        letters = r.choice(["ab", "0123456789", "abcdefghijkl"])
+        a = "".join(r.choice(letters) for _ in range(r.randint(1, 22)))
+        b = "".join(c for c in a if r.random() > 0.1) + r.choice(["", a[:1], "z"])
+        assert names.ratio(a, b) == (1.0 if a == b else SequenceMatcher(None, a, b).ratio())
+        for least in (0.8, 0.95):
+            if b and names.ratio(a, b) >= least:
+                assert set(names.index_keys(a, least, True)) & set(names.index_keys(b, least, False))
