@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions import text as T
 from . import state
+from .once import once
 
 FIELDS = ("address", "mow_price", "hedge_price", "email", "phone", "prefer_mail", "hedge_roster", "entity_kind")
 
@@ -38,32 +41,51 @@ def lookup(rows: DataFrame, mapping: DataFrame, value: str, out: str) -> DataFra
     return df.withColumn(out, F.coalesce("__v1", "__v2")).drop("__w", "__s", "__k1", "__v1", "__k2", "__v2")
 
 
+@F.pandas_udf(ArrayType(StructType().add("key", StringType()).add("id", LongType())))
+def _taken(edges: pd.Series) -> pd.Series:
+    """What records take of (seq, gap, id, key) in that order: the nearest client that is still free."""
+
+    def run(group) -> list[dict]:
+        keys, ids = {}, set()
+        for e in group:
+            if e["key"] not in keys and e["id"] not in ids:
+                keys[e["key"]] = e["id"]
+                ids.add(e["id"])
+        return [{"key": k, "id": i} for k, i in keys.items()]
+
+    return edges.map(run)
+
+
 def match_roster(records: DataFrame, clients: DataFrame) -> DataFrame:
     """(key, id): which client each office record is. Exact keys first, then a shorter key of eight letters or more that starts the longer.
 
     Every beginning of eight letters or more is a key to join by, so the search
     is an equi-join. Every client is used once; in their order, records take the
     free client whose key is nearest in length, so that the longer of two numbers
-    at the end of a name is not taken for the shorter.
+    at the end of a name is not taken for the shorter. Keys that compete begin
+    with one shortest key, and only those take their clients together.
+
+    Beginnings are many times the rows that they are of, which Spark does not
+    expect when it plans, so the joins are asked for as merges: else it sends
+    what it takes for small through the driver.
     """
     names = clients.select("id", T.name_key(F.col("name")).alias("__key"))
-    exact = records.select("key", "seq").join(names, F.col("key") == F.col("__key")).withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("__r = 1").select("key", "id")
-    left = records.select("key", "seq").join(exact.select("key"), "key", "left_anti")
-    free = names.join(exact.select("id"), "id", "left_anti")
+    exact = records.select("key", "seq").join(names.hint("merge"), F.col("key") == F.col("__key")).withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("__r = 1").select("key", "id")
+    left = records.select("key", "seq").join(exact.select("key").hint("merge"), "key", "left_anti")
+    free = names.join(exact.select("id").hint("merge"), "id", "left_anti")
     begun = lambda c, least: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda n: F.left(F.col(c), n)))
-    within = left.filter(F.length("key") >= 8).withColumn("__begun", begun("key", 8)).join(free, F.col("__begun") == F.col("__key"))
+    within = left.filter(F.length("key") >= 8).withColumn("__begun", begun("key", 8)).join(free.hint("merge"), F.col("__begun") == F.col("__key"))
     # A client's key is longer by a letter or more; equal ones were found above.
-    beyond = free.filter(F.length("__key") >= 9).withColumn("__begun", begun("__key", 8)).filter("__begun <> __key").join(left, F.col("__begun") == F.col("key"))
+    beyond = free.filter(F.length("__key") >= 9).withColumn("__begun", begun("__key", 8)).filter("__begun <> __key").join(left.hint("merge"), F.col("__begun") == F.col("key"))
     gap = F.abs(F.length("key") - F.length("__key")).alias("gap")
-    near = within.select("key", "seq", "id", gap).union(beyond.select("key", "seq", "id", gap))
-    # Greedy in record order: a record takes its nearest free client; ties within eight shared letters are few.
-    taken = near.groupBy(F.substring("key", 1, 8).alias("__stem")).agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "id", "key"))).alias("__all"))
-    state = F.aggregate(
-        "__all",
-        F.array().cast("array<struct<key:string,id:bigint>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda a: (a["key"] == x["key"]) | (a["id"] == x["id"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["key"].alias("key"), x["id"].alias("id"))))),
-    )
-    return exact.union(taken.select(F.inline(state)).select("key", "id"))
+    short = F.col("__begun").alias("short")
+    near = once(within.select("key", "seq", "id", gap, short).union(beyond.select("key", "seq", "id", gap, short)))
+    # The shorter key of a pair begins with some shortest one, its root, which is the shorter key of a pair itself.
+    roots = near.select(F.col("short").alias("__root")).distinct()
+    rooted = near.select("short").distinct().withColumn("__begun", begun("short", 8)).join(roots.hint("merge"), F.col("__begun") == F.col("__root")).groupBy("short").agg(F.min_by("__root", F.length("__root")).alias("__root"))
+    # Greedy in record order: a record takes its nearest free client.
+    taken = near.join(rooted.hint("merge"), "short").groupBy("__root").agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "id", "key"))).alias("__all"))
+    return exact.union(taken.select(F.inline(_taken("__all"))).select("key", "id"))
 
 
 #: What notes may not say; such notes are dropped with a row that the office lists no longer have.

@@ -201,6 +201,18 @@ def test_office_names_take_the_client_of_the_nearest_key(spark):
     assert {(r.key, r.id) for r in merge.match_roster(alone, clients).collect()} == {("graylee1", 1), ("graylee11", 2)}
 
 
+def test_matching_the_roster_sends_no_table_through_the_driver(spark, tmp_path):
+    """What is planned from a small file is no broadcast, and keys that share a stem alone are no group."""
+    from swardbook.operators import merge
+
+    spark.range(3000).selectExpr("id", "concat('SMITH, Mary ', id + 1000) AS name").write.parquet(str(tmp_path / "clients"))
+    clients = spark.read.parquet(str(tmp_path / "clients"))
+    records = clients.selectExpr("concat('smithmary', id + 1000, IF(id % 2 = 0, '', 'etal')) AS key", "id AS seq")
+    got = merge.match_roster(records, clients)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.key, r.id) for r in got.collect()} == {(r.key, r.seq) for r in records.collect()}
+
+
 def test_repair_deals_rows_whatever_the_file(spark, tmp_path):
     from swardbook.plans import linking
     from swardbook.sources.fixtures import Ledger
