@@ -86,6 +86,64 @@ def test_index_leaves_no_match_out(spark, monkeypatch):
     assert all(got[a] == i for a, i in filed.items() if names.spelling(a).key not in known)
 
 
+def numbered_names(n):
+    """Names that numbers tell apart, in several spellings."""
+    r = random.Random(7)
+    told = ["SMITH, Mary", "SMIHT, Mary", "Mary SMITH", "VAN DYKE, Ana & Joe", "ST Ann", "SAINT, Ann", "KEELEER, Lee", "LEE, Lee", "B 7 SMITH, Al"]
+    number = lambda: r.choice(["", "10", "11"]) + str(r.randrange(10 ** r.randrange(1, 5)))
+    return sorted({r.choice([f"{t} {number()}", f"{number()} {t}", f"{t} {number()} {number()}"]) for t in (r.choice(told) for _ in range(n))})
+
+
+def test_no_score_passes_the_bound_of_its_body():
+    """Also of rows without a like number, where none of the numbers that are looked up is the row's."""
+    import re
+
+    rows = [n for n in numbered_names(400) if "7" not in n.split()]
+    body = lambda n: " ".join("#" * len(w) if w.isdigit() and len(w) > 1 else w for w in re.findall("[a-z0-9]+", n.lower()))
+    rows = [n for n in rows if not re.search("[0-9]", body(n))]
+    bodies = sorted({body(n) for n in rows})
+    at, table, whole = {b: k for k, b in enumerate(bodies)}, names.Bodies(bodies), names.Table(rows)
+    close = 0
+    for a in numbered_names(90) + ["KELLER, Lee 1011", "SMITHMary 1012", "7", "Ann 1", "M SMITH 4-4"]:
+        most, apart, near = table.bounds(a), table.bounds(a, apart=True), set(whole.near_numbers(a).tolist())
+        for k, b in enumerate(rows):
+            score = names.similarity(a, b)
+            if score >= linkage.SCORE:
+                close += 1
+                assert score <= most[at[body(b)]] and (k in near or score <= apart[at[body(b)]]), (a, b)
+    assert close > 1000
+
+
+def test_rows_of_a_body_are_all_met(spark, monkeypatch):
+    """Filing and suggestions against a plain loop, where rows are met by their bodies, in many parts and in one."""
+    monkeypatch.setattr(linkage, "COMMON", 3)
+    monkeypatch.setattr(linkage, "SOME", 5)
+    people = [(k, n, "1 Rd", 4.0 if k % 3 else None, True) for k, n in enumerate(numbered_names(260))]
+    asked = numbered_names(330)[::5] + ["KELLER, Lee 1011", "SMITHMary 1012", "Mary", "10"]
+    light = [(i, n, bool(price)) for i, n, _, price, _ in sorted(people, key=lambda p: (p[1], p[0]))]
+    assert linkage._people(roster(spark, people)).filter("body IS NOT NULL").count() > 60
+    want = answers(asked, light, True)
+    exact = {names.spelling(n).key for _, n, priced in light if priced}
+    filed = answers([a for a in asked if names.spelling(a).key not in exact], light, False)
+    sheet = spark.createDataFrame([(a,) for a in asked], "sheet_name string")
+    known = {names.spelling(n).key for _, n, _ in light}
+    for part in (2, 5000):
+        monkeypatch.setattr(linkage, "PART", part)
+        got = {x.sheet_name: x.suggestion for x in linkage.suggest_clients(sheet, roster(spark, people)).collect()}
+        assert got == {a: i for a, i in want.items() if i is not None}
+    got = {x.sheet_name: x.client_id for x in linkage.file_clients(sheet, roster(spark, people)).collect()}
+    assert all(got[a] == i for a, i in filed.items() if names.spelling(a).key not in known)
+
+
+def test_dense_numbers_meet_few_rows(spark):
+    """Clients that numbers tell apart, of 30 names: each meets the rows of its own name and of few others."""
+    told = [f"{s}, {g}" for s in ("SMITH", "BRADY", "FENN", "GRAY", "HOLT", "POND") for g in ("Mary", "Jim", "Chris", "Ruth", "Lee")]
+    people = [(k, f"{told[k % 30]} {k + 1000}", None, 1.0, True) for k in range(3000)]
+    sheet = spark.createDataFrame([(n.lower(),) for _, n, *_ in people], "sheet_name string")
+    got = linkage.candidate_pairs(sheet, roster(spark, people)).first()
+    assert got.names == got.rows == 3000 and 3000 <= got.pairs < 3000 * 3000 / 10
+
+
 def test_candidates_are_few(spark):
     people = [(k, f"{chr(65 + k % 26)}{chr(65 + k // 26 % 26)}{chr(65 + k * 7 % 26)}{chr(65 + k * 11 % 26)}MAN, Lee", None, 1.0, True) for k in range(400)]
     sheet = spark.createDataFrame([(n.lower(),) for _, n, *_ in people], "sheet_name string")
